@@ -45,7 +45,7 @@ class Splitter:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.joined = spec["normalizer"] is None
+        self.path, self.joined = path, spec["normalizer"] is None
         self.specials = [t["content"] for t in spec["added_tokens"]]
 
     def normal(self, text: str) -> str:
