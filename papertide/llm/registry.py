@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertide.functions.runtime import table
-from papertide.llm import bpe_codec, packing, quality, sharding, token_counts
+from papertide.llm import bpe_codec, flac, packing, quality, sharding, token_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +31,26 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = flac.media(table(spark, sf_dir, "documents"))
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("stream").cast("long").alias("media_bytes"),
+        F.sha2("stream", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), room=4096, end=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_quality, op5_bpe_codec, op6_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op4_quality, op5_bpe_codec, op6_sharding, op8_flac, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
