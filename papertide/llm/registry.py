@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertide.functions.runtime import table
-from papertide.llm import bpe_codec, flac, packing, quality, sharding, token_counts
+from papertide.llm import bpe_codec, flac, hmm_lm, packing, quality, sharding, token_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op2_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = quality.score(documents, quality.train(documents, table(spark, sf_dir, "labels")), threshold=0.3)
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_quality, op5_bpe_codec, op6_sharding, op8_flac, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_hmm_score, op4_quality, op5_bpe_codec, op6_sharding, op8_flac, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
