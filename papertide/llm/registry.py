@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertide.functions.runtime import table
-from papertide.llm import bpe_codec, flac, hmm_lm, packing, quality, sharding, token_counts
+from papertide.llm import bpe_codec, flac, hmm_lm, ngram_jaccard, packing, quality, sharding, token_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_classes(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = flac.media(table(spark, sf_dir, "documents"))
     return stored.select(
@@ -54,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_hmm_score, op4_quality, op5_bpe_codec, op6_sharding, op8_flac, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_hmm_score, op4_quality, op5_bpe_codec, op6_sharding, op7_ngram_jaccard, op8_flac, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
