@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertide.functions.runtime import table
-from papertide.llm import bpe_codec, flac, hmm_lm, ngram_jaccard, packing, quality, sharding, token_counts
+from papertide.llm import bpe_codec, flac, hmm_lm, ngram_jaccard, packing, quality, sharding, suffix_dedup, token_counts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op2_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = quality.score(documents, quality.train(documents, table(spark, sf_dir, "labels")), threshold=0.3)
@@ -58,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_hmm_score, op4_quality, op5_bpe_codec, op6_sharding, op7_ngram_jaccard, op8_flac, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_hmm_score, op3_suffix_dedup, op4_quality, op5_bpe_codec, op6_sharding, op7_ngram_jaccard, op8_flac, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
