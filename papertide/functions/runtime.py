@@ -12,13 +12,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """Cut the lineage of `frame` with a reliable checkpoint.
-
-    The folder is the cluster's `spark.checkpoint.dir`; only where that is unset (tests on one machine) a temporary one is made.
-    """
-    spark = frame.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's `spark.checkpoint.dir`; only where that is unset (tests on one machine), a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(frame: DataFrame) -> DataFrame:
+    """Cut the lineage of `frame` with a reliable checkpoint in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
