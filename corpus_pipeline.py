@@ -1,8 +1,73 @@
-"""The corpus pipeline: stages over documents, each written and read again by its caller."""
+"""The corpus pipeline: junk goes, one document of each group of near copies stays, repeated passages are cut, and the rest is packed.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its caller writes that and reads it again as the next one's docs. All but the last return
+the columns of documents, whatever these are.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papertide.functions.runtime import shared_folder, table
+from papertide.llm import ngram_jaccard, packing, quality, suffix_dedup
+
+#: SQL has no logistic regression trained by updates in sequence, so the pipeline is tested stage by stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects go. Labels come from the label table, and training texts from the whole documents table."""
+    weights = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the other columns are called
+    return quality.score(rows, weights, threshold=0.3).where("quality_predicted = 1").select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of documents that links connect, the one with the smallest id stays. Rows with a null id stay, and
+    repeated rows of a document that stays do."""
+    classes = ngram_jaccard.jaccard_classes(docs, n=5, threshold=0.8)
+    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: bytes of 50-byte strings that also start in an earlier document are cut from the texts; a character of which only a part
+    would be left goes with them, and n_chars, where there is one, is the new length."""
+    cut = suffix_dedup.repeats(docs).where(F.size("spans") > 0)
+
+    @F.udf("string", useArrow=True)
+    def text(kept: bytes) -> str:
+        return bytes(kept).decode("utf-8", "ignore")
+
+    # Repeated rows are cut alike, so one of them speaks for all.
+    new = cut.select(F.col("doc_id").alias("id"), "n_bytes", text("kept").alias("cut_text")).dropDuplicates(["id", "n_bytes"])
+    was = docs.select(F.struct("*").alias("row"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    met = was.join(new, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("n_bytes")), "left")
+    changed = F.col("id").isNotNull() | F.col("cut_text").isNotNull()
+    fresh = {"text": F.when(changed, F.col("cut_text")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(changed, F.char_length("cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return met.select(*(fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing into sequences of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), room=4096, end=1)
+
+
+STAGES = [("quality classifier", drop_junk), ("n-gram Jaccard join", drop_near_copies), ("suffix-array dedup", cut_repeats), ("best-fit packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; what each returns is written as Parquet in the shared folder and read again."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
