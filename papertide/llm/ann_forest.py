@@ -113,7 +113,7 @@ def grow(sample: np.ndarray, trees: int = TREES, leaves_each: int = LEAVES, seed
             else:
                 child[parent][side] = node
     dim = sample.shape[1] if sample.ndim == 2 else 0
-    return Forest(np.array(normal).reshape(-1, dim), np.array(offset), np.array(child, np.int64).reshape(-1, 2), roots, leaves)
+    return Forest(np.array(normal).reshape(len(normal), dim), np.array(offset), np.array(child, np.int64).reshape(-1, 2), roots, leaves)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:

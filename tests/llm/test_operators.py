@@ -294,7 +294,7 @@ def test_jaccard_pairs_within_a_large_group():
             w[rng.randrange(120)] = str(rng.randint(1000, 9999))
         rows.append((i, " ".join(w)))
     sets = shingle_sets(rows)
-    numbers = {s: np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15) for k, s in enumerate(sorted(set().union(*sets)))}
+    numbers = {s: np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) for k, s in enumerate(sorted(set().union(*sets)))}
     gram = np.concatenate([np.sort(np.array([numbers[s] for s in x], np.uint64)) for x in sets])
     every = np.arange(150)
     i, j = ngram_jaccard.similar_pairs(gram, np.array([len(s) for s in sets]), every, every, 0.8, 1e-7)
