@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from papertide.llm.spans import BASE, mix, over_batches, ragged, utf8
 
 WIDTH, GRAM, SHALLOW, HOT = 50, 20, 24, 4096
-BLOCK, PART, SEGMENT = 8 << 20, 1_500_000, 1 << 20
+BLOCK, PART, SEGMENT = 8 << 20, 1_000_000, 1 << 20
+#: Strings of hot anchors that a block sorts together; each lot sends its own distinct strings.
+TOGETHER = 1 << 20
 LAST = (1 << 63) - 1
 LEFT = WIDTH - GRAM
 
@@ -171,30 +173,46 @@ def segments(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         lo = hi
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, strings: bool = False) -> tuple[np.ndarray, ...]:
-    """Positions and hashes of the anchors of documents laid end to end; with `strings`, also of each string of WIDTH bytes its start and anchor hash."""
-    found: list[tuple[np.ndarray, ...]] = []
+def _least(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each segment of documents laid end to end: where it begins, its gram hashes, and the anchor hash of each of its strings of WIDTH bytes (0: the
+    string crosses documents)."""
     for a, b, inner in segments(offsets):
         if b - a < WIDTH:
             continue
         h = _gram_hashes(data[a:b])
         # Strings that cross documents have no anchor: their smallest hash is 0, which no gram has.
-        crosses = np.zeros(len(h) + 1, np.int64)
+        crosses = np.zeros(len(h) + 1, np.int32)
         edge = np.unique(inner - a)
         np.add.at(crosses, np.maximum(edge - GRAM + 1, 0), 1)
         np.subtract.at(crosses, np.minimum(edge, len(h)), 1)
-        h[np.cumsum(crosses[:-1]) > 0] = 0
-        span = WIDTH - GRAM + 1
-        least = _slide(h, span, np.minimum)
+        h[np.cumsum(crosses[:-1], dtype=np.int32) > 0] = 0
+        yield a, h, _slide(h, WIDTH - GRAM + 1, np.minimum)
+
+
+def _joined(found: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(found) if found else np.zeros(0, kind)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of documents laid end to end."""
+    places, hashes, span = [], [], WIDTH - GRAM + 1
+    for a, h, least in _least(data, offsets):
         pad = np.zeros(span - 1, np.uint64)
         at = np.flatnonzero((_slide(np.concatenate([pad, least, pad]), span, np.maximum) == h) & (h > 0))
-        start = np.flatnonzero(least) if strings else at[:0]
-        found.append((at + a, h[at], start + a, least[start]))
-    out = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64 if k % 2 == 0 else np.uint64) for k in range(4)]
+        places.append(at + a)
+        hashes.append(h[at])
     # Pieces of a long document overlap.
-    _, once = np.unique(out[0], return_index=True)
-    _, first = np.unique(out[2], return_index=True)
-    return (out[0][once], out[1][once], out[2][first], out[3][first]) if strings else (out[0][once], out[1][once])
+    place, once = np.unique(_joined(places, np.int64), return_index=True)
+    return place, _joined(hashes, np.uint64)[once]
+
+
+def anchored(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Starts of the strings of WIDTH bytes whose anchor hash is wanted (ascending, not empty)."""
+    found = []
+    for a, _, least in _least(data, offsets):
+        near = wanted[np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)]
+        found.append(np.flatnonzero((near == least) & (least > 0)) + a)
+    return np.unique(_joined(found, np.int64))
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------------------------------
@@ -216,9 +234,9 @@ class Block:
         again = np.zeros(len(size), bool)
         digest = self.rows["digest"].to_pylist()
         again[1:] = [a == b and x == y for a, b, x, y in zip(self.ord[1:].tolist(), self.ord[:-1].tolist(), digest[1:], digest[:-1], strict=True)]
-        self.live = np.flatnonzero(~self.copy & ~again & (size >= WIDTH))
-        self.source = ragged(self.offsets[self.live], size[self.live])
-        self.bytes, self.bounds = self.data[self.source], np.concatenate([[0], np.cumsum(size[self.live])])
+        live = ~self.copy & ~again & (size >= WIDTH)
+        self.live, self.taken = np.flatnonzero(live), np.repeat(live, size)
+        self.bytes, self.bounds = self.data[self.taken], np.concatenate([[0], np.cumsum(size[live])])
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, side="right") - 1
@@ -301,7 +319,7 @@ def sort_block(rows: pa.Table, sides: pa.Table, parts: int) -> pa.Table:
     if not len(rows) or not answers:
         return _rows([], 0, 0, [])
     block = Block(rows, sides)
-    at, h, start, least = anchors(block.bytes, block.bounds, strings=True)
+    at, h = anchors(block.bytes, block.bounds)
     distinct, begin, row, _ = _distinct(h, parts)
     stays, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
     for p, blob in answers.items():
@@ -313,8 +331,8 @@ def sort_block(rows: pa.Table, sides: pa.Table, parts: int) -> pa.Table:
     tables = [_cold_rows(block, at[cold], h[cold], parts, _block_id(rows))]
     if hot.any():
         # Strings of hot anchors that no later step would see otherwise.
-        chosen = start[np.isin(least, distinct[hot])]
-        tables.append(_hot_rows(block, chosen, parts, _block_id(rows)))
+        start = anchored(block.bytes, block.bounds, np.sort(distinct[hot]))
+        tables += [_hot_rows(block, start[k : k + TOGETHER], parts, _block_id(rows)) for k in range(0, len(start), TOGETHER)]
     return pa.concat_tables(tables)
 
 
@@ -459,10 +477,9 @@ def cut_block(rows: pa.Table, sides: pa.Table) -> pa.Table:
                 start = at[(places >> np.uint32(k)) & np.uint32(1) == 1] - k
                 np.add.at(edge, start, 1)
                 np.subtract.at(edge, start + WIDTH, 1)
-    gone = np.zeros(len(block.data), bool)
-    gone[block.source] = np.cumsum(edge[:-1]) > 0
     size = np.diff(block.offsets)
-    gone[ragged(block.offsets[:-1][block.copy & (size >= WIDTH)], size[block.copy & (size >= WIDTH)])] = True
+    gone = np.repeat(block.copy & (size >= WIDTH), size)
+    gone[block.taken] = np.cumsum(edge[:-1], dtype=np.int32) > 0
     digest = block.rows["digest"].to_pylist()
     for k in range(1, len(size)):  # rows with the same id and text are cut alike
         if block.ord[k] == block.ord[k - 1] and digest[k] == digest[k - 1]:
