@@ -109,3 +109,42 @@ def bib_fields(entry: str) -> dict[str, str]:
         out[m[1].lower()] = " ".join(value.split())
         at += quoted
     return out
+
+
+#: The combining mark of each accent command, and the letter of each letter command.
+ACCENTS = {"`": "\u0300", "'": "\u0301", "^": "\u0302", "~": "\u0303", "=": "\u0304", "u": "\u0306", ".": "\u0307", '"': "\u0308", "h": "\u0309", "r": "\u030a", "H": "\u030b", "v": "\u030c", "d": "\u0323", "c": "\u0327", "k": "\u0328", "b": "\u0331"}
+LETTERS = {"DJ": "Đ", "dj": "đ", "o": "ø", "O": "Ø", "l": "ł", "L": "Ł", "ss": "ß", "ae": "æ", "AE": "Æ", "aa": "å", "AA": "Å", "oe": "œ", "OE": "Œ", "i": "i", "j": "j"}
+_LATEX = re.compile(r"\\([A-Za-z]+)\s*|\\(.)|([{}])|([^\\{}])", re.S)
+
+
+def latex_to_text(source: str) -> str:
+    """Typesetting source as plain text: accents join the letter or group that follows, letter commands become letters, other commands and all braces go."""
+    stack: list[list[str]] = [[]]  # the groups that are open, each with the units read so far
+    marks: list[list[str]] = [[]]  # of each open group: accents that wait for their letter
+
+    def put(unit: str) -> None:
+        if marks[-1] and unit.strip():
+            unit = unit[0] + "".join(reversed(marks[-1])) + unit[1:] if len(unit) == 1 or not unicodedata.combining(unit[1]) else unit + "".join(reversed(marks[-1]))
+            marks[-1] = []
+        stack[-1].append(unit)
+
+    for word, sign, brace, char in _LATEX.findall(source):
+        if word in LETTERS:
+            put(LETTERS[word])
+        elif word in ACCENTS or sign in ACCENTS and sign:
+            marks[-1].append(ACCENTS[word or sign])
+        elif brace == "{":
+            stack.append([])
+            marks.append([])
+        elif brace:
+            if len(stack) > 1:
+                inner = "".join(stack.pop())
+                marks.pop()
+                if inner:
+                    put(inner)
+        elif sign or char:
+            put(sign or char)
+    while len(stack) > 1:
+        inner = "".join(stack.pop())
+        stack[-1].append(inner)
+    return " ".join(unicodedata.normalize("NFC", "".join(stack[0])).split())

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from papertide.functions import classify, text
+from papertide.functions import classify, manuscript, text
 from papertide.functions.runtime import table
-from papertide.operators import aggregates, estimators, graph, matching, textscore
+from papertide.operators import aggregates, estimators, graph, matching, resolution, textscore
 from papertide.operators.components import components
 from papertide.sources.testdata import FULL_RECORD, Domain, domain
 from papertide.streaming import events
@@ -463,6 +463,31 @@ def stream_dedupe_latest(spark, sf_dir):
     return events.latest_by_key(spark, sf_dir)
 
 
+@query(on_domain=False)
+def str_canonicalize(spark, sf_dir):
+    plain = manuscript.canonical(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", plain.alias("plain")).select("doc_id", F.md5(F.col("plain").cast("binary")).alias("plain_md5"), F.size(manuscript.sentences(F.col("plain"))).alias("sentences"))
+
+
+@query()
+def resolve_person_records(d):
+    rows = d.member.join(_full(d), "paper").join(F.broadcast(d.person), "person")
+    title = F.concat(F.lit("Study "), F.hex("holder"), F.lit(" of "), F.hex(F.col("paper") % 11))
+    placed = F.when(F.col("paper") % 3 != 0, F.col("institution"))
+    shared = {
+        "slug": F.col("person").cast("string"), "seq": F.col("paper"), "venue": F.col("venue"), "year": F.col("year"), "track": F.lit("main"), "title": title, "available": F.lit(True), "final": F.lit(True), "exact": F.lit(False),
+        "any_aff": placed.isNotNull(), "any_home": placed.isNotNull(), "answer": F.when(F.col("paper") % 7 == 0, "yes").when(F.col("paper") % 7 == 1, "no"), "since": F.col("since"), "role": F.lit("own"), "source": F.lit("own page"),
+    }
+    own = {
+        resolution.OWN_NOTE: (F.col("full"), {"status": F.when(F.col("paper") % 5 == 0, "unknown").otherwise(F.col("status")), "listed": F.col("status") == "accepted", "aff": F.lit(None), "home": F.lit(False), "domestic": F.lit(False)}),
+        resolution.LIST: (F.col("status") == "accepted", {"status": F.col("status"), "listed": F.lit(True), "aff": placed, "home": placed.isNotNull() & (F.col("paper") % 2 == 0), "domestic": F.col("home")}),
+        resolution.PAGE: (F.col("paper") % 13 == 0, {"status": F.lit("accepted"), "listed": F.col("status") == "accepted", "aff": placed, "home": F.lit(False), "domestic": F.lit(False)}),
+    }
+    names = [f.split() for f in resolution.CANDIDATE.split(", ")]
+    parts = [rows.where(where).select(*((shared | values | {"stage": F.lit(stage)})[n].cast(t).alias(n) for n, t in names)) for stage, (where, values) in own.items()]
+    return resolution.resolve(parts[0].union(parts[1]).union(parts[2])).groupBy("slug", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
