@@ -356,7 +356,7 @@ def test_quality(spark, documents, none, rows):
     assert {r.quality_score for r in quality.score(known, quality.train(none.select("doc_id", "text"), labels)).collect()} == {0.5}
 
 
-def test_language_model(documents, none, rows):
+def test_language_model(documents, none, rows, monkeypatch):
     token = lambda x: [*(x or "").encode().lower().split(), "end"]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     count = Counter(w for i, x in rows if not held(i) for w in token(x))
@@ -366,6 +366,9 @@ def test_language_model(documents, none, rows):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
     assert all(r.score < 0 for r in out)
     assert hmm_lm.score(none).count() == 0
+    monkeypatch.setattr(hmm_lm, "GATHERED", 1)  # how many sequences are gathered decides only what runs together
+    again = {(r.doc_id, r.n_tokens): r.score for r in hmm_lm.score(documents).collect()}
+    assert all(math.isclose(again[r.doc_id, r.n_tokens], r.score, rel_tol=1e-3) for r in out)
 
 
 def test_forward_recursion_is_exact_and_sums_to_one():
