@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertide.llm.spans import CHUNK, LOWER, groups_of, keys, mix, over_batches, utf8, words
+from papertide.llm.spans import CHUNK, LOWER, groups_of, keys, mix, release, utf8, words
 
 BITS, SAMPLE, SHARES, EPOCHS = 18, 16_000, 8, 3
 #: Of the updates: step, its smoothing, and the weight of the squares.
@@ -94,7 +94,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", doc_i
             for a, b in zip(bound[:-1], bound[1:], strict=True):
                 examples.append((place[a:b], value[a:b], int(group["label"].iloc[at])))
                 at += 1
-        return pd.DataFrame({"n": [len(group)], "weights": [trained(examples, bits).astype("<f4").tobytes()]})
+        weights = trained(examples, bits).astype("<f4").tobytes()
+        examples.clear()
+        release()
+        return pd.DataFrame({"n": [len(group)], "weights": [weights]})
 
     parts = rows.groupBy("share").applyInPandas(fit, "n long, weights binary").collect()
     total = sum(p.n for p in parts)
@@ -114,6 +117,7 @@ def score(documents: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", tex
                 total = np.concatenate([[0.0], np.cumsum(w[place] * value)])
                 out.append(1 / (1 + np.exp(-(total[bound[1:]] - total[bound[:-1]] + w[-1]))))
             yield pd.Series(np.concatenate(out))
+        release()
 
     scored = documents.withColumn("quality_score", scores(F.col(text)))
     return scored.withColumn("quality_predicted", F.when(F.col("quality_score") >= threshold, 1).otherwise(0))

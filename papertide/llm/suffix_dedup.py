@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertide.llm.spans import BASE, mix, over_batches, ragged, utf8
+from papertide.llm.spans import BASE, mix, over_batches, ragged, release, utf8
 
 WIDTH, GRAM, SHALLOW, HOT = 50, 20, 24, 4096
 BLOCK, PART, SEGMENT = 8 << 20, 1_000_000, 1 << 20
@@ -536,7 +536,13 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
 
     def beside(sides: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
         own = [F.col(c).alias(c) for c in ("part", "kind", "block", "blob", "ord")]  # columns of its own, not those of `held`
-        return held.cogroup(sides.select(*own).groupBy("block")).applyInArrow(work, schema)
+
+        def block(rows: pa.Table, beside_it: pa.Table) -> pa.Table:
+            out = work(rows, beside_it)
+            release()
+            return out
+
+        return held.cogroup(sides.select(*own).groupBy("block")).applyInArrow(block, schema)
 
     def answers(frame: DataFrame) -> DataFrame:
         return frame.withColumn("ord", F.lit(None).cast("long"))
