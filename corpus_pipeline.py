@@ -37,21 +37,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: bytes of 50-byte strings that also start in an earlier document are cut from the texts; a character of which only a part
     would be left goes with them, and n_chars, where there is one, is the new length."""
-    cut = suffix_dedup.repeats(docs).where(F.size("spans") > 0)
+    others = F.struct(*(F.col(c) for c in docs.columns if c != "text"))
+    rows = docs.select("doc_id", "text", F.struct(others.alias("row"), F.col("text").isNull().alias("none")).alias("carried"))
+    cut, changed, row = suffix_dedup.repeats(rows, carried="carried"), F.size("spans") > 0, F.col("carried").getField("row")
 
     @F.udf("string", useArrow=True)
-    def text(kept: bytes) -> str:
-        return bytes(kept).decode("utf-8", "ignore")
-
-    # Repeated rows are cut alike, so one of them speaks for all.
-    new = cut.select(F.col("doc_id").alias("id"), "n_bytes", text("kept").alias("cut_text")).dropDuplicates(["id", "n_bytes"])
-    was = docs.select(F.struct("*").alias("row"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
-    met = was.join(new, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("n_bytes")), "left")
-    changed = F.col("id").isNotNull() | F.col("cut_text").isNotNull()
-    fresh = {"text": F.when(changed, F.col("cut_text")).otherwise(F.col("row.text"))}
+    def text(kept: bytes | None) -> str | None:
+        return None if kept is None else bytes(kept).decode("utf-8", "ignore")
+
+    new = F.when(~F.col("carried").getField("none"), F.when(changed, F.col("cut_text")).otherwise(F.col("kept").cast("string")))
+    fresh = {"text": new}
     if "n_chars" in docs.columns:
-        fresh["n_chars"] = F.when(changed, F.char_length("cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return met.select(*(fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+        fresh["n_chars"] = F.when(changed, F.char_length("cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(row.getField("n_chars"))
+    cut = cut.withColumn("cut_text", text(F.when(changed, F.col("kept"))))
+    return cut.select(*(fresh[c].alias(c) if c in fresh else row.getField(c).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papertide.llm.spans import BASE, mix, over_batches, ragged, release, utf8
 
@@ -462,11 +463,11 @@ def _sort_hot(rows: pa.Table) -> pa.Table:
 
 
 def cut_block(rows: pa.Table, sides: pa.Table) -> pa.Table:
-    """doc_id, n_bytes, spans and kept bytes of the block's documents."""
+    """doc_id, n_bytes, spans and kept bytes of the block's documents, and what is carried along."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    names = ["doc_id", "n_bytes", "spans", "kept"]
+    names, more = ["doc_id", "n_bytes", "spans", "kept"], [c for c in rows.column_names if c == "carried"]
     if not len(rows):
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], span), pa.array([], pa.binary())], names)
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], span), pa.array([], pa.binary()), *(rows[c] for c in more)], names + more)
     block = Block(rows, sides)
     edge = np.zeros(len(block.bytes) + 1, np.int32)
     for kind, blob in zip(sides["kind"].to_pylist(), sides["blob"].to_pylist(), strict=True):
@@ -491,7 +492,7 @@ def cut_block(rows: pa.Table, sides: pa.Table) -> pa.Table:
         turn = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
         spans.append([{"start": s, "end": e} for s, e in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)])
         kept.append(data[a:b][~mine].tobytes() if len(turn) else data[a:b].tobytes())
-    return pa.table([block.rows["doc_id"].combine_chunks(), pa.array(size), pa.array(spans, span), pa.array(kept, pa.binary())], names)
+    return pa.table([block.rows["doc_id"].combine_chunks(), pa.array(size), pa.array(spans, span), pa.array(kept, pa.binary()), *(block.rows[c] for c in more)], names + more)
 
 
 # --- the operator ---------------------------------------------------------------------------------------------------------------------
@@ -520,11 +521,12 @@ def _by_part(frame: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Ta
     return over_batches(frame.repartition(*keys).sortWithinPartitions(*keys), run, OUT)
 
 
-def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK, part_anchors: int = PART) -> DataFrame:
-    """doc_id, n_bytes, spans (start and end of each removed run of bytes) and kept (the other bytes) of each document."""
+def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK, part_anchors: int = PART, carried: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, spans (start and end of each removed run of bytes) and kept (the other bytes) of each document; and, if a column is to be
+    carried along, that as `carried`."""
     spark = documents.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id), F.lit(LAST)).alias("ord"), body.alias("text"), F.unhex(F.md5(body.cast("binary"))).alias("digest"), F.octet_length(body).alias("size"))
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id), F.lit(LAST)).alias("ord"), body.alias("text"), F.unhex(F.md5(body.cast("binary"))).alias("digest"), F.octet_length(body).alias("size"), *([F.col(carried).alias("carried")] if carried else []))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
     blocks, parts = 1 + total // block_bytes, 1 + int(total * 2 / (WIDTH - GRAM + 2)) // part_anchors
     rows = rows.withColumn("block", F.pmod(F.xxhash64("ord", "digest"), F.lit(blocks)).cast("int"))
@@ -532,9 +534,9 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     small = rows.select("ord", "digest", "size", "block")
     first = small.groupBy("digest", "size").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = small.join(first, ["digest", "size"]).where(F.col("ord") > F.col("first")).select(F.lit(0).alias("part"), F.lit(0).alias("kind"), "block", F.col("digest").alias("blob"), "ord").distinct()
-    held = rows.select("block", "doc_id", "ord", "text", "digest").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").groupBy("block")
+    held = rows.select("block", "doc_id", "ord", "text", "digest", *(["carried"] if carried else [])).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").groupBy("block")
 
-    def beside(sides: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    def beside(sides: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str | T.StructType) -> DataFrame:
         own = [F.col(c).alias(c) for c in ("part", "kind", "block", "blob", "ord")]  # columns of its own, not those of `held`
 
         def block(rows: pa.Table, beside_it: pa.Table) -> pa.Table:
@@ -551,4 +553,5 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     sieved = answers(_by_part(hashes, ["part"], sieve_part))
     met = beside(copies.unionByName(sieved), lambda a, b: sort_block(a, b, parts), OUT)
     found = answers(_by_part(met, ["part", "kind"], sort_part))
-    return beside(copies.unionByName(found), cut_block, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return beside(copies.unionByName(found), cut_block, schema.add("carried", documents.schema[carried].dataType) if carried else schema)
