@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from papertide.llm.pretokens import Cache, Splitter, encoded, spelled, strings
 from papertide.llm.spans import CHUNK, groups_of, keys, over_batches
 
-#: Documents from which the frequent pre-tokens are taken, tasks that count them, and entries of the broadcast table (8 bytes of key, 2 of length).
+#: Documents from which the frequent pre-tokens are taken, tasks that count them, and entries of the broadcast table (8 bytes of key, 4 of length).
 SAMPLE_DOCS, SAMPLE_TASKS, TABLE_SIZE = 20_000, 8, 1 << 16
 
 
@@ -62,7 +62,7 @@ def token_counts(documents: DataFrame, path: str, doc_id: str = "doc_id", text:
     tokenizer = Tokenizer.from_file(path)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
     key = keys(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), ends - np.fromiter(map(len, words), np.int64, len(words)), ends)
-    length = np.fromiter((len(e) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)), np.uint16, len(words))
+    length = np.fromiter((len(e) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)), np.int32, len(words))
     frequent = documents.sparkSession.sparkContext.broadcast((key, length))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

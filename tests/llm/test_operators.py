@@ -63,6 +63,14 @@ def test_token_counts(documents, none, rows):
     assert token_counts.token_counts(none, BYTE).count() == 0
 
 
+def test_token_counts_of_a_very_long_pretoken(spark):
+    run = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=300_000))
+    n = len(Tokenizer.from_file(BYTE).encode(run, add_special_tokens=False).ids)
+    assert n > 0xFFFF
+    frame = spark.createDataFrame([(1, run), (2, "a " + run)], "doc_id long, text string")
+    assert keyed(token_counts.token_counts(frame, BYTE), "doc_id", "n_bytes", "n_tokens") == Counter([(1, 300_000, n), (2, 300_002, len(Tokenizer.from_file(BYTE).encode("a " + run, add_special_tokens=False).ids))])
+
+
 def test_encode_decode(documents, none, rows):
     t = Tokenizer.from_file(WORD)
     got = keyed(bpe_codec.encode_decode(documents, WORD), "doc_id", "n_tokens", "ids", "decoded")
