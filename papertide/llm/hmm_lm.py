@@ -5,8 +5,8 @@ emit symbols: each of the OWN most frequent words is one, each of SUFFIXES class
 A word of a class has the probability (c + 1) / (C + T + 1) in its class, where c is its own count, C and T the tokens and types of the class, and
 one further type stands for the words that training lacks. So probabilities sum to one, and the states' tables do not grow with the vocabulary.
 
-Counts of all words, and expected counts of each Baum-Welch pass, are summed within tasks and then across partitions. The passes that start from
-noise run over a pilot of about PILOT documents; the passes that follow, and all counts, cover every training document. Counts of the HEAD most frequent
+Counts of all words, and expected counts of each Baum-Welch pass, are summed within tasks and then across partitions. Every pass and all counts cover
+every training document; texts are turned into symbols once, which the passes read (2 bytes for each token). Counts of the HEAD most frequent
 words are broadcast; counts of the others are joined, by word, to the documents' remaining words. Frequent words never meet in that join,
 so that its groups are small whatever the skew.
 
@@ -31,7 +31,7 @@ from papertide.llm.quality import held_out
 from papertide.llm.spans import CHUNK, LOWER, KeyTable, groups_of, keys, over_batches, ragged, utf8, words
 
 STATES, OWN, SUFFIXES, HEAD = 8, 1 << 13, 1 << 10, 1 << 17
-PILOT, PILOT_PASSES, PASSES = 3000, 12, 2
+PASSES = 14
 #: Tokens whose recursions run together, tokens that a task gathers to group sequences by length, and entries that it sums up before it passes them on.
 TOGETHER, GATHERED, SUMMED = 400_000, 2_000_000, 1_000_000
 
@@ -149,7 +149,7 @@ def log_likelihood(symbols: np.ndarray, size: np.ndarray, model: Model) -> np.nd
 def expected(symbols: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of first states, of moves and of emissions: the forward-backward pass."""
     _, reach, begin, source = _by_time(size)
-    seen = symbols[source]
+    seen = symbols[source].astype(np.intp)
     emitted = model.emit.astype(np.float32)[seen]
     state, scale = np.empty_like(emitted), np.empty(len(seen), np.float32)
     move = model.move.astype(np.float32)
@@ -171,17 +171,35 @@ def expected(symbols: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.nd
             moves += state[a : a + m].T @ onward
         state[a : a + n] *= now
         beta = now
-    counts = np.stack([np.bincount(seen, state[:, s], len(model.emit)) for s in range(STATES)], axis=1)
+    counts = np.stack([np.bincount(seen, weights, len(model.emit)) for weights in np.ascontiguousarray(state.T, np.float64)], axis=1)
     return state[: reach[0]].sum(axis=0, dtype=np.float64), moves * model.move, counts
 
 
-def _pass(texts: DataFrame, model: Model) -> Model:
-    """One Baum-Welch pass over a one-column table of texts. Tasks send a row for each symbol they met, and rows -1 and -2 - s for starts and moves."""
+def _symbol_rows(texts: DataFrame, model: Model) -> DataFrame:
+    """The symbols of each text of a one-column table with its end: 16-bit unsigned, little-endian."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        m = shared.value
+        table = KeyTable(m.key[: m.own])
+        for batch in batches:
+            for _, _, key, kind, number in _text_chunks(batch.column(0)):
+                symbols, size = m.symbols(table.find(key), kind, number)
+                offsets = np.concatenate([[0], np.cumsum(size)]) * 2
+                packed = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(symbols.astype("<u2").tobytes())])
+                yield pa.table([packed.cast(pa.binary())], ["symbols"])
+
+    return over_batches(texts, work, "symbols binary")
+
+
+def _pass(rows: DataFrame, model: Model) -> Model:
+    """One Baum-Welch pass over _symbol_rows(). Tasks send a row for each symbol they met, and rows -1 and -2 - s for starts and moves."""
+    none = np.zeros(0)
+    shared = rows.sparkSession.sparkContext.broadcast(Model(none, none, none, model.own, none, none, 0, 0, 0, model.start, model.move, model.emit))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         m = shared.value
-        table, first, moves, counts = KeyTable(m.key), np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(m.emit), STATES))
+        first, moves, counts = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(m.emit), STATES))
         seen, sizes = [], []
 
         def add() -> None:
@@ -192,9 +210,14 @@ def _pass(texts: DataFrame, model: Model) -> Model:
             sizes.clear()
 
         for batch in batches:
-            for _, _, key, kind, number in _text_chunks(batch.column(0)):
-                for held, part in zip((seen, sizes), m.symbols(table.find(key), kind, number), strict=True):
-                    held.append(part)
+            if not len(batch):
+                continue
+            column = batch.column(0).cast(pa.large_binary())
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 2
+            data, size = np.frombuffer(column.buffers()[2], "<u2", int(ends[-1])), np.diff(ends)
+            for lo, hi in groups_of(size, GATHERED):
+                seen.append(data[ends[lo] : ends[hi]])
+                sizes.append(size[lo:hi])
                 if sum(map(len, seen)) > GATHERED:
                     add()
         add()
@@ -203,7 +226,7 @@ def _pass(texts: DataFrame, model: Model) -> Model:
         yield pa.table([pa.array(np.concatenate([[-1], -2 - np.arange(STATES), met]).astype(np.int32)), *(pa.array(rows[:, s]) for s in range(STATES))], ["symbol", *(f"s{s}" for s in range(STATES))])
 
     columns = [f"s{s}" for s in range(STATES)]
-    sums = over_batches(texts, count, "symbol int, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    sums = over_batches(rows, count, "symbol int, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
     symbol, values = sums["symbol"].to_numpy(), np.stack([sums[c].to_numpy() for c in columns], axis=1) if len(sums) else np.zeros((0, STATES))
     first, moves, counts = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(model.emit), STATES))
     first[:] = values[symbol == -1].sum(axis=0)
@@ -235,13 +258,10 @@ def train(documents: DataFrame, counts: DataFrame, doc_id: str, text: str, seed:
     emit = base[:, None] * noise
     move = np.full((STATES, STATES), 0.1 / STATES) + 0.9 * np.eye(STATES)
     model = Model(key, kind, count, own, class_tokens, class_types, sums.n + n, sums.types + (n > 0), n, np.full(STATES, 1 / STATES), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    texts = documents.select(F.col(text).alias("text"))
     if n:
-        pilot = checkpoint(documents.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1 << 30)) < int(min(1, PILOT / n) * (1 << 30))).select(F.col(text).alias("text")).repartition(3))
-        for _ in range(PILOT_PASSES):
-            model = _pass(pilot, model)
+        rows = checkpoint(_symbol_rows(documents.select(F.col(text).alias("text")), model))
         for _ in range(PASSES):
-            model = _pass(texts, model)
+            model = _pass(rows, model)
     return model
 
 

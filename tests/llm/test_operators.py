@@ -379,6 +379,25 @@ def test_language_model(documents, none, rows, monkeypatch):
     assert all(math.isclose(again[r.doc_id, r.n_tokens], r.score, rel_tol=1e-3) for r in out)
 
 
+def test_language_model_passes_cover_all_documents(spark, monkeypatch):
+    many = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id") % 7, F.col("id") % 11).alias("text"))
+    read, one_pass = [], hmm_lm._pass
+    monkeypatch.setattr(hmm_lm, "_pass", lambda frame, model: (read.append(frame.count()), one_pass(frame, model))[1])
+    out = hmm_lm.score(many)
+    assert read == [out.where("not held_out").count()] * 14
+
+
+def test_symbols_of_texts_reach_the_passes(spark):
+    texts = ["b a b", None, "", "c xyz  b", "zzz"]
+    key, _, _ = hmm_lm.tokens(np.frombuffer(b"a b c", np.uint8), np.array([0, 5]))
+    model = hmm_lm.Model(key, *[np.zeros(3, np.int32)] * 2, 3, np.zeros(0), np.zeros(0), 0, 0, 0, *[np.zeros(0)] * 3)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = [np.frombuffer(r.symbols, "<u2").tolist() for r in hmm_lm._symbol_rows(frame, model).collect()]
+    kind = lambda w: 3 + int(hmm_lm.tokens(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[1][0])
+    end = 3 + hmm_lm.SUFFIXES
+    assert got == [[1, 0, 1, end], [end], [end], [2, kind(b"xyz"), 1, end], [kind(b"zzz"), end]]
+
+
 def test_forward_recursion_is_exact_and_sums_to_one():
     rng = np.random.default_rng(0)
     norm = lambda a, axis: a / a.sum(axis=axis, keepdims=True)
