@@ -362,6 +362,11 @@ def graph_components(d):
     return components(edge.crossJoin(F.broadcast(limit)).where("weight >= least"), "a", "b")
 
 
+@query()
+def graph_components_all(d):
+    return components(graph.edges(d.member), "a", "b")
+
+
 @query(_INST + """, home AS (SELECT person, paper FROM member JOIN person USING (person) WHERE home), e AS (SELECT h.person AS l, p.nation AS r, count(*) AS w FROM home h JOIN member m ON m.paper = h.paper JOIN person p ON p.person = m.person WHERE NOT p.home GROUP BY h.person, p.nation)
     SELECT r AS "right", round(sum(l * 1.0 * w) / sum(w), 6) AS centre, CAST(sum(w) AS BIGINT) AS weight FROM e GROUP BY r""".replace(_INST, ""))
 def graph_bipartite_barycentre(d):

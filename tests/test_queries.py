@@ -41,3 +41,22 @@ def test_query(spark, duck, name):
 
 def test_flagship_is_registered():
     assert registry.FLAGSHIP in registry.queries()
+
+
+def test_components_follow_every_edge(spark, tmp_path):
+    # Persons 1 to 4 are linked by one paper each, persons 5 and 6 by many, so a cut by weight would lose the first four.
+    lines = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4), *((p, s) for p in range(10, 300) for s in (5, 6)), (4, 7)]
+    table = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    columns = ("l_linenumber", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    table([(p, s, *[1] * 5) for p, s in lines], "l_orderkey long, l_suppkey long, " + ", ".join(f"{c} long" for c in columns), "lineitem")
+    for name in ("orders", "supplier", "nation"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.node: r.component for r in registry.queries()["graph_components_all"](spark, str(tmp_path)).collect()}
+    root = {s: s for _, s in lines}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for p, s in lines:
+        for q, t in lines:
+            if p == q:
+                low, high = sorted((find(s), find(t)))
+                root[high] = low
+    assert got == {x: find(x) for x in root if x != 7} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5}
