@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from papertide.functions.runtime import checkpoint
+
 NEGATIVE = ("rejected", "withdrawn", "desk_rejected")
 
 
@@ -126,3 +128,12 @@ def only_negative(member: DataFrame, paper: DataFrame) -> DataFrame:
     own = rows.where(F.col("full")).groupBy("person").agg(*counts(), F.array_join(F.array_sort(F.collect_set(F.col("year").cast("string"))), ", ").alias("years"))
     elsewhere = rows.where(~F.col("full") & accepted()).select("person").distinct()
     return own.where("accepted = 0 and not_accepted > 0").join(elsewhere, "person", "left_anti").select("person", "rejected", "withdrawn", "submitted", "years")
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """All rows with `shown`, their number in that order. Ranges of the order are numbered apart, each after the count of rows in those before it."""
+    placed = checkpoint(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))  # ranges are drawn anew in each run
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over the few ranges
+    before = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    inside = placed.withColumn("shown", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    return inside.join(F.broadcast(before), "part").withColumn("shown", F.col("shown") + F.col("before")).drop("part", "before")

@@ -426,6 +426,13 @@ def sort_table_semantics(spark, sf_dir):
     return top.select(F.col("c_custkey").alias("id"), F.row_number().over(Window.orderBy(value.desc_nulls_last(), "c_name")).cast("long").alias("shown"))
 
 
+@query("""SELECT c_custkey AS id, row_number() OVER (ORDER BY CASE WHEN c_acctbal < 1000 THEN NULL ELSE c_acctbal END DESC NULLS LAST, c_name, c_custkey) AS shown FROM customer""", on_domain=False)
+def sort_table_all_rows(spark, sf_dir):
+    value = F.when(F.col("c_acctbal") >= 1000, F.col("c_acctbal"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", value.alias("value"))
+    return aggregates.numbered(rows, F.col("value").desc_nulls_last(), F.col("c_name").asc(), F.col("id").asc()).select("id", "shown")
+
+
 @query("""SELECT p_partkey AS id, p_size, CAST(CASE WHEN r <= 3 THEN r END AS INTEGER) AS place FROM (SELECT *, dense_rank() OVER (ORDER BY p_size DESC) AS r FROM part)""", on_domain=False)
 def podium_ties(spark, sf_dir):
     return aggregates.podium(table(spark, sf_dir, "part"), "p_size").select(F.col("p_partkey").alias("id"), "p_size", "place")

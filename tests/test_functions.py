@@ -66,3 +66,10 @@ def test_later_acceptance_ties(spark):
     paper = spark.createDataFrame([(1, "b", 2020, "rejected", 7), (2, "b", 2021, "accepted", 7), (3, "a", 2021, "accepted", 7), (4, "a", 2019, "accepted", 7)], "paper int, venue string, year int, status string, holder int")
     member = paper.select("paper", F.lit(1).alias("person"))
     assert [(r.paper, r.later) for r in matching.later_acceptance(member, paper).collect()] == [(1, 3)]
+
+
+def test_numbered_numbers_every_row(spark):
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 3 != 0, F.col("id") * 7919 % 1000).alias("value")).repartition(5)
+    got = {r.id: r.shown for r in aggregates.numbered(rows, F.col("value").desc_nulls_last(), F.col("id").asc()).collect()}
+    want = sorted(range(2000), key=lambda i: (i % 3 == 0, -(i * 7919 % 1000) if i % 3 else 0, i))
+    assert got == {i: k + 1 for k, i in enumerate(want)}
