@@ -1,21 +1,25 @@
 """Approximate nearest neighbours: a forest of random-projection trees, a priority queue shared by the trees, and exact reranking.
 
-The trees' hyperplanes lie halfway between two random members of a node, and are fitted on a sample of SAMPLE rows at most (all rows where there are no
-more); every row is indexed: it falls to one leaf of each tree. A query walks all trees from one queue, the node whose hyperplanes it is least
-on the wrong side of first, and gathers leaves until they hold a share of all trees' entries (or all are gathered). Queries and rows meet at their leaves, where
-distances are computed on the original vectors in double precision; the best of each leaf are merged for each query.
+A node of a tree has a centre and up to CELLS directions, each the difference of two random members of the node; a vector goes to the child whose direction its
+offset from the centre projects on farthest. The forest is fitted on a sample of SAMPLE rows at most (all rows where there are no more), down to cells that hold few
+of them; every row is indexed: it falls to one leaf of each tree. A leaf that holds more than GROUP rows is split on by further random directions about its own
+centre, so that leaves stay bounded in rows as the table grows.
 
-A leaf that holds more than GROUP rows, as one with many equal vectors does, is dealt into parts, and its queries go to each part: no group
-grows with a leaf. The driver holds the sample and the leaf counts, both bounded.
+A query has one queue for all trees. A node's place in it is the sum, over its ancestors, of the square of what the query's projection falls short of the
+farthest one; the nearest nodes are opened first, until their leaves hold `enough` entries. How many are enough is measured, not set: for PROBES queries (a bounded
+number) the true neighbours are found by brute force over all rows, and `enough` is the least number of entries within which the share TARGET of them lies. So the
+candidates of a query depend on how well the data separate: few for data with clusters or of low dimension, many for data without structure.
+
+Equal vectors are one entry, with the k + 1 smallest of their ids, and no query needs more of them; equal queries are searched once. Queries and rows meet at their
+leaves, where distances are computed on the original vectors in double precision, the rows of a leaf streaming past its queries.
 
 Defined results: vectors that are null, zero, of another size than most, or that hold null or non-finite components take no part, as rows or as queries, and neither do rows
-with a null id; of rows with the same id, each is a candidate, and the nearest stands for the id; ties go to the smaller id; other columns are ignored; an empty table
-gives an empty result.
+with a null id; of rows with the same id, each is a candidate, and the nearest stands for the id; repeated rows are one row; ties go to the smaller id; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,102 +29,195 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from papertide.functions.runtime import checkpoint
 from papertide.llm.spans import over_batches
 
-TREES, LEAVES, SAMPLE, GROUP = 10, 256, 60_000, 8192
-#: How much of all trees' entries a query gathers: the share of them, and at least so many.
-SHARE, LEAST = 0.075, 6000
+TREES, CELLS, SAMPLE, GROUP = 10, 1024, 60_000, 8192
+#: Sample rows for each direction of a node, and those that a leaf holds at most (where its vectors differ).
+PER_CELL, IN_LEAF = 8, 128
+#: Queries for which the true neighbours are found, and the share of these that the budget must reach.
+PROBES, TARGET = 128, 0.95
+#: Numbers held at once by a block of distances.
+BLOCK = 1 << 21
 
 
 @dataclass
 class Forest:
-    """Nodes of all trees: hyperplanes (normal, offset) and two children; a child below 0 is leaf -1 - child. roots: each tree's first node."""
+    """All trees. node: centre, first direction and number of directions; child of each direction: a node, or leaf -1 - child. roots: first nodes.
+    Leaves have the centre of their members; `fine` are the directions that split a large leaf further."""
 
-    normal: np.ndarray
-    offset: np.ndarray
+    centre: np.ndarray
+    first: np.ndarray
+    width: np.ndarray
+    direction: np.ndarray
     child: np.ndarray
     roots: list[int]
-    leaves: int
+    leaf_centre: np.ndarray
+    fine: np.ndarray
+
+    @property
+    def leaves(self) -> int:
+        return len(self.leaf_centre)
+
+    def reach(self, node: int, x: np.ndarray) -> np.ndarray:
+        """How far vectors project on each direction of a node."""
+        return (x - self.centre[node]) @ self.direction[self.first[node] : self.first[node] + self.width[node]].T
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector in each tree."""
-        out = np.empty((len(x), len(self.roots)), np.int32)
+        out = np.empty((len(x), len(self.roots)), np.int64)
         for t, root in enumerate(self.roots):
             node = np.full(len(x), root, np.int64)
-            at = np.arange(len(x)) if root >= 0 else np.zeros(0, np.int64)
-            while len(at):
-                now = node[at]
-                side = np.einsum("ij,ij->i", x[at], self.normal[now]) > self.offset[now]
-                node[at] = self.child[now, side.astype(np.int64)]
-                at = at[node[at] >= 0]
+            while len(open_ := np.flatnonzero(node >= 0)):
+                for n in np.unique(node[open_]).tolist():
+                    at = open_[node[open_] == n]
+                    node[at] = self.child[self.first[n] + self.reach(n, x[at]).argmax(axis=1)]
             out[:, t] = -1 - node
         return out
 
-    def search(self, q: np.ndarray, size: np.ndarray, enough: int) -> list[int]:
-        """The leaves to look into for a query. size: rows in each leaf."""
-        margin = self.normal @ q - self.offset if len(self.offset) else self.offset
-        queue, got, out = [(-np.inf, r) for r in self.roots], 0, []
-        heapq.heapify(queue)
-        while queue and got < enough:
-            far, node = heapq.heappop(queue)
-            while node >= 0:
-                m = margin[node]
-                near = int(m > 0)
-                heapq.heappush(queue, (max(far, abs(m)), int(self.child[node, 1 - near])))
-                node = int(self.child[node, near])
-            leaf = -1 - node
-            if size[leaf]:
-                out.append(leaf)
-                got += int(size[leaf])
-        return out
-
-
-def grow(sample: np.ndarray, trees: int = TREES, leaves_each: int = LEAVES, seed: int = 5) -> Forest:
-    """The forest for a sample of vectors."""
-    leaf = max(48, -(-len(sample) // leaves_each))
-    rng, normal, offset, child, roots, leaves = np.random.default_rng(seed), [], [], [], [], 0
-
-    def new_leaf() -> int:
-        nonlocal leaves
-        leaves += 1
-        return -leaves
+    def cells(self, x: np.ndarray, splits: np.ndarray) -> np.ndarray:
+        """The leaf of each vector in each tree, with its part in the upper 32 bits. splits: parts of each leaf."""
+        leaf = self.leaf_of(x)
+        for t in range(leaf.shape[1]):
+            of = leaf[:, t]
+            if len(at := np.flatnonzero(splits[of] > 1)):
+                far = (x[at] - self.leaf_centre[of[at]]) @ self.fine.T
+                far[np.arange(len(self.fine)) >= splits[of[at]][:, None]] = -np.inf
+                leaf[at, t] |= far.argmax(axis=1).astype(np.int64) << 32
+        return leaf
+
+    def search(self, q: np.ndarray, size: np.ndarray, splits: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves (with parts) that the shared queue opens for a query until they hold `enough` entries, in order, and the entries held up to each.
+
+        The queue is an array kept in order: all nodes before the place where the entries are enough are opened together, which brings that place nearer,
+        until there are only leaves before it.
+        """
+        q = q.astype(np.float32)
+        node = np.array(self.roots, np.int64)
+        owed, what, held = np.zeros(len(node)), np.where(node >= 0, node, -1 - node), np.zeros(len(node))
+        kind = np.where(node >= 0, 1, 0)  # 0: a leaf, 1: a node, 2: a large leaf
+        kind[(kind == 0)] = np.where(splits[what[kind == 0]] > 1, 2, 0)
+        held = np.where(kind == 0, size[np.where(kind == 0, what, 0)], 0.0) if len(size) else held
+        while True:
+            order = np.argsort(owed, kind="stable")
+            owed, what, held, kind = owed[order], what[order], held[order], kind[order]
+            upto = np.cumsum(held)
+            end = int(np.searchsorted(upto, enough)) + 1
+            inner = np.flatnonzero(kind[:end])
+            if not len(inner):
+                return what[:end], upto[:end]
+            new = []
+            for i in inner.tolist():
+                if kind[i] == 1:
+                    n = int(what[i])
+                    far = self.reach(n, q[None])[0]
+                    to = self.child[self.first[n] : self.first[n] + self.width[n]]
+                    leaf = np.where(to < 0, -1 - to, 0)
+                    sort = np.where(to >= 0, 1, np.where(splits[leaf] > 1, 2, 0))
+                    new.append((owed[i] + np.square(far.max() - far), np.where(to >= 0, to, leaf), np.where(sort == 0, size[leaf], 0.0), sort))
+                else:
+                    n = int(what[i])
+                    far = self.fine[: splits[n]] @ (q - self.leaf_centre[n])
+                    new.append((owed[i] + np.square(far.max() - far), n | np.arange(splits[n]) << 32, np.full(splits[n], size[n] / splits[n]), np.zeros(splits[n], np.int64)))
+            kept = np.ones(len(owed), bool)
+            kept[inner] = False
+            owed, what, held, kind = (np.concatenate([a[kept], *b]) for a, b in zip((owed, what, held, kind), zip(*new, strict=True), strict=True))
+
+
+def grow(sample: np.ndarray, rows: int, trees: int = TREES, seed: int = 5) -> Forest:
+    """The forest for a sample of the distinct vectors of a table of so many rows."""
+    rng, x = np.random.default_rng(seed), np.ascontiguousarray(sample, np.float32)
+    dim = x.shape[1] if x.ndim == 2 else 0
+    centre, first, width, direction, child, roots, leaf_centre, used = [], [], [], [], [], [], [], 0
+    scale = max(1.0, rows / max(1, len(x)))
+
+    def unit(at: np.ndarray, n: int) -> np.ndarray:
+        d = x[rng.choice(at, n)] - x[rng.choice(at, n)]
+        size = np.linalg.norm(d, axis=1)
+        return d[size > 0] / size[size > 0, None]
 
     for _ in range(trees):
-        todo = [(np.arange(len(sample)), None, 0)]
+        todo: list[tuple[np.ndarray, int]] = [(np.arange(len(x)), -1)]
         while todo:
-            at, parent, side = todo.pop()
-            node = -1
-            if len(at) > leaf:
-                for _try in range(5):
-                    a, b = sample[rng.choice(at, 2, replace=False)].astype(np.float64)
-                    plane = b - a
-                    length = np.linalg.norm(plane)
-                    if not length:
-                        continue
-                    plane, height = plane / length, (b @ b - a @ a) / (2 * length)
-                    right = sample[at] @ plane > height
-                    if 0.05 < right.mean() < 0.95:
-                        node = len(offset)
-                        normal.append(plane)
-                        offset.append(height)
-                        child.append([0, 0])
-                        todo += [(at[right], node, 1), (at[~right], node, 0)]
-                        break
-            if node < 0:
-                node = new_leaf()
-            if parent is None:
-                roots.append(node)
+            at, place = todo.pop()
+            lines = np.zeros((0, dim), np.float32)
+            if len(at) > 1 and (place < 0 or len(at) > IN_LEAF):
+                lines = unit(at, int(min(CELLS, max(2, len(at) * (scale if place < 0 else 1) // PER_CELL))))
+            if len(lines) > 1:
+                middle = x[at].mean(axis=0)
+                to = ((x[at] - middle) @ lines.T).argmax(axis=1)
+                if (to == to[0]).all():
+                    lines = lines[:0]
+            if len(lines) > 1:
+                node = len(first)
+                centre.append(middle)
+                first.append(used)
+                width.append(len(lines))
+                direction.append(lines)
+                order = np.argsort(to, kind="stable")
+                bound = np.searchsorted(to[order], np.arange(len(lines) + 1))
+                child.append(np.zeros(len(lines), np.int64))
+                todo += [(at[order[bound[k] : bound[k + 1]]], used + k) for k in range(len(lines))]
+                used += len(lines)
+                made = node
             else:
-                child[parent][side] = node
-    dim = sample.shape[1] if sample.ndim == 2 else 0
-    return Forest(np.array(normal).reshape(len(normal), dim), np.array(offset), np.array(child, np.int64).reshape(-1, 2), roots, leaves)
+                made = -1 - len(leaf_centre)
+                leaf_centre.append(x[at].mean(axis=0) if len(at) else np.zeros(dim, np.float32))
+            if place < 0:
+                roots.append(made)
+            else:
+                at_node = int(np.searchsorted(first, place, side="right")) - 1
+                child[at_node][place - first[at_node]] = made
+    stack = lambda parts, shape: np.concatenate(parts).astype(np.float32) if parts else np.zeros(shape, np.float32)
+    fine = rng.standard_normal((CELLS, dim)).astype(np.float32)
+    fine /= np.maximum(np.linalg.norm(fine, axis=1, keepdims=True), 1e-30)
+    return Forest(
+        np.array(centre, np.float32).reshape(len(centre), dim), np.array(first, np.int64), np.array(width, np.int64), stack(direction, (0, dim)), np.concatenate(child) if child else np.zeros(0, np.int64), roots,
+        np.array(leaf_centre, np.float32).reshape(len(leaf_centre), dim), fine,
+    )
+
+
+def budget(forest: Forest, size: np.ndarray, splits: np.ndarray, probes: np.ndarray, truth: list[np.ndarray], target: float = TARGET) -> float:
+    """The least number of entries within which the share `target` of the probes' true neighbours lies. truth: for each probe, its neighbours' vectors."""
+    need = []
+    for q, near in zip(probes, truth, strict=True):
+        what, upto = forest.search(q, size, splits, float("inf"))
+        order = np.argsort(what)
+        at = order[np.searchsorted(what[order], forest.cells(near.astype(np.float32), splits))]
+        need.append(upto[at].min(axis=1))
+    return float(np.quantile(np.concatenate(need), target, method="higher")) if need else 0.0
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
-def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100, trees: int = TREES, leaves: int = LEAVES, sample: int = SAMPLE, share: float = SHARE) -> DataFrame:
+def _closest(far: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k lowest distances of different names, ties by the smaller name."""
+    if len(far) > 4 * k:
+        at = np.flatnonzero(far <= np.partition(far, 2 * k - 1)[2 * k - 1])
+        if len(np.unique(names[at])) < k:
+            at = np.arange(len(far))
+    else:
+        at = np.arange(len(far))
+    at = at[np.lexsort((names[at], far[at]))]
+    return at[np.sort(np.unique(names[at], return_index=True)[1])][:k]
+
+
+def _met(queries: np.ndarray, labels: np.ndarray, batch: pa.Table, dim: int, k: int) -> Iterator[pa.Table]:
+    """query, vec_id and score of the k nearest of a batch of entries (ids, v) for each of the queries."""
+    ids = batch["ids"].combine_chunks()
+    names, owner = ids.flatten().to_numpy(), np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy())
+    x, step = _matrix(batch["v"].combine_chunks(), dim), max(1, BLOCK // max(1, len(ids) * dim))
+    for lo in range(0, len(queries), step):
+        far = np.sqrt(np.square(queries[lo : lo + step, None, :] - x[None]).sum(axis=2))[:, owner]
+        at = [_closest(f, names, k) for f in far]
+        flat = np.concatenate(at)
+        own = np.repeat(np.arange(len(at)), [len(a) for a in at])
+        yield pa.table([pa.array(labels[lo : lo + step][own]), pa.array(names[flat]), pa.array(far[own, flat])], ["query", "vec_id", "score"])
+
+
+def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, every: int = 100, trees: int = TREES, sample: int = SAMPLE, group: int = GROUP, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest found of each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
     kind = vectors.schema[vector].dataType.elementType.typeName()
@@ -128,93 +225,92 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     v = F.col(vector).cast(f"array<{kind}>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim")).where(F.col("vec_id").isNotNull() & good)
-    sizes = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").collect()
-    dim, total = (sizes[0].dim, sizes[0]["count"]) if sizes else (0, 0)
-    rows = rows.where(F.col("dim") == dim).select("vec_id", "v")
-    part = rows if total <= sample else rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
-    picked = part.select("v", "vec_id").toArrow()
-    order = np.argsort(picked["vec_id"].to_numpy(), kind="stable")
-    forest = grow(_matrix(picked["v"].combine_chunks(), dim)[order] if len(picked) else np.zeros((0, dim)), trees, leaves)
-    shared = spark.sparkContext.broadcast(forest)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        f = shared.value
-        for batch in batches:
-            leaf = f.leaf_of(_matrix(batch.column(1), dim))
-            own = np.repeat(np.arange(len(leaf)), leaf.shape[1])
-            yield pa.table([pa.array(leaf.ravel()), batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own))], ["leaf", "vec_id", "v"])
-
-    indexed = over_batches(rows, index, f"leaf int, vec_id long, v array<{kind}>")
+    sizes = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").take(1)
+    dim = sizes[0].dim if sizes else 0
+    rows = rows.where(F.col("dim") == dim).select("vec_id", "v").distinct()
+    # Both steps combine before they shuffle, so a vector that many rows have is no large group.
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    entries = checkpoint(rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("ids", "v"))
+    asking = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
+    asked = checkpoint(asking.groupBy("v").agg(F.min("vec_id").alias("query")).select("query", "v"))
+
+    total = entries.count()
+    part = entries if total <= sample else entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
+    picked = part.select("v", F.col("ids")[0].alias("id")).toArrow()
+    order = np.argsort(picked["id"].to_numpy(), kind="stable")
+    forest = grow(_matrix(picked["v"].combine_chunks(), dim)[order] if len(picked) else np.zeros((0, dim)), total, trees)
+    shared, leaves = spark.sparkContext.broadcast(forest), forest.leaves  # bounded by the sample
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        f, n = shared.value, np.zeros(forest_leaves, np.int64)
+        f, n = shared.value, np.zeros(leaves, np.int64)
         for batch in batches:
-            n += np.bincount(f.leaf_of(_matrix(batch.column(1), dim)).ravel(), minlength=forest_leaves)
+            n += np.bincount(f.leaf_of(_matrix(batch.column(0), dim).astype(np.float32)).ravel(), minlength=leaves)
         at = np.flatnonzero(n)
-        yield pa.table([pa.array(at.astype(np.int32)), pa.array(n[at])], ["leaf", "n"])
+        yield pa.table([pa.array(at), pa.array(n[at])], ["leaf", "n"])
 
-    forest_leaves = forest.leaves
-    held = np.zeros(forest_leaves, np.int64)
-    for r in over_batches(rows, count, "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+    held = np.zeros(leaves, np.int64)
+    for r in over_batches(entries.select("v"), count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
         held[r.leaf] = r.n
-    parts, enough = -(-held // GROUP), max(LEAST, int(share * held.sum()))
-    counts = spark.sparkContext.broadcast((held, parts))
+    splits = np.where(held > group, np.minimum(CELLS, 2 * (held // group + 1)), 1)
+
+    probes = asked.orderBy(F.xxhash64("query")).limit(PROBES).orderBy("query").toArrow()
+    tried, labels = _matrix(probes["v"].combine_chunks(), dim) if len(probes) else np.zeros((0, dim)), probes["query"].to_numpy()
+    probe = spark.sparkContext.broadcast((tried, labels))
+
+    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        q, names = probe.value
+        for batch in batches:
+            for lo in range(0, len(batch), 2048):
+                yield from _met(q, names, pa.Table.from_batches([batch.slice(lo, 2048)]), dim, k + 1)
+
+    near = over_batches(entries, brute, "query long, vec_id long, score double").where("query <> vec_id").groupBy("query", "vec_id").agg(F.min("score").alias("score"))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    # At most PROBES x k rows: small enough for a broadcast at every size of the table.
+    wanted = entries.withColumn("vec_id", F.explode("ids")).join(F.broadcast(near.select("query", "vec_id")), "vec_id").select("query", "vec_id", "v").orderBy("query", "vec_id").toArrow()
+    of = wanted["query"].to_numpy()
+    found = _matrix(wanted["v"].combine_chunks(), dim) if len(wanted) else np.zeros((0, dim))
+    seen = [(q, found[of == name]) for q, name in zip(tried, labels.tolist(), strict=True) if (of == name).any()]
+    enough = budget(forest, held, splits, np.array([q for q, _ in seen]), [x for _, x in seen], target)
+    plan = spark.sparkContext.broadcast((held, splits))
+    columns = f"cell long, asks boolean, query long, ids array<long>, v array<{kind}>"
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        f, (_, parts) = shared.value, plan.value
+        for batch in batches:
+            cell = f.cells(_matrix(batch.column(1), dim).astype(np.float32), parts)
+            own = pa.array(np.repeat(np.arange(len(cell)), cell.shape[1]))
+            yield pa.table([pa.array(cell.ravel()), pa.array(np.zeros(cell.size, bool)), pa.nulls(cell.size, pa.int64()), batch.column(0).take(own), batch.column(1).take(own)], ["cell", "asks", "query", "ids", "v"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        f, (size, dealt) = shared.value, counts.value
+        f, (n, parts) = shared.value, plan.value
         for batch in batches:
-            x = _matrix(batch.column(1), dim)
-            found = [np.array([p << 32 | leaf for leaf in f.search(q, size, enough) for p in range(dealt[leaf])], np.int64) for q in x]
-            own = pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found]))
-            to = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.table([pa.array((to & 0xFFFFFFFF).astype(np.int32)), pa.array((to >> 32).astype(np.int32)), pa.array(np.ones(len(to), bool)), batch.column(0).take(own), batch.column(1).take(own)], ["leaf", "part", "query", "vec_id", "v"])
-
-    asked = over_batches(rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0), ask, f"leaf int, part int, query boolean, vec_id long, v array<{kind}>")
-    # The counts have a row for each leaf of the forest: bounded by the sample.
-    dealt = F.broadcast(spark.createDataFrame([(i, int(p)) for i, p in enumerate(parts) if p > 1] or [(-1, 1)], "leaf int, parts int"))
-    placed = indexed.join(dealt, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int"))
-    met = asked.unionByName(placed.select("leaf", "part", F.lit(False).alias("query"), "vec_id", "v"))
+            for lo in range(0, len(batch), 256):
+                b = batch.slice(lo, 256)
+                to = [f.search(q, n, parts, enough)[0] for q in _matrix(b.column(1), dim)]
+                own = pa.array(np.repeat(np.arange(len(to)), [len(t) for t in to]))
+                yield pa.table([pa.array(np.concatenate(to)), pa.array(np.ones(len(own), bool)), b.column(0).take(own), pa.nulls(len(own), pa.list_(pa.int64())), b.column(1).take(own)], ["cell", "asks", "query", "ids", "v"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held: list[pa.Table] = []
+        """Rows come by cell, those that ask first."""
+        now, queries, names = None, [], []
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            key = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
-            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            if held and len(key) and (held[0]["leaf"][0].as_py() << 32 | held[0]["part"][0].as_py()) != key[0]:
-                yield from group(held)
-                held = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                held.append(table.slice(a, b - a))
-                if b < len(key):
-                    yield from group(held)
-                    held = []
-        if held:
-            yield from group(held)
-
-    def group(tables: list[pa.Table]) -> Iterator[pa.Table]:
-        t = pa.concat_tables(tables).combine_chunks()
-        query = t["query"].to_numpy()
-        x, ids = _matrix(t["v"].chunk(0), dim), t["vec_id"].to_numpy()
-        vectors, names = x[~query], ids[~query]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for q, name in zip(x[query], ids[query].tolist(), strict=True):
-            far = np.sqrt(np.square(vectors - q).sum(axis=1))
-            far[names == name] = np.inf
-            at = np.lexsort((names, far)) if len(far) <= 4 * k else _lowest(far, names, k)
-            at = at[:k][np.isfinite(far[at[:k]])]
-            out.append((np.full(len(at), name), names[at], far[at]))
-        if out:
-            yield pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
-
-    near = over_batches(met.repartition("leaf", "part").sortWithinPartitions("leaf", "part"), rank, "query_id long, vec_id long, score double")
-    best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _lowest(far: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest, ties by the smaller id, however many share the last distance."""
-    limit = np.partition(far, k - 1)[k - 1]
-    at = np.flatnonzero(far <= limit)
-    return at[np.lexsort((names[at], far[at]))]
+            table, cell, asks = pa.Table.from_batches([batch]), batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            change = np.flatnonzero((cell[1:] != cell[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *change.tolist()], [*change.tolist(), len(cell)], strict=True):
+                if a == b:
+                    continue
+                if cell[a] != now:
+                    now, queries, names = cell[a], [], []
+                if asks[a]:
+                    queries.append(_matrix(batch.column(4).slice(a, b - a), dim))
+                    names.append(batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False))
+                elif queries:
+                    yield from _met(np.concatenate(queries), np.concatenate(names).astype(np.int64), table.slice(a, b - a), dim, k + 1)
+
+    met = over_batches(asked, ask, columns).unionByName(over_batches(entries, index, columns))
+    hits = over_batches(met.repartition("cell").sortWithinPartitions("cell", F.desc("asks")), rank, "query long, vec_id long, score double")
+    best = hits.groupBy("query", "vec_id").agg(F.min("score").alias("score"))
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
+    members = asking.join(asked, "v").select("query", F.col("vec_id").alias("query_id"))
+    each = members.join(best, "query").where("query_id <> vec_id")
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

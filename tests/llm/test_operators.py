@@ -438,6 +438,60 @@ def test_nearest(spark):
         assert all(math.isclose(far[v], s, rel_tol=1e-12) for _, v, s in found) and [(s, v) for _, v, s in found] == sorted((s, v) for _, v, s in found)
         recall += len(set(true.tolist()) & {v for _, v, _ in found}) / 10 / len(out)
     assert recall >= 0.9
-    few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<float>")
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [2.0, 1.0])] + [(2, [2.0, 1.0])] * 3, "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in ann_forest.nearest(few).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert ann_forest.nearest(few.where("false")).count() == 0
+
+
+def surface(rows: int, seed: int = 6) -> np.ndarray:
+    """Vectors of 32 dimensions on a curved surface of 5."""
+    rng = np.random.default_rng(seed)
+    return np.tanh(rng.normal(size=(rows, 5)) @ rng.normal(size=(5, 64)) * 0.5) @ rng.normal(size=(64, 32))
+
+
+def exact(x: np.ndarray, asked: np.ndarray, k: int = 10) -> list[np.ndarray]:
+    out = []
+    for q in asked:
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        out.append(np.lexsort((np.arange(len(x)), far))[:k])
+    return out
+
+
+@pytest.mark.parametrize("group", [ann_forest.GROUP, 60])
+def test_forest_compares_few_rows_and_finds_most_neighbours(group):
+    x = surface(20_000)
+    forest = ann_forest.grow(x[::4], len(x))
+    size = np.bincount(forest.leaf_of(x.astype(np.float32)).ravel(), minlength=forest.leaves)
+    splits = np.where(size > group, np.minimum(ann_forest.CELLS, 2 * (size // group + 1)), 1)
+    assert (splits.max() > 1) == (group == 60)
+    probed, asked = np.arange(50, len(x), 200), np.arange(0, len(x), 100)
+    enough = ann_forest.budget(forest, size, splits, x[probed], [x[t] for t in exact(x, probed)])
+    cell = forest.cells(x.astype(np.float32), splits)
+    assert group > 60 or np.unique(cell[:, 0], return_counts=True)[1].max() < size.max()
+    recall, compared = [], []
+    for q, true in zip(asked, exact(x, asked), strict=True):
+        met = np.isin(cell, forest.search(x[q], size, splits, enough)[0]).any(axis=1)
+        recall.append(met[true].mean())
+        compared.append(met.mean())
+    assert np.mean(recall) >= 0.9 and np.mean(compared) < 0.15
+
+
+def test_nearest_splits_large_leaves(spark):
+    x = surface(4000)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found: dict[int, set[int]] = {}
+    for r in ann_forest.nearest(frame, sample=1000, group=20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.arange(0, 4000, 100)
+    assert np.mean([len(found[q] & set(t.tolist())) / 10 for q, t in zip(asked.tolist(), exact(x, asked), strict=True)]) >= 0.9
+
+
+def test_opening_order_of_the_shared_queue():
+    """Leaves come by what the query owes on the way to them, whatever their tree, and none is left out."""
+    x = surface(3000)
+    forest = ann_forest.grow(x, len(x), trees=3)
+    size = np.bincount(forest.leaf_of(x.astype(np.float32)).ravel(), minlength=forest.leaves)
+    what, upto = forest.search(x[0], size, np.ones(forest.leaves, np.int64), float("inf"))
+    assert sorted(what.tolist()) == list(range(forest.leaves)) and upto[-1] == 3 * len(x)
+    assert set(forest.leaf_of(x[:1].astype(np.float32))[0].tolist()) <= set(what[:3].tolist())
