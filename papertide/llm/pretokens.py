@@ -1,8 +1,8 @@
 """Pre-tokens of the two public JSON tokenizers, found by character class over whole chunks of documents, and a bounded cache of encodings.
 
 `Splitter` cuts texts where the tokenizer's own pattern does; `Cache` keeps what each pre-token encodes to. Both are exact: texts that hold
-one of the tokenizer's special strings go to the library whole, and a pre-token that the cache lacks is encoded on its own. A cached
-pre-token is recognised by its 64-bit key (see `spans`).
+one of the tokenizer's special strings, or characters that Python's Unicode tables lack, are left to a function that the caller gives, and a
+pre-token that the cache lacks is encoded on its own. A cached pre-token is recognised by its 64-bit key (see `spans`).
 """
 
 from __future__ import annotations
