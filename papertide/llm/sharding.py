@@ -7,6 +7,9 @@ cell. Offsets of cells are known beforehand, hence a row's slot is its cell's of
 
 The driver holds the matrix only: BUCKETS x shards x CELLS numbers at most, whatever the number of rows.
 
+Rows that are the same in id and text cannot be told apart by a hash; where more than HOT are, their places in a written table tell them apart, so
+that they spread over the buckets. That table holds no texts.
+
 Defined results: a null text has no bytes; rows with a null id or repeated rows are rows like others; shards are empty where there are fewer rows
 than shards; other columns are ignored; an empty table gives an empty result.
 """
@@ -19,17 +22,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from papertide.functions.runtime import checkpoint
+
 #: The largest number of buckets and of cells in a shard, and the rows for which each is meant.
 BUCKETS, CELLS, ROWS = 1024, 64, 1 << 20
+#: How many equal rows are left to their hash.
+HOT = 4096
+#: Numpy draws for totals below this; larger ones are halved until they are, each half's part drawn by `_drawn`.
+TOTAL = 1_000_000_000
+
+
+def _drawn(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of n members drawn from good + bad are good, by inversion over the probabilities relative to that of the mode, which follow from those of their
+    neighbours. What lies beyond 12 standard deviations (or 64) has a probability below 1e-30 and is left out."""
+    total = good + bad
+    low, high, mode = max(0, n - bad), min(n, good), (n + 1) * (good + 1) // (total + 2)
+    deviation = (n / total * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)) * total) ** 0.5
+    reach = int(12 * deviation) + 64
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    above = np.cumprod((good - up) * (n - up) / ((up + 1) * (bad - n + up + 1)))
+    below = np.cumprod(down * (bad - n + down) / ((good - down + 1) * (n - down + 1)))
+    weight = np.concatenate([below[::-1], [1.0], above])
+    upto = np.cumsum(weight)
+    return mode - len(below) + min(int(np.searchsorted(upto, rng.random() * upto[-1], side="right")), len(upto) - 1)
+
+
+def _split(colours: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each colour are among n drawn members."""
+    total = int(colours.sum())
+    if total < TOTAL:
+        return rng.multivariate_hypergeometric(colours, n, method="marginals")
+    if len(colours) == 1:
+        return np.array([n], np.int64)
+    half = len(colours) // 2
+    first = int(colours[:half].sum())
+    part = _drawn(first, total - first, n, rng)
+    return np.concatenate([_split(colours[:half], part, rng), _split(colours[half:], n - part, rng)])
 
 
 def hypergeometric(counts: list[int], sizes: list[int], seed: int) -> np.ndarray:
     """How many members of each of `counts` fall into each of `sizes` (equal sums) under a uniform permutation."""
-    rng, left, out = np.random.default_rng(seed), np.asarray(sizes, np.int64), []
-    for n in counts:
-        out.append(rng.multivariate_hypergeometric(left, n, method="marginals"))
-        left = left - out[-1]
-    return np.asarray(out, np.int64).reshape(len(counts), len(sizes))
+    rng = np.random.default_rng(seed)
+
+    def rows(counts: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
+        if len(counts) == 1:
+            return [left]
+        half = len(counts) // 2
+        first = _split(left, int(counts[:half].sum()), rng)
+        return rows(counts[:half], first) + rows(counts[half:], left - first)
+
+    left = np.asarray(sizes, np.int64)
+    return np.asarray(rows(np.asarray(counts, np.int64), left) if len(counts) else [], np.int64).reshape(len(counts), len(sizes))
 
 
 def shard_rows(documents: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", seed: int = 7, overhead: int = 16) -> DataFrame:
@@ -39,9 +83,14 @@ def shard_rows(documents: DataFrame, shards: int = 40, doc_id: str = "doc_id", t
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(body) + overhead).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.col(doc_id), body).alias("first"),
-    ).withColumn("second", F.xxhash64(F.lit(seed + 1), "first"))
-    total = documents.count()
+        F.xxhash64(F.lit(seed), F.col(doc_id), body).alias("content"),
+    )
+    rows = checkpoint(rows.withColumn("place", F.monotonically_increasing_id()))
+    alike = rows.groupBy("content").agg(F.count("*").alias("n"))
+    total = alike.agg(F.sum("n")).first()[0] or 0
+    hot = alike.where(F.col("n") > HOT).select("content", F.lit(True).alias("hot"))
+    rows = rows.join(hot, "content", "left").withColumn("first", F.when(F.col("hot"), F.xxhash64("content", "place")).otherwise(F.col("content")))
+    rows = rows.drop("content", "place", "hot").withColumn("second", F.xxhash64(F.lit(seed + 1), "first"))
     buckets, cells = (min(most, 1 + total // ROWS) for most in (BUCKETS, CELLS))
     buckets = max(buckets, min(64, BUCKETS))
     rows = rows.withColumn("bucket", F.pmod(F.col("first"), F.lit(buckets)).cast("int"))
