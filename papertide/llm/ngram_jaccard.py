@@ -2,12 +2,14 @@
 
 1. Each text becomes its set of hashed word n-grams; documents with equal sets are one node from here on.
 2. BANDS keys of ROWS MinHash values each say which nodes may be similar: those that share a key. At similarity 0.8 a pair shares none with
-   probability below 2e-7. Keys link their nodes to the smallest one, and the connected components of these links hold all candidate pairs.
-3. Within a component all pairs are compared, MinHash values STEP at a time: under a uniform prior, the posterior probability that a pair with k of
+   probability below 2e-7. Of keys with the same nodes, the first one speaks for all. A key of more than TILE nodes is dealt into chunks, and each pair of chunks is
+   a tile of its own, so no group grows with a key.
+3. A pair belongs to the first key that its two nodes share. A pass over the keys alone leaves, in each tile, the nodes that have such a pair there; only these
+   bring their texts.
+4. In a tile, the pairs that share a key are compared, MinHash values STEP at a time: under a uniform prior, the posterior probability that a pair with k of
    m equal values reaches the threshold is that of at most k successes in m + 1 trials; pairs fall out when it is below `tolerance`. The
-   others are verified on the sets themselves, so that no pair is linked that does not reach the threshold.
-4. A component of more than TILE nodes is dealt into chunks, and each pair of chunks is a group of its own, so no group grows with a component.
-   Each group sends a spanning forest of its links and each node's number of links, never the pairs.
+   others, where they belong to the key, are verified on the sets themselves, so that no pair is linked that does not reach the threshold.
+5. Each tile sends a spanning forest of its links and each node's number of links, never the pairs. Classes are the connected components of the forests.
 
 Words are runs of what is not a space or a control character 9 to 13, with ASCII letters lowered. A text of fewer words than n has one n-gram: all its
 words. Nodes and n-grams are known by 64-bit hashes.
@@ -18,7 +20,7 @@ repeated rows count as copies of each other; other columns are ignored; an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -89,6 +91,17 @@ def fewest_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """The keys (a row for each set, a column for each band) of MinHash values."""
+    least, out = values.astype(np.uint64), np.zeros((values.shape[1], BANDS), np.uint64)
+    for b in range(BANDS):
+        h = np.full(values.shape[1], b + 1, np.uint64)
+        for r in range(ROWS):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + least[b * ROWS + r])
+        out[:, b] = h
+    return out.view(np.int64)
+
+
 def _nodes(documents: DataFrame, n: int) -> DataFrame:
     """id, node and bands of each document that has n-grams. documents: id and text."""
 
@@ -96,23 +109,19 @@ def _nodes(documents: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for lo, hi, gram, size in text_shingles(batch.column(1), n):
                 has = np.flatnonzero(size)
-                least = signatures(gram, size[has]).astype(np.uint64)
-                bands = np.zeros((BANDS, len(has)), np.uint64)
-                for b in range(BANDS):
-                    h = np.full(len(has), b + 1, np.uint64)
-                    for r in range(ROWS):
-                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + least[b * ROWS + r])
-                    bands[b] = h
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(bands.T.ravel().view(np.int64)))
+                bands = band_keys(signatures(gram, size[has]))
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
                 node = set_keys(gram, size[has]) if len(has) else np.zeros(0, np.int64)
                 yield pa.table([batch.column(0).slice(lo, hi - lo).take(pa.array(has)), pa.array(node), listed], ["id", "node", "bands"])
 
     return over_batches(documents, work, "id long, node long, bands array<long>")
 
 
-def similar_pairs(gram: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i < j) between `left` and `right` (equal arrays: all pairs) of sets laid end to end whose Jaccard similarity reaches the threshold."""
+def similar_pairs(gram: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float, band: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i < j) between `left` and `right` (equal arrays: all pairs) of sets laid end to end whose Jaccard similarity reaches the threshold and that
+    share no key of a band before `band`."""
     values = signatures(gram, size)
+    before = band_keys(values)[:, :band]
     inside = left is right
     few, found = fewest_matches(threshold, tolerance), []
     for lo in range(0, len(left), 256):
@@ -131,7 +140,10 @@ def similar_pairs(gram: np.ndarray, size: np.ndarray, left: np.ndarray, right: n
                 n += values[h][i] == values[h][j]
             stay = n >= few[step]
             i, j, n = i[stay], j[stay], n[stay]
-        found.append((i, j))
+        own = np.ones(len(i), bool)
+        for b in range(band):
+            own &= before[i, b] != before[j, b]
+        found.append((i[own], j[own]))
     i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
     shared = _shared(gram, size, i, j)
     true = shared >= threshold * (size[i] + size[j] - shared) - 1e-9
@@ -179,25 +191,60 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _links(tiles: DataFrame, n: int, threshold: float, tolerance: float) -> DataFrame:
-    """node, root and links (documents linked to) for the nodes of each tile. tiles: tile, side, node, copies, text; a tile's rows stand together."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            tile = batch.column("tile").to_numpy(zero_copy_only=False)
-            cut = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
-            if held and len(tile) and held[0]["tile"][0].as_py() != tile[0]:
+def _by_tile(batches: Iterator[pa.RecordBatch], group: Callable[[pa.Table], pa.Table]) -> Iterator[pa.Table]:
+    """group() of the rows of each tile, which stand together in the batches; the tile is the first column."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table, tile = pa.Table.from_batches([batch]), batch.column(0).to_numpy(zero_copy_only=False)
+        cut = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
+        if held and len(tile) and held[0].column(0)[0].as_py() != tile[0]:
+            yield group(pa.concat_tables(held))
+            held = []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            held.append(table.slice(a, b - a))
+            if b < len(tile):
                 yield group(pa.concat_tables(held))
                 held = []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                held.append(table.slice(a, b - a))
-                if b < len(tile):
-                    yield group(pa.concat_tables(held))
-                    held = []
-        if held:
-            yield group(pa.concat_tables(held))
+    if held and len(held[0]):
+        yield group(pa.concat_tables(held))
+
+
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a tile that are compared with each other: two chunks, or (equal arrays) one with itself."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return left, right if len(right) else left
+
+
+def tiles(sets: DataFrame, tile: int = TILE) -> DataFrame:
+    """tile, side, band and node for the nodes that have a pair belonging to the tile's key. sets: node and bands."""
+    posted = sets.select("node", F.posexplode("bands").alias("band", "key"))
+    a, b = F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("b")
+    shared = posted.groupBy("band", "key").agg(F.count("*").alias("n"), a, b).where("n > 1")
+    first = shared.groupBy("n", "a", "b").agg(F.min(F.struct("band", "key")).alias("first")).select("first.*", "n")
+    chunks = F.ceil(F.col("n") / tile).cast("int")
+    met = posted.join(first, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    # Each chunk meets itself and each other chunk of its key once.
+    met = met.select(F.xxhash64("band", "key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "band", "node")
+
+    def own(rows: pa.Table) -> pa.Table:
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(rows), BANDS)
+        left, right = _sides(rows["side"].to_numpy())
+        band, has = rows["band"][0].as_py(), np.zeros(len(rows), bool)
+        for lo in range(0, len(left), 256):
+            some = left[lo : lo + 256]
+            pair = some[:, None] != right[None, :]
+            for b in range(band):
+                pair &= bands[some, b][:, None] != bands[right, b][None, :]
+            has[some] |= pair.any(axis=1)
+            has[right] |= pair.any(axis=0)
+        return rows.select(["tile", "side", "band", "node"]).filter(pa.array(has))
+
+    keyed = met.join(sets.select("node", "bands"), "node").select("tile", "side", "band", "node", "bands")
+    return over_batches(keyed.repartition("tile").sortWithinPartitions("tile"), lambda batches: _by_tile(batches, own), "tile long, side int, band int, node long")
+
+
+def _links(met: DataFrame, n: int, threshold: float, tolerance: float) -> DataFrame:
+    """node, root and links (documents linked to) for the nodes of each tile. met: tile, side, band, node, copies, text; a tile's rows stand together."""
 
     def group(rows: pa.Table) -> pa.Table:
         parts = [(g, s) for _, _, g, s in text_shingles(rows["text"].combine_chunks(), n)]
@@ -211,35 +258,26 @@ def _links(tiles: DataFrame, n: int, threshold: float, tolerance: float) -> Data
         where = np.flatnonzero(good)
         where = where[np.unique(node[where], return_index=True)[1]]
         gram, size, node, copies, side = gram[ragged(begin[where], size[where])], size[where], node[where], copies[where], side[where]
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        i, j = similar_pairs(gram, size, left, right if len(right) else left, threshold, tolerance)
+        left, right = _sides(side)
+        i, j = similar_pairs(gram, size, left, right, threshold, tolerance, rows["band"][0].as_py())
         links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
         out = np.flatnonzero(links)
         return pa.table([pa.array(node[out]), pa.array(node[_forest(len(node), i, j)[out]]), pa.array(links[out].astype(np.int64))], ["node", "root", "links"])
 
-    return over_batches(tiles, work, "node long, root long, links long")
+    return over_batches(met, lambda batches: _by_tile(batches, group), "node long, root long, links long")
 
 
-def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7) -> DataFrame:
+def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7, tile: int = TILE) -> DataFrame:
     """doc_id, class_id (the smallest id of the documents that links connect it to, itself included) and n_links (documents whose similarity to it
     reaches the threshold) of each document."""
     rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     nodes = checkpoint(_nodes(rows.where("id is not null"), n))
     sets = checkpoint(nodes.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    posted = sets.select("node", F.explode("bands").alias("band"))
-    shared = posted.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
-    candidate = components(posted.join(shared, "band").where("node <> low").select("node", "low"), "node", "low")
-    sized = candidate.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / TILE).cast("int").alias("chunks"))
-    placed = candidate.join(sized, "component").join(sets.select("node", "id", "copies"), "node")
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    placed = checkpoint(placed.select("id", "node", "copies", "component", "chunks", chunk.alias("chunk")))
-    # Each chunk meets itself and each other chunk of its component once.
-    met = placed.join(rows.where("id is not null"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = met.select(F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "copies", "text")
-    links = checkpoint(_links(tiles.repartition("tile").sortWithinPartitions("tile"), n, threshold, tolerance))
+    placed = checkpoint(tiles(sets, tile).join(sets.select("node", "id", "copies"), "node"))
+    met = placed.join(rows.where("id is not null"), "id").select("tile", "side", "band", "node", "copies", "text")
+    links = checkpoint(_links(met.repartition("tile").sortWithinPartitions("tile"), n, threshold, tolerance))
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
-    component = components(links, "node", "root")
+    component = components(links.select("node", "root").distinct(), "node", "root")
     member = nodes.select("id", "node").join(sets.select("node", "copies"), "node").join(total, "node", "left").join(component, "node", "left")
     member = member.select("id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     lowest = member.groupBy("component").agg(F.min("id").alias("class_id"))
