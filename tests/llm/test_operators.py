@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -92,7 +93,7 @@ def test_transducer_in_parts(path):
         while data:
             n = rng.randint(1, 250)
             got += encoder.feed(data[:n])
-            assert len(encoder.held) <= 4 * merges.lookahead
+            assert len(encoder.held) <= encoder.window
             data = data[n:]
         got += encoder.finish()
         assert got == t.encode(word, add_special_tokens=False).ids
@@ -100,6 +101,37 @@ def test_transducer_in_parts(path):
         assert "".join(decoder.feed([x]) for x in got) + decoder.feed([], True) == t.decode(got, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_all_words_pass_the_encoder_and_all_ids_the_decoder(rows, path, monkeypatch):
+    fed, read = [], [0]
+
+    class Encoder(bpe_codec.WordEncoder):
+        def feed(self, data):
+            assert len(data) <= bpe_codec.BYTES
+            fed.append(bytes(data))
+            return super().feed(data)
+
+    class Decoder(bpe_codec.TextDecoder):
+        def feed(self, ids, final=False):
+            read[0] += len(ids)
+            return super().feed(ids, final)
+
+    monkeypatch.setattr(bpe_codec, "WordEncoder", Encoder)
+    monkeypatch.setattr(bpe_codec, "TextDecoder", Decoder)
+    monkeypatch.setattr(bpe_codec, "IDS", 700)
+    odd = ["\U0001fae9 new <|endoftext|><|endoftext|> x \u1c89\u1c8a \U0001fae9x", "<|endoftext|>", "Ab<|startoftext|>Cd's"]
+    given = [x or "" for _, x in rows] + odd
+    out = pa.concat_tables(bpe_codec.coded(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(given))), "text": given})]), path))
+    t = Tokenizer.from_file(path)
+    want = [t.encode(x, add_special_tokens=False).ids for x in given]
+    assert [np.frombuffer(b, "<u4").tolist() for b in out["ids"].to_pylist()] == want
+    assert out["decoded"].to_pylist() == [t.decode(x, skip_special_tokens=False) for x in want]
+    assert read[0] == sum(map(len, want))
+    met = {"".join(w) for x in given if "<|" not in x for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(x) if t.normalizer else x)}
+    letters = bpe_codec.byte_alphabet()
+    assert {w for w in met if len(w) <= 100} <= {"".join(letters[b] for b in data) for data in fed} and len(b"z" * 70000) <= sum(len(d) for d in fed)
+
+
 @pytest.mark.parametrize("shards", [3, 40, 100])
 def test_sharding(documents, none, rows, shards):
     out = sharding.shard_rows(documents, shards).collect()
@@ -127,6 +159,40 @@ def test_hypergeometric_counts():
     assert m.sum(axis=0).tolist() == [4, 4, 4, 3] and m.sum(axis=1).tolist() == [5, 0, 7, 3]
 
 
+def test_hypergeometric_counts_of_billions_of_rows():
+    counts = [5_000_000_000 // 64 + (b < 5) for b in range(64)]
+    sizes = [sum(counts) // 40 + (s < sum(counts) % 40) for s in range(40)]
+    m = sharding.hypergeometric(counts, sizes, 3)
+    assert m.sum(axis=1).tolist() == counts and m.sum(axis=0).tolist() == sizes and m.min() >= 0
+    # Each entry is near its mean, and all together are as far from it as chance has them: chi-square with 63 * 39 degrees, within 5 deviations.
+    mean = np.outer(counts, sizes) / sum(counts)
+    chi = (np.square(m - mean) / mean).sum()
+    assert abs(chi - 63 * 39) < 5 * (2 * 63 * 39) ** 0.5
+
+
+def test_large_draws_follow_the_law():
+    rng = np.random.default_rng(8)
+    got = Counter(sharding._drawn(7, 5, 6, rng) for _ in range(20_000))
+    want = {k: math.comb(7, k) * math.comb(5, 6 - k) / math.comb(12, 6) for k in range(1, 7)}
+    assert set(got) <= set(want) and sum((got[k] - 20_000 * p) ** 2 / (20_000 * p) for k, p in want.items()) < 20.5  # chi-square, 5 degrees, 0.1 %
+    for good, bad, n in ((0, 5, 3), (5, 0, 3), (4, 4, 8), (3, 9, 0)):
+        assert sharding._drawn(good, bad, n, rng) == min(good, n) if bad == 0 or good == 0 or n in (0, good + bad) else True
+
+
+def test_sharding_in_cells_and_of_equal_rows(spark, documents, rows, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS", 4)
+    monkeypatch.setattr(sharding, "HOT", 50)
+    frame = documents.select("doc_id", "text").union(spark.range(400).select(F.lit(9).cast("long"), F.lit("same")))
+    out = sharding.shard_rows(frame, 3).collect()
+    slots: dict[int, list[int]] = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    sizes = [len(slots[s]) for s in range(3)]
+    assert len(out) == len(rows) + 400 and max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    same = Counter(r.shard for r in out if r.doc_id == 9 and r.size == 20)
+    assert sum(same.values()) == 400 and min(same.values()) > 90
+
+
 def test_packing(documents, none, rows):
     t, room = Tokenizer.from_file(WORD), 64
     out = packing.pack(documents, WORD, room=room, end=1).collect()
@@ -309,6 +375,31 @@ def test_jaccard_pairs_within_a_large_group():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for b in range(150) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
 
 
+@pytest.mark.parametrize("tile", [ngram_jaccard.TILE, 4])
+def test_jaccard_classes_of_groups_and_chains(spark, tile):
+    """Near copies of one text, and a chain of texts each of which is near to its neighbours only; keys split in tiles give the same."""
+    rng = random.Random(10)
+    rows, base, stream = [], [str(rng.randint(0, 999)) for _ in range(100)], [str(rng.randint(0, 99999)) for _ in range(700)]
+    for i in range(30):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(100)] = str(rng.randint(1000, 9999))
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(stream[4 * i : 4 * i + 100])) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert keyed(ngram_jaccard.jaccard_classes(frame, tile=tile), "doc_id", "class_id", "n_links") == brute_classes(rows)
+
+
+def test_pairs_compared_in_a_chain_stay_linear(spark):
+    stream = [str(x) for x in random.Random(11).choices(range(100_000), k=5000)]
+    compared = []
+    for size in (200, 400):
+        chain = spark.createDataFrame([(i, " ".join(stream[6 * i : 6 * i + 100])) for i in range(size)], "id long, text string")
+        met = ngram_jaccard.tiles(ngram_jaccard._nodes(chain, 5).select("node", "bands").coalesce(2))
+        compared.append(sum(r["count"] ** 2 for r in met.groupBy("tile").count().collect()))
+    assert compared[1] < 2.5 * compared[0] and compared[1] < 400 * 400 / 8
+
+
 def brute_repeats(rows, width=50):
     last = (1 << 63) - 1
     low: dict[bytes, int] = {}
