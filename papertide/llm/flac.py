@@ -1,7 +1,7 @@
 """FLAC as a media column: lossless 8-bit mono streams written and read with array operations over many frames at a time.
 
-Encoding chooses, for each frame of BLOCK samples, the fixed predictor (order 0 to 4) and the Rice parameter
-that need the fewest bits, or a verbatim or constant subframe where that is smaller. Streams carry STREAMINFO (with the MD5 of the samples)
+Encoding chooses, for each frame of BLOCK samples, the predictor (fixed, of order 0 to 4, or linear, of order LINEAR, with coefficients from the frame's
+autocorrelation) and the Rice parameter that need the fewest bits, or a verbatim or constant subframe where that is smaller. Streams carry STREAMINFO (with the MD5 of the samples)
 and a seek table. Decoding parses the metadata and frame headers, checks CRC-8 and CRC-16 of each frame, decodes Rice residuals and restores
 fixed or LPC prediction, in lockstep over the frames of a batch, checks the MD5, and yields PCM blocks with their first sample's number and
 their byte offset in the stream, which is what seeking needs.
@@ -31,6 +31,8 @@ UNIT, BLOCK, RATE, SEEK = 192, 1152, 8000, 8
 #: Samples that a task encodes or decodes together.
 TOGETHER = 1 << 20
 ORDERS = 5
+#: The order of linear predictors, and the bits of their coefficients.
+LINEAR, PRECISION = 4, 8
 COEFFICIENTS = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 
 
@@ -105,6 +107,37 @@ def frames_of(sizes: np.ndarray) -> Frames:
     return Frames(stream, number, start, np.minimum(BLOCK, sizes[stream] - number * BLOCK))
 
 
+def _linear(samples: np.ndarray, frames: Frames, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each frame: quantised coefficients (nearest sample first), their shift and whether the predictor can be used; and the folded residuals, 0 for the first samples."""
+    x, count = samples.astype(np.int32), len(frames.size)
+    lagged = [x]
+    for j in range(1, LINEAR + 1):
+        past = np.concatenate([np.zeros(j, np.int32), x[:-j]])[: len(x)]
+        for t in range(j):
+            past[frames.start[frames.size > t] + t] = 0
+        lagged.append(past)
+    r = [np.add.reduceat(x * past, frames.start, dtype=np.int64).astype(np.float64) for past in lagged]
+    # Levinson's recursion, for all frames at once.
+    error, a = np.where(r[0] > 0, r[0], 1.0), np.zeros((count, LINEAR))
+    for i in range(LINEAR):
+        reflect = (r[i + 1] - (a[:, :i] * np.stack(r[i:0:-1], axis=1)).sum(axis=1) if i else r[1]) / error
+        a[:, :i] -= reflect[:, None] * a[:, :i][:, ::-1]
+        a[:, i] = reflect
+        error = np.maximum(error * (1 - reflect * reflect), 1e-9)
+    most, top = np.abs(a).max(axis=1), (1 << (PRECISION - 1)) - 1
+    shift = np.where(most < top / 64, 6, 5)
+    weight = np.clip(np.rint(a * (1 << shift)[:, None]), -top, top).astype(np.int32)
+    usable = (r[0] > 0) & (most < top / 32) & (frames.size > 2 * LINEAR)
+    guess = np.zeros(len(x), np.int32)
+    for j in range(LINEAR):
+        guess += weight[:, j][owner] * lagged[j + 1]
+    residual = x - (guess >> shift.astype(np.int32)[owner])
+    folded = (residual << 1) ^ (residual >> 31)
+    for t in range(LINEAR):
+        folded[frames.start[frames.size > t] + t] = 0
+    return weight, shift, usable, folded
+
+
 def encode_frames(samples: np.ndarray, frames: Frames) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all frames end to end, and the size in bytes of each."""
     count = len(frames.size)
@@ -124,6 +157,13 @@ def encode_frames(samples: np.ndarray, frames: Frames) -> tuple[np.ndarray, np.n
             bits = (sums >> k) + n * (k + 1) + 8 * order + 10
             better = (bits < best) & (n > 0)
             best[better], best_order[better], best_k[better] = bits[better], order, k
+    weight, shift, usable, folded = _linear(samples, frames, owner)
+    folds.append(folded)
+    sums, about = np.add.reduceat(folded, frames.start, dtype=np.int64), 9 + PRECISION * LINEAR
+    for k in range(9):
+        bits = (sums >> k) + (frames.size - LINEAR) * (k + 1) + 8 * LINEAR + 10 + about
+        better = usable & (bits < best)
+        best[better], best_order[better], best_k[better] = bits[better], ORDERS, k
     flat = np.maximum.reduceat(samples, frames.start) == np.minimum.reduceat(samples, frames.start)
     verbatim = ~flat & (best >= 8 * frames.size)
     rice = ~flat & ~verbatim
@@ -131,21 +171,23 @@ def encode_frames(samples: np.ndarray, frames: Frames) -> tuple[np.ndarray, np.n
     zeros, width, value = np.zeros(len(samples), np.int32), np.full(len(samples), 8, np.int32), samples.view(np.uint8).astype(np.int32)
     place = np.arange(len(samples), dtype=np.int32) - np.repeat(frames.start.astype(np.int32), frames.size)
     k_of, order_of = best_k.astype(np.int32)[owner], np.where(rice, best_order, -1).astype(np.int8)[owner]
-    for order in range(ORDERS):
-        at = np.flatnonzero((order_of == order) & (place >= order))
+    warm_up = [*range(ORDERS), LINEAR]
+    for order in range(ORDERS + 1):
+        at = np.flatnonzero((order_of == order) & (place >= warm_up[order]))
         folded, k = folds[order][at], k_of[at]
         zeros[at], width[at], value[at] = folded >> k, k + 1, (folded & ((1 << k) - 1)) | 1 << k
     width[flat[owner] & (place > 0)] = 0
     # What stands before the samples: header and subframe header; and, after the warm-up, the residual's coding method and parameter.
     heads = [_header(n, s) for n, s in zip(frames.number.tolist(), frames.size.tolist(), strict=True)]
-    kind = np.where(flat, 0, np.where(verbatim, 1, 8 + best_order)) << 1
+    linear = rice & (best_order == ORDERS)
+    kind = np.where(flat, 0, np.where(verbatim, 1, np.where(linear, 31 + LINEAR, 8 + best_order))) << 1
     head_bits = np.fromiter(map(len, heads), np.int64, count) * 8 + 8
-    extra = np.where(rice, 10, 0)
+    extra = np.where(rice, 10, 0) + np.where(linear, about, 0)
     size = zeros + width
     body = np.add.reduceat(size, frames.start)
     total = (head_bits + extra + body + 7) // 8 + 2
     first = (np.cumsum(total) - total) * 8
-    warm = np.where(rice, best_order, 0)
+    warm = np.where(rice, np.asarray(warm_up)[best_order], 0)
     inside = np.cumsum(size) - size
     at = first[owner] + head_bits[owner] + inside - inside[frames.start][owner] + np.where(place >= warm[owner], extra[owner], 0)
     bits = np.zeros(int(total.sum()) * 8, np.uint8)
@@ -153,8 +195,13 @@ def encode_frames(samples: np.ndarray, frames: Frames) -> tuple[np.ndarray, np.n
     for j in range(int(width.max(initial=0))):
         has = np.flatnonzero(width > j)
         bits[end[has] - j] = (value[has] >> j) & 1
+    coded = np.flatnonzero(linear)
+    where = first[coded] + head_bits[coded] + 8 * LINEAR
+    for offset, wide, number in ((0, 4, np.full(count, PRECISION - 1)), (4, 5, shift), *((9 + PRECISION * t, PRECISION, weight[:, t]) for t in range(LINEAR))):
+        for j in range(wide):
+            bits[where + offset + j] = (number[coded] >> (wide - 1 - j)) & 1
     coded = np.flatnonzero(rice)
-    where = first[coded] + head_bits[coded] + 8 * warm[coded] + 2 + 4  # method 0, no further partitions
+    where = first[coded] + head_bits[coded] + 8 * warm[coded] + (extra[coded] - 10) + 2 + 4  # method 0, no further partitions
     for j in range(4):
         bits[where + j] = (best_k[coded] >> (3 - j)) & 1
     out = np.packbits(bits)
@@ -339,13 +386,14 @@ def _subframes(data, window, ones, upto, bit, kind, n, out, place) -> np.ndarray
     weight, shift = np.zeros((len(coded), max(4, int(order.max(initial=0)))), np.int64), np.zeros(len(coded), np.int64)
     for o in range(ORDERS):
         weight[(order == o) & ~lpc, :o] = COEFFICIENTS[o]
-    for f in np.flatnonzero(lpc).tolist():
-        precision = int(_bits(window, pos[f : f + 1], 4)[0]) + 1
-        shift[f] = _signed(_bits(window, pos[f : f + 1] + 4, 5), 5)[0]
-        pos[f] += 9
-        for t in range(int(order[f])):
-            weight[f, t] = _signed(_bits(window, pos[f : f + 1], precision), precision)[0]
-            pos[f] += precision
+    f = np.flatnonzero(lpc)
+    precision = np.zeros(len(coded), np.int64)
+    precision[f], shift[f] = _bits(window, pos[f], 4) + 1, _signed(_bits(window, pos[f] + 4, 5), 5)
+    pos[f] += 9
+    for t in range(int(order[f].max(initial=0))):
+        has = f[order[f] > t]
+        weight[has, t] = _signed(_bits(window, pos[has], precision[has]), precision[has])
+        pos[has] += precision[has]
     method, parts = _bits(window, pos, 2), np.int64(1) << _bits(window, pos + 2, 4)
     if (method > 1).any():
         raise ValueError("a reserved residual coding")
