@@ -29,7 +29,7 @@ from papertide.llm.spans import CHUNK, groups_of, keys, over_batches
 SAMPLE_DOCS, SAMPLE_TASKS, TABLE_SIZE = 20_000, 8, 1 << 16
 
 
-def frequent_pretokens(documents: DataFrame, path: str, text: str = "text", sample_docs: int = SAMPLE_DOCS, size: int = TABLE_SIZE) -> list[str]:
+def frequent_pretokens(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, size: int = TABLE_SIZE) -> list[str]:
     """The most frequent pre-tokens of about sample_docs documents; each of SAMPLE_TASKS tasks sends `size` at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,18 +47,19 @@ def frequent_pretokens(documents: DataFrame, path: str, text: str = "text", samp
         yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in best]]), pa.array([[n for _, n in best]], pa.list_(pa.int64()))], ["word", "n"])
 
     total = documents.count()
-    part = documents.select(F.col(text).alias("text"))
+    part = documents.select(F.col(text).alias("text"), F.col(doc_id).alias("id"))
     if total > sample_docs:
-        part = part.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(sample_docs / total * (1 << 30)))
+        # By id and text: copies of one text come in proportion.
+        part = part.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(sample_docs / total * (1 << 30)))
     merged: Counter = Counter()
-    for row in over_batches(part.repartition(SAMPLE_TASKS), count, "word array<string>, n array<long>").collect():
+    for row in over_batches(part.select("text").repartition(SAMPLE_TASKS), count, "word array<string>, n array<long>").collect():
         merged.update(dict(zip(row.word, row.n, strict=True)))
     return sorted(merged, key=lambda w: (-merged[w], w))[:size]
 
 
 def token_counts(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = 512, sample_docs: int = SAMPLE_DOCS, size: int = TABLE_SIZE) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each document, by the tokenizer file at `path`."""
-    words = frequent_pretokens(documents, path, text, sample_docs, size)
+    words = frequent_pretokens(documents, path, doc_id, text, sample_docs, size)
     tokenizer = Tokenizer.from_file(path)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
     key = keys(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), ends - np.fromiter(map(len, words), np.int64, len(words)), ends)
