@@ -29,8 +29,8 @@ from papertide.functions.runtime import checkpoint
 from papertide.llm.pretokens import Cache, Splitter, encoded, strings
 from papertide.llm.spans import over_batches
 
-#: Parts into which the pieces of one length are numbered separately.
-PARTS = 64
+#: Pieces for each of the parts into which the pieces of one length are numbered separately.
+PIECES = 1 << 16
 
 
 def _fill(lengths: list[int], count: dict[int, int], room: int) -> dict[int, int]:
@@ -124,7 +124,8 @@ def pieces(documents: DataFrame, path: str, room: int, end: int, doc_id: str, te
 def pack(documents: DataFrame, path: str, room: int = 4096, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece."""
     # Tokens are counted once: the histogram and the placement both read the checkpoint, whose rows hold no text.
-    cut = checkpoint(pieces(documents, path, room, end, doc_id, text).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")))
+    cut = checkpoint(pieces(documents, path, room, end, doc_id, text).withColumn("hash", F.xxhash64("doc_id", "piece", "ids_crc32")))
+    cut = cut.withColumn("part", F.pmod("hash", F.lit(1 + cut.count() // PIECES)).cast("int"))
     parts = cut.groupBy("length", "part").count()
     histogram = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     table, _ = plan(histogram, room)
