@@ -217,6 +217,20 @@ def test_packing(documents, none, rows):
     assert packing.pack(none, WORD).count() == 0
 
 
+def test_packing_in_parts(documents, monkeypatch):
+    whole = keyed(packing.pack(documents, WORD, room=64), "doc_id", "piece", "length", "ids_crc32")
+    monkeypatch.setattr(packing, "PIECES", 50)
+    out = packing.pack(documents, WORD, room=64).collect()
+    assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in out) == whole
+    places = Counter((r.sequence_id, r.offset) for r in out)
+    assert max(places.values()) == 1
+
+
+def test_token_counts_from_a_sample(documents):
+    whole = keyed(token_counts.token_counts(documents, BYTE), "doc_id", "n_tokens")
+    assert keyed(token_counts.token_counts(documents, BYTE, sample_docs=5, size=3), "doc_id", "n_tokens") == whole
+
+
 def test_best_two_fit_improves_the_greedy_bin():
     # Greedy takes 6 and 3 (gap 1); 2 and 2 fit the gap that 3 leaves exactly.
     assert packing._fill([2, 3, 6], {2: 2, 3: 1, 6: 1}, 10) == {6: 1, 2: 2}
@@ -236,8 +250,8 @@ def test_flac_round_trip(documents, none, rows):
     assert flac.media(none).count() == 0
 
 
-def scalar_decode(stream: bytes) -> bytes:
-    """A plain bit-by-bit reader of the frames of a stream, for comparison."""
+def scalar_decode(stream: bytes, kinds: set[int]) -> bytes:
+    """A plain bit-by-bit reader of the frames of a stream, for comparison. kinds: takes those of the predicted subframes."""
     info = flac.metadata(stream)
     bits, at = "".join(f"{b:08b}" for b in stream), info.begin * 8
 
@@ -268,8 +282,13 @@ def scalar_decode(stream: bytes) -> bytes:
         elif kind == 1:
             got = [signed(take(8), 8) for _ in range(n)]
         else:
-            order = kind - 8
+            order = kind - 31 if kind >= 32 else kind - 8
             got = [signed(take(8), 8) for _ in range(order)]
+            weights, shift = (flac.COEFFICIENTS[order], 0) if kind < 32 else ([], 0)
+            if kind >= 32:
+                precision, shift = take(4) + 1, signed(take(5), 5)
+                weights = [signed(take(precision), precision) for _ in range(order)]
+            kinds.add(kind)
             assert take(2) == 0 and take(4) == 0
             k = take(4)
             while len(got) < n:
@@ -277,7 +296,7 @@ def scalar_decode(stream: bytes) -> bytes:
                 while not take(1):
                     q += 1
                 f = q << k | take(k)
-                guess = sum(c * got[-1 - j] for j, c in enumerate(flac.COEFFICIENTS[order]))
+                guess = sum(c * got[-1 - j] for j, c in enumerate(weights)) >> shift
                 got.append(guess + (f >> 1 ^ -(f & 1)))
         at = -(-at // 8) * 8
         crc = 0
@@ -290,17 +309,29 @@ def scalar_decode(stream: bytes) -> bytes:
 
 
 def test_flac_is_read_by_a_plain_reader_and_damage_is_found():
-    rng = np.random.default_rng(1)
+    rng, kinds = np.random.default_rng(1), set()
+    prose = ("Some prose, with words of many lengths and a full stop. " * 99)[:4032].encode()
     ramp = np.cumsum(rng.integers(-2, 3, 4000)).astype(np.int64) % 200
-    for payload in (b" " * 192, bytes(rng.integers(0, 256, 2304, dtype=np.uint8)), b"some text " * 576, bytes(ramp[:3840].astype(np.uint8))):
+    for payload in (b" " * 192, prose, bytes(rng.integers(0, 256, 2304, dtype=np.uint8)), b"some text " * 576, bytes(ramp[:3840].astype(np.uint8))):
         (stream,) = flac.encode(np.frombuffer(payload, np.uint8), np.array([len(payload)]))
-        assert scalar_decode(stream) == payload
+        assert scalar_decode(stream, kinds) == payload
         info = flac.metadata(stream)
         assert [s[0] for s in info.seek] == list(range(0, -(-len(payload) // 1152) * 1152, 1152 * flac.SEEK))
         bad = bytearray(stream)
         bad[-5] ^= 4
         with pytest.raises(ValueError):
             flac.decode([bytes(bad)])
+    assert 31 + flac.LINEAR in kinds and len(kinds) > 1
+
+
+def test_flac_features(spark):
+    lines = ["Some prose.", "", "x" * 500, "\u00e9" * 100]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for r in flac.media(frame).collect():
+        body = lines[r.doc_id].encode()
+        s = [b - 128 for b in body.ljust(max(192, -(-len(body) // 192) * 192))]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(s[:-1], s[1:], strict=True))
+        assert r.feature == f"rms={math.sqrt(sum(x * x for x in s) / len(s)):.4f};crossings={crossings};peak={max(map(abs, s))}"
 
 
 def test_flac_linear_predictor_of_order_two():
@@ -478,6 +509,18 @@ def test_language_model_passes_cover_all_documents(spark, monkeypatch):
     assert read == [out.where("not held_out").count()] * 14
 
 
+def test_training_raises_the_likelihood_of_held_out_texts(spark, monkeypatch):
+    """Texts that stay with one of two sets of words, which single counts cannot tell."""
+    rng, lines = random.Random(5), []
+    for i in range(600):
+        lines.append((i, " ".join(rng.choice(("red", "blue", "green") if i % 2 else ("one", "two", "three")) for _ in range(rng.randint(10, 30)))))
+    frame, total = spark.createDataFrame(lines, "doc_id long, text string"), []
+    for passes in (0, 14):
+        monkeypatch.setattr(hmm_lm, "PASSES", passes)
+        total.append(hmm_lm.score(frame).where("held_out").agg(F.sum("score"), F.sum("base_score")).first())
+    assert total[1][0] > total[0][0] + 10 and total[1][0] > total[1][1] + 10
+
+
 def test_symbols_of_texts_reach_the_passes(spark):
     texts = ["b a b", None, "", "c xyz  b", "zzz"]
     key, _, _ = hmm_lm.tokens(np.frombuffer(b"a b c", np.uint8), np.array([0, 5]))
