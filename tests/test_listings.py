@@ -112,9 +112,14 @@ def test_manuscript(spark):
     assert body.count(para) == 3 and "longrunning" in body and "Table" not in body and "Authors" not in body and "later" not in body
     assert all("later" not in manuscript.body_of(page(e)) for e in ("References", "7 ACKNOWLEDGEMENTS", "Appendix A", "Reproducibility Statement"))
     assert "later" in manuscript.body_of(page("Appendix B shows more.") + f"\n\n{para}\nReferences\n")
-    assert manuscript.surface("pаper “x”​ мир") == 'paper "x" мир'
-    plain = manuscript.without_markup("# Head\n\n- **bold** and `code`\n\n| a | b |\n|---|---|\n| c | d |\n\nOverview:\n[text](http://x)")
-    assert plain == "Head\n\nbold and code\n\na b c d\n\ntext" and manuscript.without_markup(plain) == plain
+    table = "# Head\n\n- **bold** and `code`\n\n| a | b \\| c |\n|---|---|\n| c | Topic |\n\nOverview: 2\n[text](http://x)\n 1) ***x __y__***\n```py\n> quote\n---\n\n\nend"
+    cases = [("pаper “x”​ мир", 'paper "x" мир'), ("мох Рy а", "мох Py a"), (None, None), ("", "")]
+    made = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string").select("k", manuscript.surface(F.col("t")).alias("t"))
+    assert [r.t for r in made.orderBy("k").collect()] == [want for _, want in cases]
+    one = lambda t: spark.createDataFrame([(t,)], "t string").select(manuscript.canonical(F.col("t"))).first()[0]
+    plain = one(table)
+    assert plain == "Head\n\nbold and code\n\na b | c c\n\ntext 1) x y\n\nquote\n\nend"
+    assert one(plain).startswith("Head\n\nbold and code\n\na b | c c\n\ntext 1) x y") and one(None) is None and one("") == ""
     out = spark.createDataFrame([("One. Two! (Three.) Four",), (None,)], "t string").select(manuscript.sentences(F.col("t")).alias("s"), manuscript.paper_body(F.col("t")).alias("b")).collect()
     assert [s.strip() for s in out[0].s] == ["One.", "Two!", "(Three.)", "Four"] and out[1].s is None and out[1].b is None
 
