@@ -14,24 +14,29 @@ from papertide.functions.runtime import shared_folder
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
+STATE = "user_id bigint, n bigint, last struct<at:timestamp,event_id:bigint,event_type:string>"
+
+
 def append_new(known: DataFrame, offered: DataFrame, key: list[str]) -> DataFrame:
     """What is known, and the offered rows whose key is not."""
     return known.unionByName(offered.join(known.select(*key).distinct(), key, "left_anti"))
 
 
-def latest_by_key(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
-    """Counts and the latest event of each user, from a stream over event files: repeated events drop within the watermark, batches merge into a table
-    in the shared folder."""
-    folder = f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
+def latest_by_key(spark: SparkSession, path: str, late: str = "1 hour", folder: str | None = None) -> DataFrame:
+    """Counts and the latest event of each user, from a stream over event files: repeated events drop within the watermark, batches merge into a table.
+
+    `folder` holds the table and the stream's progress: called again with it, only files that are new are read. Without one, a new folder in the shared one is taken."""
+    folder = folder or f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").parquet(path)
     clean = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
 
     def merge(batch: DataFrame, number: int) -> None:
         batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("at", "event_id", "event_type")).alias("last")).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
+    spark.createDataFrame([], STATE).write.mode("overwrite").parquet(f"{folder}/state/batch=-1")  # a table, even where there is no batch
     query = clean.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    state = spark.read.parquet(f"{folder}/state")
+    state = spark.read.schema(STATE).parquet(f"{folder}/state")
     return state.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last").alias("last")).select("user_id", "n", F.col("last.event_id").alias("event_id"), F.col("last.event_type").alias("event_type"))
 
 
