@@ -31,6 +31,16 @@ def folded(text: Column) -> Column:
     return F.pandas_udf(_fold_batches, "string")(text)
 
 
+def _unescape_batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        yield part.map(lambda x: html.unescape(x) if x is not None else None)
+
+
+def unescaped(text: Column) -> Column:
+    """The text with its character references resolved; null stays null."""
+    return F.pandas_udf(_unescape_batches, "string")(text)
+
+
 def _plain(text: Column, ascii_only: bool) -> Column:
     return text if ascii_only else folded(text)
 

@@ -7,6 +7,7 @@ functions; only entities and typesetting commands are resolved in Python, in bat
 from __future__ import annotations
 
 import html
+import json
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,7 @@ PRESENTATION_RANK = {"oral": 2, "spotlight": 1, "highlight": 1}
 
 unescaped = batches(lambda x: unicodedata.normalize("NFC", html.unescape(x)))
 from_latex = batches(latex_to_text)
+bib_entry = batches(lambda entry: json.dumps(bib_fields(entry)))
 
 
 def known(text: Column) -> Column:
@@ -162,7 +164,7 @@ def ijcai_pages(files: DataFrame) -> DataFrame:
 def bibliographies(files: DataFrame) -> DataFrame:
     """Papers of bibliography files: the conference entries that have a title and authors; "Last, First" is turned round."""
     rows = files.select("venue", "year", F.posexplode(F.split("body", r"\n(?=@)")).alias("seq", "entry")).where(F.lower(F.ltrim("entry")).startswith("@inproceedings"))
-    rows = rows.withColumn("f", F.udf(bib_fields, "map<string,string>")("entry")).where("f['title'] is not null and f['author'] is not null")
+    rows = rows.withColumn("f", F.from_json(bib_entry("entry"), "map<string,string>")).where("f['title'] is not null and f['author'] is not null")
     names = F.split(from_latex(F.array_join(F.split(F.col("f")["author"], r"\s+and\s+"), "\x01")), "\x01")
     turned = F.transform(names, lambda n: F.concat_ws(" ", known(F.split_part(n, F.lit(","), F.lit(2))), known(F.split_part(n, F.lit(","), F.lit(1)))))
     return papers(rows, title=known(from_latex(F.col("f")["title"])), authors=bare_authors(turned), url=known(F.col("f")["url"]), source=F.lit("aclanthology.org"))
