@@ -53,7 +53,7 @@ def credit(member: DataFrame, paper: DataFrame, person: DataFrame) -> DataFrame:
     """Fractional credit of each person: one over the number of authors for each accepted paper since their move; and the podium, whose equal
     values share a place."""
     size = member.groupBy("paper").agg(F.count(F.lit(1)).alias("authors"))
-    taken = member.join(paper.where(accepted()), "paper").join(size, "paper").join(F.broadcast(person), "person")
+    taken = member.join(paper.where(accepted()), "paper").join(size, "paper").join(person, "person")
     taken = taken.where(F.col("since").isNull() | (F.col("year") >= F.col("since")))
     out = taken.groupBy("person", "name", "institution").agg(F.sum(1 / F.greatest("authors", F.lit(1))).alias("score"), F.count(F.lit(1)).alias("accepted"))
     return out.withColumn("score", F.round("score", 6)).transform(podium, "score")
@@ -69,7 +69,7 @@ def podium(frame: DataFrame, value: str) -> DataFrame:
 def geometric_score(member: DataFrame, paper: DataFrame, person: DataFrame, fields: tuple[str, ...] = ("AI", "ML", "CV", "NLP")) -> DataFrame:
     """For each institution: the geometric mean over fields of one plus its people's credit; a field without papers counts one."""
     size = member.groupBy("paper").agg(F.count(F.lit(1)).alias("authors"))
-    rows = member.join(paper.where(accepted()), "paper").join(size, "paper").join(F.broadcast(person), "person")
+    rows = member.join(paper.where(accepted()), "paper").join(size, "paper").join(person, "person")
     parts = rows.groupBy("institution").pivot("field", list(fields)).agg(F.sum(1 / F.col("authors")))
     log = sum((F.log(F.coalesce(F.col(f), F.lit(0.0)) + 1) for f in fields), F.lit(0.0))
     return parts.select("institution", F.round(F.exp(log / len(fields)), 6).alias("score"))
@@ -81,7 +81,7 @@ def collaboration(member: DataFrame, paper: DataFrame, person: DataFrame) -> Dat
     taken = member.join(paper.where(accepted()).select("paper"), "paper")
     own = person.select(F.col("person"), F.col("institution").alias("own"))
     other = person.select(F.col("person").alias("other"), F.col("institution").alias("theirs"), "home")
-    pair = taken.join(taken.withColumnRenamed("person", "other"), "paper").where("person <> other").join(F.broadcast(own), "person").join(F.broadcast(other), "other")
+    pair = taken.join(taken.withColumnRenamed("person", "other"), "paper").where("person <> other").join(own, "person").join(other, "other")
     each = taken.withColumn("n", F.count("*").over(Window.partitionBy("paper")) - 1).groupBy("person").agg(F.round(F.avg("n"), 6).alias("mean_coauthors"), F.min("n").alias("min_coauthors"), F.max("n").alias("max_coauthors"))
     known = pair.groupBy("person", "other").agg(F.first("home").alias("home"), F.first(F.col("own") == F.col("theirs")).alias("same"))
     sets = known.groupBy("person").agg(F.count(F.lit(1)).alias("distinct_coauthors"), count_if(~F.col("home")).alias("abroad"), count_if(F.col("same")).alias("same_institution"))
@@ -91,20 +91,20 @@ def collaboration(member: DataFrame, paper: DataFrame, person: DataFrame) -> Dat
 
 def authorship_shares(authorship: DataFrame, paper: DataFrame, person: DataFrame) -> DataFrame:
     """By venue and year: accepted papers, those most of whose authors are at home, and those whose first author is."""
-    rows = authorship.join(F.broadcast(person.select("person", "home")), "person")
+    rows = authorship.join(person.select("person", "home"), "person")
     each = rows.groupBy("paper").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("home")).alias("h"), F.max(F.when(F.col("position") == 1, F.col("home"))).alias("first_home"))
     return each.join(paper.where(accepted()), "paper").groupBy("venue", "year").agg(F.count(F.lit(1)).alias("judged"), count_if(2 * F.col("h") > F.col("n")).alias("majority"), count_if(F.col("first_home")).alias("first_author"))
 
 
 def institution_rollup(member: DataFrame, paper: DataFrame, person: DataFrame) -> DataFrame:
     """Counts over the distinct papers of an institution's people."""
-    own = member.join(F.broadcast(person.select("person", "institution")), "person").select("institution", "paper").distinct()
+    own = member.join(person.select("person", "institution"), "person").select("institution", "paper").distinct()
     return own.join(paper, "paper").groupBy("institution").agg(*counts(), F.countDistinct("venue").alias("venues"))
 
 
 def foreign_coauthors(member: DataFrame, paper: DataFrame, person: DataFrame, more_than: int = 4) -> DataFrame:
     """People abroad by the accepted papers that they share with people at home: how many, with whom most (ties: the smaller id), with how many."""
-    taken = member.join(paper.where(accepted()).select("paper"), "paper").join(F.broadcast(person.select("person", "home", "approved")), "person")
+    taken = member.join(paper.where(accepted()).select("paper"), "paper").join(person.select("person", "home", "approved"), "person")
     abroad, home = taken.where(~F.col("home")).select("paper", "person"), taken.where(F.col("home") & F.col("approved")).select("paper", F.col("person").alias("partner"))
     pair = abroad.join(home, "paper")
     papers = pair.groupBy("person").agg(F.countDistinct("paper").alias("papers"))
@@ -116,7 +116,7 @@ def foreign_coauthors(member: DataFrame, paper: DataFrame, person: DataFrame, mo
 def candidates(authorship: DataFrame, paper: DataFrame, person: DataFrame, limit: int = 250) -> DataFrame:
     """People not on the roster, by their accepted papers: how many, how often last of several, years, first paper; the first `limit` of them."""
     last = authorship.withColumn("n", F.count("*").over(Window.partitionBy("paper")))
-    rows = last.join(F.broadcast(person), "person").where(~F.col("approved")).join(paper.where(accepted()), "paper")
+    rows = last.join(person, "person").where(~F.col("approved")).join(paper.where(accepted()), "paper")
     each = rows.groupBy("person", "name", "paper", "year").agg(F.max((F.col("position") == F.col("n")) & (F.col("n") > 1)).alias("senior"))
     out = each.groupBy("person", "name").agg(F.count(F.lit(1)).alias("papers"), count_if(F.col("senior")).alias("senior"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min(F.struct("year", "paper"))["paper"].alias("first_paper"))
     return out.orderBy(F.desc("papers"), F.desc("senior"), "name").limit(limit)
@@ -137,3 +137,15 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     before = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     inside = placed.withColumn("shown", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     return inside.join(F.broadcast(before), "part").withColumn("shown", F.col("shown") + F.col("before")).drop("part", "before")
+
+
+def cell_order(rows: DataFrame, cell: str, *ties: str) -> tuple:
+    """The rows and the order in which a table shows them by a column of text cells: by number where all cells that are not empty are numbers, from the largest; else by text. Empty
+    cells come last. Signs of per cent do not count, and "11 +1" stands for 12 and 11 thousandths."""
+    value = F.regexp_replace(F.trim(cell), r"[%,]", "")
+    parts = F.split(value, r"\s*\+\s*")
+    first, more = F.try_element_at(parts, F.lit(1)).try_cast("double"), F.try_element_at(parts, F.lit(2)).try_cast("double")
+    number = F.when(F.size(parts) == 2, first + more + first / 1000).otherwise(value.try_cast("double"))
+    whole = rows.agg(count_if((value != "") & number.isNull()).alias("n")).first().n == 0
+    key = F.nullif(value, F.lit(""))
+    return rows, number.desc_nulls_last() if whole else F.lower(key).asc_nulls_last(), *(F.col(t).asc() for t in ties)

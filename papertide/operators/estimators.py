@@ -16,7 +16,7 @@ def _ratios(member: DataFrame, paper: DataFrame) -> DataFrame:
 def project(member: DataFrame, paper: DataFrame, person: DataFrame) -> DataFrame:
     """For each person and year since their move: accepted, known rejections, and the estimated rest, from the person's own ratio where all
     submissions are public. Rejections on record are not estimated a second time."""
-    rows = member.join(paper, "paper").join(F.broadcast(person.select("person", "since")), "person").where(F.col("since").isNull() | (F.col("year") >= F.col("since")))
+    rows = member.join(paper, "paper").join(person.select("person", "since"), "person").where(F.col("since").isNull() | (F.col("year") >= F.col("since")))
     negative = F.col("status").isin(*NEGATIVE)
     year = rows.groupBy("person", "year").agg(
         count_if(accepted()).alias("accepted"), count_if(negative).alias("known"), count_if(negative & ~F.col("full")).alias("other"), count_if(accepted() & ~F.col("full")).alias("elsewhere")
@@ -33,7 +33,7 @@ def overview(projected: DataFrame) -> DataFrame:
 
 def institution_estimate(member: DataFrame, paper: DataFrame, person: DataFrame) -> DataFrame:
     """Each institution's hidden rejections from its own pooled record, over the distinct papers of its people."""
-    own = member.join(F.broadcast(person.select("person", "institution")), "person").select("institution", "paper").distinct().join(paper, "paper")
+    own = member.join(person.select("person", "institution"), "person").select("institution", "paper").distinct().join(paper, "paper")
     negative = F.col("status").isin(*NEGATIVE)
     sums = own.groupBy("institution").agg(
         count_if(F.col("full")).alias("s"), count_if(F.col("full") & accepted()).alias("a"), count_if(accepted()).alias("accepted"), count_if(negative).alias("known"), count_if(negative & ~F.col("full")).alias("other"), count_if(accepted() & ~F.col("full")).alias("elsewhere")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papertide.operators import aggregates
+
 
 def edges(member: DataFrame, node: str = "person") -> DataFrame:
     """a < b and weight: the papers two nodes share."""
@@ -33,3 +35,95 @@ def stress(edge: DataFrame, spot: DataFrame, reach: float = 190.0) -> DataFrame:
     rows = edge.join(a, "a").join(b, "b").select(d.alias("d"), (reach * F.pow("weight", F.lit(-0.8 / 3))).alias("l"))
     sums = rows.agg(F.sum(F.col("d") * F.col("l")).alias("dl"), F.sum(F.col("d") * F.col("d")).alias("dd"), F.sum(F.col("l") * F.col("l")).alias("ll"))
     return sums.select(F.round(1 - F.col("dl") * F.col("dl") / F.col("dd") / F.col("ll"), 6).alias("stress"), F.round(F.col("dl") / F.col("dd"), 6).alias("scale"))
+
+
+def component_sizes(component: DataFrame) -> DataFrame:
+    """component, its first and number of nodes, and its place: the largest first, ties by the first node. component: node, component."""
+    sized = component.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("first"))
+    return aggregates.numbered(sized, F.col("nodes").desc(), F.col("first").asc())
+
+
+def institution_members(own: DataFrame, printed: DataFrame, roster: DataFrame, parents: dict[str, str]) -> DataFrame:
+    """paper and node of the institutions that take part in a paper.
+
+    Those on the roster take part through their people only (own: paper, short). Others join where the paper prints them (printed: paper, places): not generic matches, and neither a
+    roster institution nor the university above one; they are named "x-" and their short name. Where a member school takes part, the university above it does not.
+    """
+    above = [F.lit(x) for pair in parents.items() for x in pair]
+    named = printed.select("paper", F.explode("places").alias("p")).where("p.full <> p.short").select("paper", "p.short", "p.full").distinct()
+    held = roster.select("short").union(roster.select(F.create_map(*above)[F.col("short")].alias("short"))).dropna().distinct()
+    other = named.join(held, "short", "left_anti").join(roster.select(F.col("institution").alias("full")).distinct(), "full", "left_anti")
+    members = own.select("paper", "short", F.col("short").alias("node")).union(other.select("paper", "short", F.concat(F.lit("x-"), "short").alias("node"))).distinct()
+    covered = members.select("paper", F.create_map(*above)[F.col("short")].alias("short")).dropna().distinct()
+    return members.join(covered, ["paper", "short"], "left_anti").select("paper", "node")
+
+
+def hubs(edge: DataFrame, component: DataFrame) -> DataFrame:
+    """component and hub: the node linked to every other one of a group of at least three that is no chain (some node has three links, or it has a cycle); the least of several."""
+    ends = edge.select(F.col("a").alias("node")).union(edge.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    group = component.join(ends, "node", "left").fillna(0, ["degree"]).groupBy("component")
+    size = group.agg(F.count(F.lit(1)).alias("n"), F.max("degree").alias("top"), F.sum("degree").alias("ends"), F.min_by("node", F.struct((-F.col("degree")).alias("d"), "node")).alias("hub"))
+    return size.where((F.col("n") >= 3) & ((F.col("top") >= 3) | (F.col("ends") / 2 >= F.col("n"))) & (F.col("top") == F.col("n") - 1)).select("component", "hub")
+
+
+#: The side of the squares in which near things meet.
+CELL = 100.0
+
+
+def _meet(left: DataFrame, right: DataFrame, cell: float = CELL) -> DataFrame:
+    """Pairs of boxes that overlap, each once: they meet in the squares that both touch, and count in the one that holds the corner of their overlap.
+
+    left, right: x0, x1, y0, y1 and other columns, in the right one under other names with `_r`."""
+    at = lambda c: F.floor(F.col(c) / cell)
+
+    def dealt(boxes: DataFrame, end: str) -> DataFrame:
+        wide = boxes.withColumn("cx", F.explode(F.sequence(at("x0" + end), at("x1" + end))))
+        return wide.withColumn("cy", F.explode(F.sequence(at("y0" + end), at("y1" + end))))
+
+    both = dealt(left, "").join(dealt(right, "_r"), ["cx", "cy"])
+    over = (F.col("x0") <= F.col("x1_r")) & (F.col("x0_r") <= F.col("x1")) & (F.col("y0") <= F.col("y1_r")) & (F.col("y0_r") <= F.col("y1"))
+    home = (F.col("cx") == F.floor(F.greatest("x0", "x0_r") / cell)) & (F.col("cy") == F.floor(F.greatest("y0", "y0_r") / cell))
+    return both.where(over & home).drop("cx", "cy")
+
+
+def _lines(edge: DataFrame, spot: DataFrame, around: float = 0.0) -> DataFrame:
+    """a, b, their places and the box around each line."""
+    a, b = (spot.select(F.col("node").alias(n), F.col("x").alias(n + "x"), F.col("y").alias(n + "y")) for n in "ab")
+    rows = edge.select("a", "b").join(a, "a").join(b, "b")
+    box = {"x0": F.least("ax", "bx") - around, "x1": F.greatest("ax", "bx") + around, "y0": F.least("ay", "by") - around, "y1": F.greatest("ay", "by") + around}
+    return rows.select("a", "b", "ax", "ay", "bx", "by", *(c.alias(k) for k, c in box.items()))
+
+
+def _renamed(frame: DataFrame) -> DataFrame:
+    return frame.select(*(F.col(c).alias(c + "_r") for c in frame.columns))
+
+
+def crossings(edge: DataFrame, spot: DataFrame) -> DataFrame:
+    """The pairs of lines (a, b, a_r, b_r) with four different ends that properly cross. edge: a, b; spot: node, x, y."""
+    line = _lines(edge, spot)
+    met = _meet(line, _renamed(line)).where((F.struct("a", "b") < F.struct("a_r", "b_r")) & (F.col("a") != F.col("a_r")) & (F.col("a") != F.col("b_r")) & (F.col("b") != F.col("a_r")) & (F.col("b") != F.col("b_r")))
+    c = F.col
+    side = lambda p, q, r: (c(q[0]) - c(p[0])) * (c(r[1]) - c(p[1])) - (c(q[1]) - c(p[1])) * (c(r[0]) - c(p[0]))
+    p1, p2, p3, p4 = ("ax", "ay"), ("bx", "by"), ("ax_r", "ay_r"), ("bx_r", "by_r")
+    cross = (side(p3, p4, p1) * side(p3, p4, p2) < 0) & (side(p1, p2, p3) * side(p1, p2, p4) < 0)
+    return met.where(cross).select("a", "b", "a_r", "b_r")
+
+
+def rule_breaks(edge: DataFrame, spot: DataFrame, gap: float = 40.0) -> DataFrame:
+    """Numbers of lines that pass a node at which they do not end within `gap`, of labels that overlap, and of nodes too close to read. spot: node, x, y, label."""
+    node = spot.select("node", "x", "y", "label", F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))
+    met = _meet(_lines(edge, spot, gap), _renamed(node)).where("node_r <> a and node_r <> b")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    square = dx * dx + dy * dy
+    t = ((F.col("x_r") - F.col("ax")) * dx + (F.col("y_r") - F.col("ay")) * dy) / F.when(square == 0, 1.0).otherwise(square)
+    far = F.hypot(F.col("x_r") - F.col("ax") - t * dx, F.col("y_r") - F.col("ay") - t * dy)
+    passed = met.where((t > 0) & (t < 1) & (far < gap)).agg(F.count(F.lit(1)).alias("lines"))
+    # The label's box begins at the node; boxes of nodes and labels meet, with the space around nodes.
+    width = 18 + 8.4 * F.length("label")
+    boxed = spot.select("node", "x", "y", width.alias("w"), (F.col("x") - gap).alias("x0"), (F.col("x") + F.greatest(width, F.lit(gap))).alias("x1"), (F.col("y") - gap).alias("y0"), (F.col("y") + gap).alias("y1"))
+    pair = _meet(boxed, _renamed(boxed)).where("node < node_r")
+    first = F.col("x") <= F.col("x_r")
+    overlap = F.when(first, F.col("x") + F.col("w") > F.col("x_r")).otherwise(F.col("x_r") + F.col("w_r") > F.col("x")) & (F.abs(F.col("y") - F.col("y_r")) < 24)
+    near = F.hypot(F.col("x") - F.col("x_r"), F.col("y") - F.col("y_r")) < gap
+    close = pair.agg(aggregates.count_if(overlap).alias("labels"), aggregates.count_if(near).alias("nodes"))
+    return passed.crossJoin(close)  # one row each

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def later_acceptance(member: DataFrame, paper: DataFrame) -> DataFrame:
@@ -49,12 +48,26 @@ def subset_overlap(people: DataFrame, directory: DataFrame) -> DataFrame:
     return met.groupBy("person").agg(F.min("entry").alias("entry"))
 
 
-def similar_titles(titles: DataFrame, threshold: float = 0.9, reach: int = 14) -> DataFrame:
-    """Pairs of distinct titles of a block that agree in their first or last `reach` characters and whose similarity ratio reaches the threshold. titles: block,
-    title. Blocks keep pairs few; ratios are computed in batches."""
+def title_candidates(titles: DataFrame, reach: int = 14, size: int = 1000, threshold: float = 0.9) -> DataFrame:
+    """Pairs (title < other) of distinct titles of a block that agree in their first or last `reach` characters, and whose lengths allow the ratio. titles: block, title.
+
+    Titles that share a key are dealt into parts of about `size`, and each two parts meet on their own, so that a common beginning is no group of all its titles. A pair that
+    shares both keys comes from the first one only."""
     own = titles.distinct().withColumn("key", F.explode(F.array(F.concat(F.lit("l"), F.left("title", F.lit(reach))), F.concat(F.lit("r"), F.right("title", F.lit(reach))))))
-    other = own.select("block", "key", F.col("title").alias("other"))
-    pairs = own.join(other, ["block", "key"]).where("title < other").select("block", "title", "other").distinct()
+    parts = own.groupBy("block", "key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts")).where("parts > 0")
+    dealt = own.join(parts, ["block", "key"]).withColumn("part", F.pmod(F.xxhash64("title"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "key", "title", "part", "with")
+    left = met.select("block", "key", "title", F.col("part").alias("a"), F.col("with").alias("b"))
+    right = met.select("block", "key", F.col("title").alias("other"), F.col("with").alias("a"), F.col("part").alias("b"))
+    pairs = left.join(right, ["block", "key", "a", "b"]).where("title < other")
+    x, y = F.char_length("title"), F.char_length("other")
+    both = F.startswith("key", F.lit("r")) & (F.left("title", F.lit(reach)) == F.left("other", F.lit(reach)))
+    return pairs.where(~both & (2 * F.least(x, y) >= threshold * (x + y) - 1e-9)).select("block", "title", "other")
+
+
+def similar_titles(titles: DataFrame, threshold: float = 0.9, reach: int = 14) -> DataFrame:
+    """The title_candidates() whose similarity ratio reaches the threshold. Ratios are computed in batches."""
+    pairs = title_candidates(titles, reach, threshold=threshold)
 
     @F.pandas_udf("double")
     def ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -65,7 +78,7 @@ def similar_titles(titles: DataFrame, threshold: float = 0.9, reach: int = 14) -
 
 
 def merge_best(rows: DataFrame, key: list[str], rank: str, seq: str) -> DataFrame:
-    """One row per key: the best rank, the first of equals by seq, with how many there were."""
-    w = Window.partitionBy(*key)
-    best = rows.withColumn("n_merged", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc(rank), seq)))
-    return best.where("place = 1").drop("place")
+    """One row per key: the best rank, the first of equals by seq (a number), with how many there were. Rows are combined before they are shuffled."""
+    row = F.struct(*(c for c in rows.columns if c not in key))
+    best = rows.groupBy(*key).agg(F.max_by(row, F.struct(F.col(rank).alias("rank"), (-F.col(seq)).alias("seq"))).alias("r"), F.count(F.lit(1)).alias("n_merged"))
+    return best.select(*key, "r.*", "n_merged")
