@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -227,7 +228,7 @@ def join_lookup_coalesce(d):
     good AS (SELECT paper FROM src JOIN authorship USING (paper, position) GROUP BY paper HAVING bool_and(name = person) AND paper % 2 = 0)
     SELECT paper, position, person AS name, CASE WHEN paper % 2 = 1 THEN nation WHEN paper IN (SELECT paper FROM good) THEN person END AS value FROM authorship JOIN person USING (person)""")
 def join_affiliation_fill(d):
-    own = d.authorship.join(F.broadcast(d.person.select("person", "nation")), "person")
+    own = d.authorship.join(d.person.select("person", "nation"), "person")
     target = own.select("paper", "position", F.col("person").alias("name"), F.when(F.col("paper") % 2 == 1, F.col("nation")).cast("long").alias("value"))
     source = d.authorship.select("paper", "position", F.when(F.col("paper") % 5 == 0, F.col("person") + 1).otherwise(F.col("person")).alias("name"), F.col("person").alias("value"))
     return matching.fill_sequences(target, source)
@@ -235,7 +236,7 @@ def join_affiliation_fill(d):
 
 @query("SELECT paper, venue, year FROM paper WHERE paper IN (SELECT paper FROM member JOIN person USING (person) WHERE approved)")
 def join_semi_own_page(d):
-    return d.paper.join(d.member.join(F.broadcast(d.person.where("approved").select("person")), "person"), "paper", "left_semi").select("paper", "venue", "year")
+    return d.paper.join(d.member.join(d.person.where("approved").select("person"), "person"), "paper", "left_semi").select("paper", "venue", "year")
 
 
 @query("SELECT c_custkey AS candidate, c_name AS name FROM customer WHERE c_nationkey NOT IN (SELECT nation FROM person WHERE approved AND home) AND c_custkey NOT IN (SELECT person FROM person)")
@@ -246,10 +247,19 @@ def join_anti_roster(d):
     return people.join(nations, "c_nationkey", "left_anti").join(d.person.select(F.col("person").alias("c_custkey")), "c_custkey", "left_anti").select(F.col("c_custkey").alias("candidate"), F.col("c_name").alias("name"))
 
 
+def _titles(spark: SparkSession, sf_dir: str, ascii_only: bool) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("block"), text.norm_title(F.substring_index("text", "\n", 1), ascii_only).alias("title")).where("title <> ''")
+
+
 @query(on_domain=False)
 def join_fuzzy_title_blocked(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("block"), text.norm_title(F.substring_index("text", "\n", 1)).alias("title")).where("title <> ''")
-    return matching.similar_titles(rows)
+    return matching.similar_titles(_titles(spark, sf_dir, False))
+
+
+@query("""WITH t AS (SELECT DISTINCT lang AS block, regexp_replace(regexp_replace(lower(regexp_replace(split_part(text, chr(10), 1), '\\\\[A-Za-z]+', ' ', 'g')), '[^a-z0-9]+', '', 'g'), '', '') AS title FROM documents)
+    SELECT a.block, a.title, b.title AS other FROM t a JOIN t b ON a.block = b.block AND a.title < b.title AND (left(a.title, 14) = left(b.title, 14) OR right(a.title, 14) = right(b.title, 14)) WHERE a.title <> '' AND 2 * least(length(a.title), length(b.title)) >= 0.9 * (length(a.title) + length(b.title)) - 1e-9""", on_domain=False)
+def join_title_candidates(spark, sf_dir):
+    return matching.title_candidates(_titles(spark, sf_dir, True))
 
 
 @query("""WITH d AS (SELECT min(p_partkey) AS entry, p_name, p_brand FROM part GROUP BY p_name, p_brand), p AS (SELECT p_partkey AS person, list_value(split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), 'x') AS tokens, p_brand AS place FROM part)
@@ -268,7 +278,7 @@ def join_subset_overlap(spark, sf_dir):
     b AS (SELECT paper, person, unnest(CASE WHEN track = 'findings' THEN ['workshop', 'rejected_main'] WHEN track = 'workshop' THEN ['workshop'] WHEN track <> 'main' THEN ['other_track'] WHEN since IS NOT NULL AND year < since THEN ['before_move'] WHEN status = 'unknown' THEN ['unknown'] WHEN NOT home THEN ['elsewhere'] ELSE ['counted'] END) AS bucket FROM r)
     SELECT bucket, count(*) AS n, count(DISTINCT person) AS people FROM b GROUP BY bucket""".replace("CAST(worth AS BIGINT)", "CAST(floor(worth) AS BIGINT)"))
 def rules_route_buckets(d):
-    rows = d.member.join(d.paper, "paper").join(F.broadcast(d.person), "person")
+    rows = d.member.join(d.paper, "paper").join(d.person, "person")
     code = F.floor("worth") % 5
     track = F.when(code == 0, "findings").when(code == 1, "workshop").when(code == 2, "journal").otherwise("main")
     status = F.when(F.col("paper") % 11 == 0, "unknown").otherwise(F.col("status"))
@@ -337,7 +347,7 @@ _INST = ", im AS (SELECT DISTINCT nation, paper FROM member JOIN person USING (p
 
 
 def _institution_edges(d: Domain) -> tuple[DataFrame, DataFrame]:
-    own = d.member.join(F.broadcast(d.person.select("person", "nation")), "person").select("nation", "paper").distinct()
+    own = d.member.join(d.person.select("person", "nation"), "person").select("nation", "paper").distinct()
     return own, graph.edges(own, "nation")
 
 
@@ -352,17 +362,16 @@ def graph_nodes_degree(d):
     return graph.degrees(edge, own, "nation")
 
 
-@query(_EDGES + """, heavy AS (SELECT a, b FROM edge WHERE weight >= (SELECT quantile_disc(weight, 0.995) FROM edge)), both_ways AS (SELECT a, b FROM heavy UNION SELECT b, a FROM heavy),
-    reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON other = a) SELECT node, min(other) AS component FROM reach GROUP BY node""")
+_REACH = """, both_ways AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge), low(node, component) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM both_ways GROUP BY a
+    UNION SELECT e.a, min(l.component) FROM low l JOIN both_ways e ON e.b = l.node JOIN recurring.low o ON o.node = e.a WHERE l.component < o.component GROUP BY e.a) SELECT node, component FROM low"""
+
+
+@query(_EDGES + _REACH)
 def graph_components(d):
-    edge = graph.edges(d.member)
-    limit = edge.groupBy("weight").agg(F.count(F.lit(1)).alias("n"))
-    total = Window.orderBy("weight").rowsBetween(Window.unboundedPreceding, 0)  # over the few distinct weights
-    limit = limit.select("weight", F.sum("n").over(total).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all")).where("upto >= ceil(0.995 * all)").agg(F.min("weight").alias("least"))
-    return components(edge.crossJoin(F.broadcast(limit)).where("weight >= least"), "a", "b")
+    return components(graph.edges(d.member), "a", "b")
 
 
-@query()
+@query(_EDGES + _REACH)
 def graph_components_all(d):
     return components(graph.edges(d.member), "a", "b")
 
@@ -370,7 +379,7 @@ def graph_components_all(d):
 @query(_INST + """, home AS (SELECT person, paper FROM member JOIN person USING (person) WHERE home), e AS (SELECT h.person AS l, p.nation AS r, count(*) AS w FROM home h JOIN member m ON m.paper = h.paper JOIN person p ON p.person = m.person WHERE NOT p.home GROUP BY h.person, p.nation)
     SELECT r AS "right", round(sum(l * 1.0 * w) / sum(w), 6) AS centre, CAST(sum(w) AS BIGINT) AS weight FROM e GROUP BY r""".replace(_INST, ""))
 def graph_bipartite_barycentre(d):
-    people = F.broadcast(d.person.select("person", "home", "nation"))
+    people = d.person.select("person", "home", "nation")
     left = d.member.join(people, "person").where("home").select("paper", F.col("person").alias("left"))
     right = d.member.join(people, "person").where("not home").select("paper", F.col("nation").alias("right"))
     return graph.barycentre(left.join(right, "paper").groupBy("left", "right").agg(F.count(F.lit(1)).alias("weight")))
@@ -419,11 +428,14 @@ def arr_dense_year_map(d):
     return known.select("person", F.inline(dense))
 
 
-@query("""SELECT c_custkey AS id, row_number() OVER (ORDER BY CASE WHEN c_acctbal < 1000 THEN NULL ELSE c_acctbal END DESC NULLS LAST, c_name) AS shown FROM customer ORDER BY shown LIMIT 100""", on_domain=False)
+@query("""WITH c AS (SELECT c_custkey AS id, c_name, CASE WHEN c_acctbal < 1000 THEN '' WHEN c_custkey % 3 = 0 THEN CAST(floor(c_acctbal) AS BIGINT) || ' +' || c_custkey % 7 ELSE CAST(floor(c_acctbal) AS BIGINT) || '%' END AS cell FROM customer),
+    k AS (SELECT id, c_name, cell, CASE WHEN cell = '' THEN NULL WHEN contains(cell, '+') THEN CAST(split_part(cell, ' +', 1) AS DOUBLE) + CAST(split_part(cell, ' +', 2) AS DOUBLE) + CAST(split_part(cell, ' +', 1) AS DOUBLE) / 1000 ELSE CAST(rtrim(cell, '%') AS DOUBLE) END AS n FROM c)
+    SELECT id, row_number() OVER (ORDER BY n DESC NULLS LAST, c_name, id) AS shown FROM k""", on_domain=False)
 def sort_table_semantics(spark, sf_dir):
-    value = F.when(F.col("c_acctbal") >= 1000, F.col("c_acctbal"))
-    top = table(spark, sf_dir, "customer").orderBy(value.desc_nulls_last(), "c_name").limit(100)  # the page that is shown
-    return top.select(F.col("c_custkey").alias("id"), F.row_number().over(Window.orderBy(value.desc_nulls_last(), "c_name")).cast("long").alias("shown"))
+    whole = F.floor("c_acctbal").cast("bigint").cast("string")
+    cell = F.when(F.col("c_acctbal") < 1000, "").when(F.col("c_custkey") % 3 == 0, F.concat(whole, F.lit(" +"), (F.col("c_custkey") % 7).cast("string"))).otherwise(F.concat(whole, F.lit("%")))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", cell.alias("cell"))
+    return aggregates.numbered(*aggregates.cell_order(rows, "cell", "c_name", "id")).select("id", "shown")
 
 
 @query("""SELECT c_custkey AS id, row_number() OVER (ORDER BY CASE WHEN c_acctbal < 1000 THEN NULL ELSE c_acctbal END DESC NULLS LAST, c_name, c_custkey) AS shown FROM customer""", on_domain=False)
@@ -483,21 +495,29 @@ def str_canonicalize(spark, sf_dir):
 
 @query()
 def resolve_person_records(d):
-    rows = d.member.join(_full(d), "paper").join(F.broadcast(d.person), "person")
+    return resolution.resolve(_candidates(d))
+
+
+def _candidates(d: Domain) -> DataFrame:
+    """Candidates of all four sources: own submissions, those in a colleague's record, list entries and pages."""
+    rows = d.member.join(_full(d), "paper").join(d.person, "person")
     title = F.concat(F.lit("Study "), F.hex("holder"), F.lit(" of "), F.hex(F.col("paper") % 11))
     placed = F.when(F.col("paper") % 3 != 0, F.col("institution"))
+    none = {"aff": F.lit(None), "home": F.lit(False), "domestic": F.lit(False)}
     shared = {
-        "slug": F.col("person").cast("string"), "seq": F.col("paper"), "venue": F.col("venue"), "year": F.col("year"), "track": F.lit("main"), "title": title, "available": F.lit(True), "final": F.lit(True), "exact": F.lit(False),
+        "slug": F.col("person").cast("string"), "seq": F.col("paper"), "venue": F.col("venue"), "year": F.col("year"), "track": F.lit("main"), "title": title, "available": F.lit(True), "final": F.lit(True), "exact": F.col("paper") % 2 == 0,
         "any_aff": placed.isNotNull(), "any_home": placed.isNotNull(), "answer": F.when(F.col("paper") % 7 == 0, "yes").when(F.col("paper") % 7 == 1, "no"), "since": F.col("since"), "role": F.lit("own"), "source": F.lit("own page"),
     }
+    unsure = F.when(F.col("paper") % 5 == 0, "unknown").otherwise(F.col("status"))
     own = {
-        resolution.OWN_NOTE: (F.col("full"), {"status": F.when(F.col("paper") % 5 == 0, "unknown").otherwise(F.col("status")), "listed": F.col("status") == "accepted", "aff": F.lit(None), "home": F.lit(False), "domestic": F.lit(False)}),
+        resolution.OWN_NOTE: (F.col("full"), none | {"status": unsure, "listed": F.col("status") == "accepted"}),
+        resolution.SHARED_NOTE: (~F.col("full") & (F.col("paper") % 6 == 0), none | {"status": unsure, "listed": (F.col("status") == "accepted") & (F.col("paper") % 4 == 0), "role": F.lit("coauthor"), "source": F.lit("a colleague")}),
         resolution.LIST: (F.col("status") == "accepted", {"status": F.col("status"), "listed": F.lit(True), "aff": placed, "home": placed.isNotNull() & (F.col("paper") % 2 == 0), "domestic": F.col("home")}),
-        resolution.PAGE: (F.col("paper") % 13 == 0, {"status": F.lit("accepted"), "listed": F.col("status") == "accepted", "aff": placed, "home": F.lit(False), "domestic": F.lit(False)}),
+        resolution.PAGE: (F.col("paper") % 13 == 0, none | {"status": F.lit("accepted"), "listed": F.col("status") == "accepted", "aff": placed}),
     }
     names = [f.split() for f in resolution.CANDIDATE.split(", ")]
     parts = [rows.where(where).select(*((shared | values | {"stage": F.lit(stage)})[n].cast(t).alias(n) for n, t in names)) for stage, (where, values) in own.items()]
-    return resolution.resolve(parts[0].union(parts[1]).union(parts[2])).groupBy("slug", "action").agg(F.count(F.lit(1)).alias("n"))
+    return reduce(DataFrame.union, parts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
-from papertide.plans import registry
+from papertide.plans import catalog as registry
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -60,3 +62,9 @@ def test_components_follow_every_edge(spark, tmp_path):
                 low, high = sorted((find(s), find(t)))
                 root[high] = low
     assert got == {x: find(x) for x in root if x != 7} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5}
+
+
+@pytest.mark.parametrize("absent", ["papertide.llm", "corpus_pipeline", "public_tokenizers", "tokenizers"])
+def test_the_library_loads_without_the_corpus_part(absent):
+    code = f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(k.startswith('op') for k in q) and 'pipeline' not in e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), timeout=120).returncode == 0
