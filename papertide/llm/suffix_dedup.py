@@ -15,7 +15,7 @@ strings have equal anchors at equal places. The steps, all over blocks of docume
 5. Blocks mark the answered strings and cut what they cover.
 
 Documents are shuffled once; each step that needs them reads that same shuffle. Anchor and digest hashes only choose what is compared:
-matches are decided on bytes, but for whole-text copies, which an MD5 digest and the size identify.
+matches are decided on bytes, but for whole-text copies, which a SHA-256 digest and the size identify.
 
 Defined results: a null or empty text keeps nothing and loses nothing; texts shorter than WIDTH lose nothing; a null id counts as larger than all
 others; rows with equal ids do not take from each other; very long texts are taken in overlapping segments; other columns are ignored; an empty table gives
@@ -463,11 +463,12 @@ def _sort_hot(rows: pa.Table) -> pa.Table:
 
 
 def cut_block(rows: pa.Table, sides: pa.Table) -> pa.Table:
-    """doc_id, n_bytes, spans and kept bytes of the block's documents, and what is carried along."""
+    """doc_id, n_bytes, spans and kept bytes of the block's documents; and, where something is carried along, the text that is left of those that are cut, and that."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    names, more = ["doc_id", "n_bytes", "spans", "kept"], [c for c in rows.column_names if c == "carried"]
+    more = "carried" in rows.column_names
+    names = ["doc_id", "n_bytes", "spans", "kept", *(["kept_text", "carried"] if more else [])]
     if not len(rows):
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], span), pa.array([], pa.binary()), *(rows[c] for c in more)], names + more)
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], span), pa.array([], pa.binary()), *([pa.array([], pa.string()), rows["carried"]] if more else [])], names)
     block = Block(rows, sides)
     edge = np.zeros(len(block.bytes) + 1, np.int32)
     for kind, blob in zip(sides["kind"].to_pylist(), sides["blob"].to_pylist(), strict=True):
@@ -492,7 +493,8 @@ def cut_block(rows: pa.Table, sides: pa.Table) -> pa.Table:
         turn = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
         spans.append([{"start": s, "end": e} for s, e in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)])
         kept.append(data[a:b][~mine].tobytes() if len(turn) else data[a:b].tobytes())
-    return pa.table([block.rows["doc_id"].combine_chunks(), pa.array(size), pa.array(spans, span), pa.array(kept, pa.binary()), *(block.rows[c] for c in more)], names + more)
+    left = [pa.array([k.decode("utf-8", "ignore") if s else None for k, s in zip(kept, spans, strict=True)], pa.string()), block.rows["carried"]] if more else []
+    return pa.table([block.rows["doc_id"].combine_chunks(), pa.array(size), pa.array(spans, span), pa.array(kept, pa.binary()), *left], names)
 
 
 # --- the operator ---------------------------------------------------------------------------------------------------------------------
@@ -523,10 +525,10 @@ def _by_part(frame: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Ta
 
 def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK, part_anchors: int = PART, carried: str | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (start and end of each removed run of bytes) and kept (the other bytes) of each document; and, if a column is to be
-    carried along, that as `carried`."""
+    carried along, that as `carried`, and kept_text: of documents that lose bytes, the text left, without characters of which only a part is."""
     spark = documents.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id), F.lit(LAST)).alias("ord"), body.alias("text"), F.unhex(F.md5(body.cast("binary"))).alias("digest"), F.octet_length(body).alias("size"), *([F.col(carried).alias("carried")] if carried else []))
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id), F.lit(LAST)).alias("ord"), body.alias("text"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"), F.octet_length(body).alias("size"), *([F.col(carried).alias("carried")] if carried else []))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
     blocks, parts = 1 + total // block_bytes, 1 + int(total * 2 / (WIDTH - GRAM + 2)) // part_anchors
     rows = rows.withColumn("block", F.pmod(F.xxhash64("ord", "digest"), F.lit(blocks)).cast("int"))
@@ -554,4 +556,4 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     met = beside(copies.unionByName(sieved), lambda a, b: sort_block(a, b, parts), OUT)
     found = answers(_by_part(met, ["part", "kind"], sort_part))
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
-    return beside(copies.unionByName(found), cut_block, schema.add("carried", documents.schema[carried].dataType) if carried else schema)
+    return beside(copies.unionByName(found), cut_block, schema.add("kept_text", "string").add("carried", documents.schema[carried].dataType) if carried else schema)
