@@ -40,16 +40,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = F.struct(*(F.col(c) for c in docs.columns if c != "text"))
     rows = docs.select("doc_id", "text", F.struct(others.alias("row"), F.col("text").isNull().alias("none")).alias("carried"))
     cut, changed, row = suffix_dedup.repeats(rows, carried="carried"), F.size("spans") > 0, F.col("carried").getField("row")
-
-    @F.udf("string", useArrow=True)
-    def text(kept: bytes | None) -> str | None:
-        return None if kept is None else bytes(kept).decode("utf-8", "ignore")
-
-    new = F.when(~F.col("carried").getField("none"), F.when(changed, F.col("cut_text")).otherwise(F.col("kept").cast("string")))
+    new = F.when(~F.col("carried").getField("none"), F.when(changed, F.col("kept_text")).otherwise(F.col("kept").cast("string")))
     fresh = {"text": new}
     if "n_chars" in docs.columns:
-        fresh["n_chars"] = F.when(changed, F.char_length("cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(row.getField("n_chars"))
-    cut = cut.withColumn("cut_text", text(F.when(changed, F.col("kept"))))
+        fresh["n_chars"] = F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(row.getField("n_chars"))
     return cut.select(*(fresh[c].alias(c) if c in fresh else row.getField(c).alias(c) for c in docs.columns))
 
 
