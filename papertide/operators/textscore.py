@@ -17,6 +17,23 @@ def top_mean(values: Column, share: float) -> Column:
     return F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top)
 
 
+def clamped(x: Column, low: float, high: float) -> Column:
+    return F.greatest(F.least(x, F.lit(high)), F.lit(low))
+
+
+def squared_distance(a: Column, b: Column) -> Column:
+    """Of two vectors of one size."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def margin(vector: Column, against: list[Column], toward: list[Column], scale: float, limit: float = 30.0) -> Column:
+    """How much nearer a vector is to each prototype of one kind than to the other kind's together: scaled squared distances, the log of the other kind's sum as reference, clamped.
+    Combined over the kind's prototypes as the log of their sum."""
+    near = lambda p: -scale * squared_distance(vector, p)
+    reference = log_sum_exp(F.array(*map(near, against)))
+    return log_sum_exp(F.transform(F.array(*map(near, toward)), lambda x: clamped(x - reference, -limit, limit)))
+
+
 def log_sum_exp(values: Column) -> Column:
     most = F.array_max(values)
     return most + F.log(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - most)))

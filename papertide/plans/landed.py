@@ -293,3 +293,25 @@ def snk_roster_append(spark, sf_dir):
     return files.read_roster(spark, path).select("slug", "name", "vn_since", "approved")
 
 
+# --- collecting -------------------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT venue, CAST(2024 AS INTEGER) AS year, count(*) * main AS papers, coalesce(any_value(other), 0) * CASE WHEN venue = 'cvpr' THEN 0 ELSE count(*) END AS special, volume
+    FROM customer CROSS JOIN (VALUES ('cvpr', 1, 0, '2024.acl-long'), ('aaai', 1, 1, '2024.acl-long'), ('ijcai', 1, 1, '2024.acl-long')) t(venue, main, other, volume) GROUP BY venue, main, volume""", on_domain=False)
+def src_collect(spark, sf_dir):
+    rows = _customers(spark, sf_dir)
+    cvf = '<dt class="ptitle"><a href="/content/{id}.html">On {name}</a></dt><dd><input name="query_author" value="Giv Fam"></dd>'
+    aaai = f'<div class="section"><h2>AAAI Technical Track on X</h2>{_ARTICLE % "T"}</div><div class="section"><h2>Special <b>Day</b></h2>{_ARTICLE % "S"}</div>'
+    ijcai = f'<div class="section_title"><h3>Main Track</h3></div>{_IJCAI % "T"}<div class="section_title"><h3>Survey</h3></div>{_IJCAI % "S"}'
+    lists = [listings.cvf_pages(_file(rows, "cvpr", cvf)), listings.aaai_pages(_file(rows, "aaai", aaai)), listings.ijcai_pages(_file(rows, "ijcai", ijcai))]
+    _, cover = listings.collect(lists)
+    special = F.aggregate(F.map_values(F.coalesce("other_tracks", F.create_map().cast("map<string,bigint>"))), F.lit(0).cast("bigint"), lambda s, n: s + n)
+    return cover.select("venue", "year", "papers", special.alias("special"), listings.bib_volumes(F.col("year")).alias("volume"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN ['A B', 'u' || user_id] WHEN 1 THEN ['X', 'Y'] ELSE ['Solo'] END AS authors, CASE event_id % 3 WHEN 0 THEN ['~A_B1', 'u' || user_id] WHEN 1 THEN ['~X1', 'y@z'] ELSE [] END AS ids FROM events""", on_domain=False)
+def src_note_people(spark, sf_dir):
+    n, u = F.col("event_id"), F.col("user_id").cast("string")
+    objects = F.concat(F.lit('{"authors": {"value": [{"username": "~A_B1", "fullname": "A B"}, {"username": "u'), u, F.lit('", "fullname": ""}]}, "authorids": {"value": []}}'))
+    content = F.when(n % 3 == 0, objects).when(n % 3 == 1, '{"authors": ["X", "Y"], "authorids": {"value": ["~X1", "y@z"]}}').otherwise('{"authors": {"value": "Solo"}}')
+    return pages.note_people(table(spark, sf_dir, "events").select(n.alias("id"), content.alias("content"))).withColumnRenamed("id", "event_id")

@@ -206,6 +206,53 @@ def join_approved_pictures(spark, sf_dir):
     return cand.join(approved, ["page_id", "link"]).select("page_id", "url", "link")
 
 
+@query("""SELECT 'f' || o_orderkey AS forum, round_even(100.0 * (o_orderkey % 40) / (30 + o_custkey % 100), 1) AS pct FROM orders WHERE o_orderkey % 3 = 0 AND 30 + o_custkey % 100 >= 50""", on_domain=False)
+def join_text_detector(spark, sf_dir):
+    """A third party's scores of papers, by their forum's id; those over few sentences are left out."""
+    rows = table(spark, sf_dir, "orders")
+    forum = F.concat(F.lit("f"), F.col("o_orderkey").cast("string"))
+    paper = rows.select(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("https://openreview.net/forum?id="), forum)).otherwise("https://example.org").alias("url"))
+    scores = rows.select(forum.alias("forum"), (F.col("o_orderkey") % 40).alias("flagged"), (30 + F.col("o_custkey") % 100).alias("sentences")).where("sentences >= 50")
+    met = paper.select(labels.forum_id(F.col("url")).alias("forum")).join(scores, "forum")
+    return met.select("forum", F.bround(100 * F.col("flagged") / F.col("sentences"), 1).alias("pct"))
+
+
+@query(""", own AS (SELECT DISTINCT '~' || holder AS id FROM paper WHERE status = 'accepted' AND NOT full_record AND holder % 5 <> 0) SELECT id, substr(id, 2) IN (SELECT CAST(holder AS VARCHAR) FROM paper WHERE full_record) AS known FROM own""")
+def join_accepted_ids(d):
+    listed = F.array(F.when(F.col("holder") % 5 != 0, F.concat(F.lit("~"), F.col("holder").cast("string"))).otherwise(F.concat(F.col("holder").cast("string"), F.lit("@x.org"))))
+    ids = d.paper.where(aggregates.accepted() & (F.col("venue") != "1-URGENT")).select(F.explode(listed).alias("id")).where(F.startswith("id", F.lit("~"))).distinct()
+    full = d.paper.where("venue = '1-URGENT'").select(F.concat(F.lit("~"), F.col("holder").cast("string")).alias("id"), F.lit(True).alias("known")).distinct()
+    return ids.join(full, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query(PRINTED + """, fix AS (SELECT paper, person % 50 AS k, 'Fixed ' || (person % 50) AS value, CASE WHEN paper % 3 = 0 THEN 'yes' WHEN paper % 3 = 1 THEN 'no' END AS checked FROM member)
+    SELECT paper, position, coalesce((SELECT max(value) FROM fix WHERE checked = 'yes' AND fix.paper = p.paper AND fix.k = p.person), aff) AS aff FROM printed p""")
+def join_checked_fixes(d):
+    fix = d.member.select("paper", (F.col("person") % 50).alias("person"), F.when(F.col("paper") % 3 == 0, "yes").when(F.col("paper") % 3 == 1, "no").alias("checked")).where("checked = 'yes'")
+    fixes = fix.groupBy("paper", "person").agg(F.max(F.concat(F.lit("Fixed "), F.col("person").cast("string"))).alias("value"))
+    return printed(d).join(fixes, ["paper", "person"], "left").select("paper", "position", F.coalesce("value", "aff").alias("aff"))
+
+
+@query(PRINTED + """, cand AS (SELECT p.name AS key, n.short FROM printed p JOIN named n ON n.aff = p.aff GROUP BY p.name, n.short UNION SELECT p.name, above FROM printed p JOIN named n ON n.aff = p.aff JOIN parent ON parent.short = n.short),
+    prof AS (SELECT person AS id, name AS key, short FROM roster WHERE person % 3 <> 0) SELECT DISTINCT prof.id, prof.key FROM prof JOIN cand c ON c.key = prof.key AND (c.short = prof.short OR c.short = (SELECT above FROM parent WHERE parent.short = prof.short))""")
+def join_candidate_profiles(d):
+    """Profiles of a candidate's name whose institution, or the university above it, is named on their papers."""
+    above = lambda c: F.array_compact(F.array(c, places.parent(c)))
+    named = printed(d).select(F.col("name").alias("key"), F.explode("places").alias("p")).select("key", F.explode(above(F.col("p.short"))).alias("short")).distinct()
+    profile = roster(d).where("person % 3 <> 0").select(F.col("person").alias("id"), F.col("name").alias("key"), F.explode(above(F.col("short"))).alias("short"))
+    return profile.join(named, ["key", "short"], "left_semi").select("id", "key").distinct()
+
+
+@query()
+def resolve_distinct_people(d):
+    author = d.authorship.join(d.person.select("person", "name"), "person").select("paper", "name")
+    rows = d.member.join(author, "paper")
+    words = F.split("name", "#")
+    name = F.when(F.col("paper") % 2 == 0, F.concat_ws(" ", words[0], F.lit("t"), words[1])).otherwise(F.concat_ws(" ", words[0], F.lit("trong"), words[1]))
+    each = rows.select(F.col("person").alias("slug"), text.norm_name(name, True).alias("name"), F.col("paper").alias("seq"))
+    return people.distinct_people(each.select("slug", "name", text.name_key(F.col("name"), True).alias("key"), "seq"))
+
+
 # --- small rules ------------------------------------------------------------------------------------------------------------------------
 
 _TOPICS = ["Deep Learning->Generative Models", "Theory/Learning Theory", "Miscellaneous Aspects of Machine Learning->Other", "Vision", "a/b->c"]
@@ -329,21 +376,25 @@ def _sparse(d: Domain) -> DataFrame:
 _REACH = ", w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), low(node, component) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM w GROUP BY a UNION SELECT x.a, min(l.component) FROM low l JOIN w x ON x.b = l.node JOIN recurring.low o ON o.node = x.a WHERE l.component < o.component GROUP BY x.a)"
 
 
-@query(_SPARSE + _REACH + " SELECT component, component AS first, count(*) AS nodes, row_number() OVER (ORDER BY count(*) DESC, component) AS shown FROM low GROUP BY component")
-def graph_component_sizes(d):
-    return graph.component_sizes(components(_sparse(d), "a", "b")).select("component", "first", "nodes", "shown")
+_STARS = ", s AS (SELECT DISTINCT holder % 900 AS h FROM paper), e AS (SELECT h - h % 7 AS a, h AS b FROM s WHERE h % 7 <> 0 AND (h % 7 <> 3 OR h % 2 = 1) UNION SELECT h, h + 1 FROM s WHERE h % 7 IN (2, 3) AND h % 4 = 0)"
 
 
-_STARS = ", s AS (SELECT DISTINCT holder % 900 AS h FROM paper), e AS (SELECT h - h % 7 AS a, h AS b FROM s WHERE h % 7 <> 0 AND (h % 7 <> 3 OR h % 2 = 1) UNION SELECT h, h + 1 FROM s WHERE h % 7 IN (2, 3) AND h % 4 = 0)"
+def _stars(d: Domain) -> DataFrame:
+    h = F.col("h")
+    own = d.paper.select((F.col("holder") % 900).alias("h")).distinct()
+    star = own.where((h % 7 != 0) & ((h % 7 != 3) | (h % 2 == 1))).select((h - h % 7).alias("a"), h.alias("b"))
+    return star.union(own.where((h % 7).isin(2, 3) & (h % 4 == 0)).select(h.alias("a"), (h + 1).alias("b"))).distinct()
+
+
+@query(_STARS + _REACH + " SELECT component, component AS first, count(*) AS nodes, row_number() OVER (ORDER BY count(*) DESC, component) AS shown FROM low GROUP BY component")
+def graph_component_sizes(d):
+    return graph.component_sizes(components(_stars(d), "a", "b")).select("component", "first", "nodes", "shown")
 
 
 @query(_STARS + _REACH + """, deg AS (SELECT a AS node, count(*) AS degree FROM w GROUP BY a), g AS (SELECT component, count(*) AS n, max(degree) AS top, sum(degree) AS ends, arg_min(node, (-degree, node)) AS hub FROM low JOIN deg USING (node) GROUP BY component)
     SELECT component, hub FROM g WHERE n >= 3 AND (top >= 3 OR ends / 2 >= n) AND top = n - 1""")
 def graph_hubs(d):
-    h = F.col("h")
-    own = d.paper.select((F.col("holder") % 900).alias("h")).distinct()
-    star = own.where((h % 7 != 0) & ((h % 7 != 3) | (h % 2 == 1))).select((h - h % 7).alias("a"), h.alias("b"))
-    edge = star.union(own.where((h % 7).isin(2, 3) & (h % 4 == 0)).select(h.alias("a"), (h + 1).alias("b"))).distinct()
+    edge = _stars(d)
     return graph.hubs(edge, components(edge, "a", "b"))
 
 

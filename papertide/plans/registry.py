@@ -404,6 +404,19 @@ def text_score_topq(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(textscore.top_mean(values, 0.1), 6).alias("top_mean"), F.round(textscore.log_sum_exp(values), 6).alias("lse"), F.round(textscore.sigmoid(total), 6).alias("score"))
 
 
+_PROTOTYPES = {"against": ["list_transform(range(64), lambda i: 0.1)", "list_transform(range(64), lambda i: -0.1)"], "toward": ["list_transform(range(64), lambda i: i / 640)", "list_transform(range(64), lambda i: -i / 640)"]}
+_NEAR = "-0.5 * list_sum(list_transform(list_zip(e, {p}), lambda z: pow(z[1] - z[2], 2)))"
+
+
+@query(f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT vec_id, {", ".join(f"{_NEAR.format(p=p)} AS {k}{n}" for k, ps in _PROTOTYPES.items() for n, p in enumerate(ps))} FROM v),
+    r AS (SELECT vec_id, toward0, toward1, greatest(against0, against1) + ln(exp(against0 - greatest(against0, against1)) + exp(against1 - greatest(against0, against1))) AS ref FROM d),
+    s AS (SELECT vec_id, greatest(least(toward0 - ref, 30), -30) AS a, greatest(least(toward1 - ref, 30), -30) AS b FROM r) SELECT vec_id, round(greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS margin FROM s""", on_domain=False)
+def text_margin(spark, sf_dir):
+    flat = [F.array(*(F.lit(x) for _ in range(64))) for x in (0.1, -0.1)]
+    sloped = [F.array(*(F.lit(sign * i / 640) for i in range(64))) for sign in (1, -1)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(textscore.margin(F.col("embedding").cast("array<double>"), flat, sloped, 0.5), 6).alias("margin"))
+
+
 @query("""WITH s AS (SELECT doc_id, lang, unnest(regexp_split_to_array(text, '[.!?]+')) AS s FROM documents), c AS (SELECT doc_id, lang, len(list_filter(string_split(replace(s, chr(10), ' '), ' '), lambda x: x <> '')) AS n, length(s) AS l FROM s)
     SELECT lang, count(*) AS sentences, count(*) FILTER (l > 7 * n) AS flagged, round(100.0 * count(*) FILTER (l > 7 * n) / count(*), 6) AS share FROM c WHERE n >= 8 GROUP BY lang""", on_domain=False)
 def text_flag_share(spark, sf_dir):

@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import json
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,6 +187,17 @@ def combine_lists(listing: DataFrame, proceedings: DataFrame, enough: float = 0.
     return listing.where("track <> 'main'").unionByName(main.join(short, at, "left_anti")).select(*PAPER).unionByName(filled.select(*PAPER))
 
 
+def bib_volumes(year: Column) -> Column:
+    """The bibliography volume that holds a year's main papers."""
+    return F.concat(year.cast("string"), F.when(year == 2020, ".acl-main").otherwise(".acl-long"))
+
+
+def collect(lists: list[DataFrame], state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All lists as one table, and their coverage()."""
+    every = reduce(DataFrame.unionByName, lists)
+    return every, coverage(every, state)
+
+
 def coverage(papers_: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """venue, year, papers (main track), with_affiliation (per cent of their authors, half to even), other_tracks and provisional."""
     each = papers_.groupBy("venue", "year", "track").agg(
