@@ -278,9 +278,10 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     links = checkpoint(_links(met.repartition("tile").sortWithinPartitions("tile"), n, threshold, tolerance))
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
     component = components(links.select("node", "root").distinct(), "node", "root")
-    member = nodes.select("id", "node").join(sets.select("node", "copies"), "node").join(total, "node", "left").join(component, "node", "left")
-    member = member.select("id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    lowest = member.groupBy("component").agg(F.min("id").alias("class_id"))
+    each = sets.select("node", "id", "copies").join(total, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = each.groupBy("component").agg(F.min("id").alias("class_id"))
+    # Classes are settled between nodes; documents meet them once.
+    settled = each.join(lowest, "component").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # An id that several texts bear (repeated rows among them) takes the smallest class and the most links of its texts.
-    found = member.join(lowest, "component").groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    found = nodes.select("id", "node").join(settled, "node").groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
     return rows.select("id").join(found, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
