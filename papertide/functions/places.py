@@ -70,9 +70,9 @@ def _entry(full: Column, short: Column, university: Column) -> Column:
     return F.struct(full.alias("full"), short.alias("short"), university.alias("university"))
 
 
-def _hits(said: Column) -> Column:
-    """The rules that hold for a folded affiliation."""
-    return F.array_compact(F.array(*(F.when(said.rlike("(?i)" + p), _entry(F.lit(full), F.lit(short), F.lit(uni))) for p, full, short, uni in RULES)))
+def _hits(low: Column) -> Column:
+    """The rules that hold for a folded affiliation in lower case, which patterns without regard to case would search more slowly."""
+    return F.array_compact(F.array(*(F.when(low.rlike(p), _entry(F.lit(full), F.lit(short), F.lit(uni))) for p, full, short, uni in RULES)))
 
 
 def _settled(hits: Column, said: Column) -> Column:
@@ -83,14 +83,14 @@ def _settled(hits: Column, said: Column) -> Column:
 def institutions(affiliation: Column) -> Column:
     """All institutions that an affiliation names, as an array of (full, short, university) in the order of the rules; a null or blank one names none."""
     said = F.trim(text.folded(affiliation))
-    return _settled(_hits(said), said)
+    return _settled(_hits(F.lower(said)), said)
 
 
 def with_institutions(rows: DataFrame, affiliation: str = "aff", into: str = "places") -> DataFrame:
     """The rows with the institutions of their affiliation, which are found once for each different affiliation. Rows without one have an empty array."""
     # One step after the other, so that each is evaluated once.
     said = rows.where(F.col(affiliation).isNotNull()).select(affiliation).distinct().withColumn("said", F.trim(text.folded(F.col(affiliation))))
-    known = said.withColumn("hits", _hits(F.col("said"))).select(affiliation, _settled(F.col("hits"), F.col("said")).alias(into))
+    known = said.withColumn("low", F.lower("said")).withColumn("hits", _hits(F.col("low"))).select(affiliation, _settled(F.col("hits"), F.col("said")).alias(into))
     empty = F.array().cast("array<struct<full:string,short:string,university:boolean>>")
     return rows.join(known, affiliation, "left").withColumn(into, F.coalesce(into, empty))
 
@@ -119,13 +119,18 @@ DOMAINS = {
 }
 
 
-def printed(page: Column, institution: Column, short: Column) -> Column:
+def with_page_facts(pages: DataFrame, page: str = "page") -> DataFrame:
+    """Pages with what printed() asks of them, found once for each page: the folded text in `flat`, and the short names of the institutions in it in `shorts`."""
+    flat = pages.withColumn("flat", F.trim(F.regexp_replace(text.folded(F.col(page)), r"\s+", " "))).drop(page).withColumn("low", F.lower("flat"))
+    return flat.withColumn("hits", _hits(F.col("low"))).withColumn("shorts", F.transform(_settled(F.col("hits"), F.col("flat")), lambda x: x["short"])).drop("hits", "low")
+
+
+def printed(flat: Column, shorts: Column, institution: Column, short: Column) -> Column:
     """Whether a title page names an institution: by rule, full name, short name as a word, the two schools' common name, or a mail domain."""
-    flat = F.regexp_replace(text.folded(page), r"\s+", " ")
     low = F.lower(flat)
     mail = F.create_map(*[F.lit(c) for k, v in DOMAINS.items() for c in (k, "|".join(v).replace(".", r"\."))])[short]
     rules = [
-        F.exists(institutions(page), lambda x: x["short"] == short),
+        F.array_contains(shorts, short),
         F.contains(low, F.lower(institution)),
         F.rlike(flat, F.concat(F.lit(r"(?<![\w-])\Q"), short, F.lit(r"\E(?![\w-])"))),
         short.isin("HCMUS", "VNU-HUS") & low.rlike(r"\buniversity of science\b"),

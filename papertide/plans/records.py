@@ -161,8 +161,9 @@ def join_audit_pages(d):
     said = F.concat_ws(" ", "name", F.coalesce("aff", F.lit("")))
     page = printed(d).groupBy("paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", said.alias("s")))), lambda x: x["s"]), " / ").alias("p"))
     page = page.select("paper", F.concat("p", F.when(F.col("paper") % 4 == 0, " a@vinuni.edu.vn").otherwise("")).alias("page"))
-    rows = d.member.join(d.paper.where(aggregates.accepted()).select("paper"), "paper", "left_semi").join(roster(d), "person").join(page, "paper")
-    return rows.select("paper", "person", places.printed(F.col("page"), F.col("institution"), F.col("short")).alias("printed"))
+    page = places.with_page_facts(page.join(d.paper.where(aggregates.accepted()).select("paper"), "paper", "left_semi"))
+    rows = d.member.join(page, "paper").join(roster(d), "person")
+    return rows.select("paper", "person", places.printed(F.col("flat"), F.col("shorts"), F.col("institution"), F.col("short")).alias("printed"))
 
 
 _POSITIONS = ["Lecturer", "PhD student", "Head of Research", "Engineer", "Associate Professor"]
