@@ -457,7 +457,10 @@ def _restore(out, at, size, order, weight, shift, lpc) -> None:
         return
     at, size, order, weight, shift = at[rows], size[rows], order[rows], weight[rows], shift[rows]
     active = np.searchsorted(-size, -np.arange(int(size.max())), side="left")
-    for t in range(1, int(size.max())):
+    if (shift < 0).any():
+        raise ValueError("a negative shift")
+    reach = weight.shape[1]
+    for t in range(1, min(reach, int(size.max()))):
         f = np.arange(int(active[t]))
         f = f[order[f] <= t]
         total = np.zeros(len(f), np.int64)
@@ -465,6 +468,20 @@ def _restore(out, at, size, order, weight, shift, lpc) -> None:
             use = order[f] > j
             total[use] += weight[f[use], j] * out[at[f[use]] + t - 1 - j]
         out[at[f] + t] += total >> shift[f]
+    if int(size.max()) <= reach:
+        return
+    # From here on all frames have as many samples before this one as any predictor takes. The latest ones are kept at hand.
+    by, right = np.ascontiguousarray(weight.T, np.int32), shift.astype(np.int32)
+    m = int(active[reach])
+    near = [out[at[:m] + reach - 1 - j] for j in range(reach)]
+    for t in range(reach, int(size.max())):
+        m = int(active[t])
+        place, total = at[:m] + t, by[0, :m] * near[0][:m]
+        for j in range(1, reach):
+            total += by[j, :m] * near[j][:m]
+        new = out[place] + (total >> right[:m])
+        out[place] = new
+        near = [new, *near[:-1]]
 
 
 def payloads(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
