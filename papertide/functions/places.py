@@ -121,7 +121,9 @@ DOMAINS = {
 
 def with_page_facts(pages: DataFrame, page: str = "page") -> DataFrame:
     """Pages with what printed() asks of them, found once for each page: the folded text in `flat`, and the short names of the institutions in it in `shorts`."""
-    flat = pages.withColumn("flat", F.trim(F.regexp_replace(text.folded(F.col(page)), r"\s+", " "))).drop(page).withColumn("low", F.lower("flat"))
+    # Reading a page takes far longer than its bytes tell, so small pages are not drawn together into few tasks.
+    spread = pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), *(c for c in pages.columns if c != page))
+    flat = spread.withColumn("flat", F.trim(F.regexp_replace(text.folded(F.col(page)), r"\s+", " "))).drop(page).withColumn("low", F.lower("flat"))
     return flat.withColumn("hits", _hits(F.col("low"))).withColumn("shorts", F.transform(_settled(F.col("hits"), F.col("flat")), lambda x: x["short"])).drop("hits", "low")
 
 
