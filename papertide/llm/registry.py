@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertide.functions.runtime import table
-from papertide.llm import ann_forest, bpe_codec, flac, hmm_lm, ngram_jaccard, packing, quality, sharding, suffix_dedup, token_counts
+from papertide.llm import ann_forest, bpe_codec, flac, hmm_lm, ngram_jaccard, oracles, packing, quality, sharding, suffix_dedup, token_counts, vector_codes
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), room=4096, end=1)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_hmm_score, op3_suffix_dedup, op4_quality, op5_bpe_codec, op6_sharding, op7_ngram_jaccard, op8_flac, op9_ann_forest, op10_packing)}
+    found = (
+        op1_token_counts, op2_hmm_score, op3_suffix_dedup, op4_quality, op5_bpe_codec, op6_sharding, op7_ngram_jaccard, op8_flac, op9_ann_forest, op10_packing,
+        op11_vector_codes,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_vector_codes": oracles.VECTOR_CODES}
