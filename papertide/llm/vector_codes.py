@@ -117,7 +117,7 @@ def learn(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
     width, wide = _shape(kept, parts)
     kind = object if wide else np.int64
     first = kept.orderBy(F.col(vec_id).cast("long").asc_nulls_last(), "v").limit(entries).select("v").toArrow()
-    books = columns(first["v"], width, wide).astype(kind).T.reshape(-1, parts, width // parts).transpose(1, 0, 2)
+    books = columns(first["v"], width, wide).astype(kind).T.reshape(len(first), parts, width // parts).transpose(1, 0, 2)
     if not width or not books.shape[1]:
         return books
     spread = blocks(kept, width, wide)
