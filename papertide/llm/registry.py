@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertide.functions.runtime import table
-from papertide.llm import ann_forest, bpe_codec, flac, hmm_lm, ngram_jaccard, oracles, packing, quality, ranked_search, sharding, suffix_dedup, token_counts, vector_codes
+from papertide.llm import ann_forest, bpe_codec, flac, hmm_lm, ngram_jaccard, oracles, packing, quality, ranked_search, sharding, suffix_dedup, token_counts, toxicity, vector_codes
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")), threshold=0.7)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -78,7 +84,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts, op2_hmm_score, op3_suffix_dedup, op4_quality, op5_bpe_codec, op6_sharding, op7_ngram_jaccard, op8_flac, op9_ann_forest, op10_packing,
-        op11_vector_codes, op13_ranked_search,
+        op11_vector_codes, op12_toxicity, op13_ranked_search,
     )
     return {f.__name__: f for f in found}
 
