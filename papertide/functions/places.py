@@ -87,27 +87,34 @@ def institutions(affiliation: Column) -> Column:
 
 
 def with_institutions(rows: DataFrame, affiliation: str = "aff", into: str = "places") -> DataFrame:
-    """The rows with the institutions of their affiliation, which are found once for each different affiliation. Rows without one have an empty array."""
+    """The rows with the institutions of their affiliation, and in `said` its normalised text, both found once for each different affiliation. Rows without one have an empty
+    array and a null text."""
     # One step after the other, so that each is evaluated once.
-    said = rows.where(F.col(affiliation).isNotNull()).select(affiliation).distinct().withColumn("said", F.trim(text.folded(F.col(affiliation))))
-    known = said.withColumn("low", F.lower("said")).withColumn("hits", _hits(F.col("low"))).select(affiliation, _settled(F.col("hits"), F.col("said")).alias(into))
+    plain = rows.where(F.col(affiliation).isNotNull()).select(affiliation).distinct().withColumn("flat", F.trim(text.folded(F.col(affiliation))))
+    known = plain.withColumn("low", F.lower("flat")).withColumn("hits", _hits(F.col("low")))
+    known = known.select(affiliation, _settled(F.col("hits"), F.col("flat")).alias(into), text.norm_name(F.col("flat"), True).alias("said"))
     empty = F.array().cast("array<struct<full:string,short:string,university:boolean>>")
     return rows.join(known, affiliation, "left").withColumn(into, F.coalesce(into, empty))
 
 
-def same_institution(found: Column, affiliation: Column, institution: Column, short: Column) -> Column:
-    """Whether an affiliation (with what institutions() found in it) names this institution, the university above it, or holds its name."""
-    above, name = parent(short), text.norm_name(institution)
+def with_names(rows: DataFrame, institution: str = "institution", into: str = "named") -> DataFrame:
+    """The rows with the normalised name of their institution, found once for each different one."""
+    return rows.join(rows.select(institution).distinct().withColumn(into, text.norm_name(F.col(institution))), institution)
+
+
+def same_institution(found: Column, said: Column, institution: Column, named: Column, short: Column) -> Column:
+    """Whether an affiliation, of which with_institutions() gives what it names and its text, names this institution (with_names()), the university above it, or holds its name."""
+    above = parent(short)
     by_rule = F.exists(found, lambda x: (x["short"] == short) | F.coalesce(x["short"] == above, F.lit(False)) | (x["full"] == institution))
-    return by_rule | F.coalesce((name != "") & F.contains(text.norm_name(affiliation), name), F.lit(False))
+    return by_rule | F.coalesce((named != "") & F.contains(said, named), F.lit(False))
 
 
-def at_institution(found: Column, affiliation: Column, institution: Column, short: Column) -> Column:
+def at_institution(found: Column, affiliation: Column, said: Column, institution: Column, named: Column, short: Column) -> Column:
     """Whether a paper counts as written at a person's institution: their own entry is missing, names it, has its short name as a word, or names just
     the "University of Science" for its two schools."""
     word = F.rlike(affiliation, F.concat(F.lit(r"(?<![\w-])\Q"), short, F.lit(r"\E(?![\w-])")))
     school = short.isin("HCMUS", "VNU-HUS") & affiliation.rlike(r"(?i)\buniversity of science\b")
-    rules = [F.coalesce(F.trim(affiliation), F.lit("")) == "", same_institution(found, affiliation, institution, short), (F.length(short) >= 3) & word, school]
+    rules = [F.coalesce(F.trim(affiliation), F.lit("")) == "", same_institution(found, said, institution, named, short), (F.length(short) >= 3) & word, school]
     return reduce(lambda a, b: a | b, (F.coalesce(r, F.lit(False)) for r in rules))
 
 

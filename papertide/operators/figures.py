@@ -1,6 +1,6 @@
 """Figures of people and institutions from printed authors: who was judged, with whom they write, scores by field, and the orders of tables.
 
-printed: paper, position, person or name, aff (null where the paper prints none), and places (see places.with_institutions)."""
+printed: paper, position, person or name, aff (null where the paper prints none), places and said (see places.with_institutions)."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertide.functions import labels, places
+from papertide.functions.runtime import checkpoint
 from papertide.operators.aggregates import NEGATIVE, accepted, count_if
 from papertide.operators.people import histogram
+from papertide.operators.spellings import distinct_people
 
 
 def full_tally(record: DataFrame, people: DataFrame, venue: DataFrame) -> DataFrame:
@@ -37,8 +39,8 @@ def flagged_summary(record: DataFrame, coverage: DataFrame, counts_from: int) ->
 
 def judged(printed: DataFrame, owned: DataFrame) -> DataFrame:
     """paper, short, known, majority and first_author of each paper of an institution: whether it prints any affiliation, most authors are at the institution, and the first one is.
-    owned: paper, institution, short."""
-    home = places.same_institution(F.col("places"), F.col("aff"), F.col("institution"), F.col("short"))
+    owned: paper, institution, named (see places.with_names), short."""
+    home = places.same_institution(*map(F.col, ("places", "said", "institution", "named", "short")))
     return printed.join(owned, "paper").groupBy("paper", "short").agg((F.count("aff") > 0).alias("known"), (2 * count_if(home) > F.count(F.lit(1))).alias("majority"), (count_if(home & (F.col("position") == 1)) > 0).alias("first_author"))
 
 
@@ -54,24 +56,28 @@ def authorship(judgement: DataFrame, paper: DataFrame, *keys: str) -> DataFrame:
 def collaboration(own: DataFrame, printed: DataFrame, paper: DataFrame) -> DataFrame:
     """Co-author figures of each person over their papers.
 
-    own: person, paper, position (null where they are not found), institution, short. printed as above, with `who` for each author. A paper without the person counts one author less.
-    Means by institution use papers on which the person is found and some affiliation is printed; the minimum is over accepted papers.
+    own: person, paper, position (null where they are not found), institution, named (see places.with_names), short. printed as above, with name (normalised), key and seq of each author. A
+    paper without the person counts one author less. Means by institution use papers on which the person is found and some affiliation is printed; the minimum is over
+    accepted papers. Spellings of a co-author are one person (see spellings.distinct_people), and a paper's affiliations are those of whichever spelling it prints.
     """
     size = printed.groupBy("paper").agg(F.count(F.lit(1)).alias("n"), (F.count("aff") > 0).alias("known"))
-    each = own.join(size, "paper").join(paper.select("paper", "status"), "paper").withColumn("others", F.greatest(F.col("n") - 1, F.lit(0)))
+    each = checkpoint(own.join(size, "paper").join(paper.select("paper", "status"), "paper").withColumn("others", F.greatest(F.col("n") - 1, F.lit(0))))
     sizes = each.groupBy("person").agg(
         F.count(F.lit(1)).alias("papers"), F.round(F.avg("others"), 6).alias("mean_coauthors"), F.min(F.when(accepted(), F.col("others"))).alias("min_coauthors"), F.max("others").alias("max_coauthors"),
         count_if(F.col("known") & F.col("position").isNotNull()).alias("with_affiliations"),
     )
-    with_others = each.where("position is not null").select("person", "paper", "known", "institution", "short", F.col("position").alias("me"))
+    with_others = each.where("position is not null").select("person", "paper", "known", "institution", "named", "short", F.col("position").alias("me"))
     pair = with_others.join(printed, "paper").where("position <> me")
-    same = places.same_institution(F.col("places"), F.col("aff"), F.col("institution"), F.col("short"))
+    same = places.same_institution(*map(F.col, ("places", "said", "institution", "named", "short")))
     home, said = F.size("places") > 0, F.col("aff").isNotNull()
     flags = {"foreign": said & ~home, "same": said & same, "elsewhere": said & ~same, "domestic": home, "other_home": home & ~same}
-    pair = pair.select("person", "paper", "who", "known", *(F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()))
-    sums = pair.where("known").groupBy("person").agg(*(count_if(F.col(k)).alias(f"n_{k}") for k in flags))
-    # A co-author is one person however many papers they share: counted by person first.
-    who = pair.groupBy("person", "who").agg(F.max(F.col("known") & F.col("foreign")).alias("abroad"), F.max(F.col("known") & F.col("elsewhere")).alias("away"))
+    pair = pair.select("person", "name", "key", "seq", "known", *(F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()))
+    # What a person's papers say of a spelling is counted before anything else: one row for each, however many papers they share.
+    spelled = checkpoint(pair.groupBy("person", "name", "key").agg(
+        F.min("seq").alias("seq"), *(count_if(F.col("known") & F.col(k)).alias(f"n_{k}") for k in flags), F.max(F.col("known") & F.col("foreign")).alias("abroad"), F.max(F.col("known") & F.col("elsewhere")).alias("away"),
+    ))
+    sums = spelled.groupBy("person").agg(*(F.sum(f"n_{k}").alias(f"n_{k}") for k in flags))
+    who = spelled.join(distinct_people(spelled.select("person", "name", "key", "seq"), "person"), ["person", "name"]).groupBy("person", "who").agg(F.max("abroad").alias("abroad"), F.max("away").alias("away"))
     sets = who.groupBy("person").agg(F.count(F.lit(1)).alias("distinct_coauthors"), count_if(F.col("away")).alias("elsewhere"), count_if(F.col("away") & F.col("abroad")).alias("elsewhere_abroad"), count_if(F.col("away") & ~F.col("abroad")).alias("elsewhere_home"))
     out = sizes.join(sums, "person", "left").join(sets, "person", "left")
     means = [F.round(F.coalesce(f"n_{k}", F.lit(0)) / F.nullif("with_affiliations", F.lit(0)), 6).alias(f"mean_{k}") for k in flags]

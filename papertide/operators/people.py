@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -158,57 +154,6 @@ def residual(mail: DataFrame, row: DataFrame, known: DataFrame) -> tuple[DataFra
     return add, rest.groupBy("key").agg(F.countDistinct("paper").alias("papers"))
 
 
-def _same(a: list[str], b: list[str]) -> bool:
-    return len(a) == len(b) and all(x == y or len(x) == 1 and y.startswith(x) or len(y) == 1 and x.startswith(y) for x, y in zip(a, b, strict=True))
-
-
-def _short(words: list[str], cut: frozenset[int]) -> tuple[str, ...]:
-    """The words, of those in `cut` the initials only."""
-    return tuple(w[:1] if i in cut else w for i, w in enumerate(words))
-
-
-def distinct_people(rows: DataFrame, owner: str = "slug") -> DataFrame:
-    """owner, name and key of the first spelling of the person behind each name: spellings with one key, or whose words stand for each other, are one person.
-
-    rows: owner, name (normalised), key, seq. A name joins the first group with a spelling that it fits. Spellings are counted once before they are gathered by owner.
-    """
-    each = rows.groupBy(owner, "name", "key").agg(F.min("seq").alias("seq"))
-
-    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            first: list[str] = []
-            by_key, by_form, shapes, long, out = {}, {}, {}, [], []
-            for name, key in part.sort_values("seq")[["name", "key"]].itertuples(index=False):
-                words = name.split(" ")
-                initials = frozenset(i for i, w in enumerate(words) if len(w) == 1)
-                near = [by_key.get(key, len(first))]
-                if len(words) > 8:  # too many forms: names so long are few, and are compared one by one
-                    near += [g for w, g in long if _same(words, w)]
-                near += [by_form.get((other, other | initials, _short(words, other | initials)), len(first)) for other in shapes.get(len(words), ())]
-                at = min(near)
-                if at == len(first):
-                    first.append(key)
-                by_key[key] = min(at, by_key.get(key, at))
-                out.append((name, first[at]))
-                if len(words) > 8:
-                    long.append((words, at))
-                    continue
-                shapes.setdefault(len(words), set()).add(initials)
-                # Found again by whatever has initials where this name has, and anywhere else.
-                rest = [i for i in range(len(words)) if i not in initials]
-                for n in range(len(rest) + 1):
-                    for more in combinations(rest, n):
-                        cut = initials | frozenset(more)
-                        form = (initials, cut, _short(words, cut))
-                        by_form[form] = min(at, by_form.get(form, at))
-            yield pd.DataFrame({owner: part[owner].iloc[0], "name": [n for n, _ in out], "who": [k for _, k in out]})
-
-    def grouped(frame: pd.DataFrame) -> pd.DataFrame:
-        return next(fit(iter([frame])))
-
-    return each.groupBy(owner).applyInPandas(grouped, f"{owner} {dict(each.dtypes)[owner]}, name string, who string")
-
-
 def to_read(wanted: DataFrame, scanned: DataFrame, done: DataFrame) -> DataFrame:
     """paper and why: papers whose PDF is to be read for affiliations: wanted ones, then scanned ones with at least two authors with a family name of the country, both without
     printed affiliations and with an address; those done are left out. wanted, scanned: paper, pdf, n_aff (and in scanned, families)."""

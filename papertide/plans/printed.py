@@ -69,7 +69,7 @@ def printed(d: Domain) -> DataFrame:
 
 def roster(d: Domain) -> DataFrame:
     at = F.col("person") % len(HOMES)
-    return d.person.select("person", "name", "since", "approved", _one_of([f for f, _ in HOMES], at).alias("institution"), _one_of([s for _, s in HOMES], at).alias("short"))
+    return places.with_names(d.person.select("person", "name", "since", "approved", _one_of([f for f, _ in HOMES], at).alias("institution"), _one_of([s for _, s in HOMES], at).alias("short")))
 
 
 def key(column: str) -> Column:
@@ -88,9 +88,9 @@ def cls_places(d):
 @query(PRINTED + r""" SELECT paper, position, same.aff IS NOT NULL AS same, coalesce(printed.aff, '') = '' OR same.aff IS NOT NULL OR (length(roster.short) >= 3 AND regexp_matches(printed.aff, '(^|[^\w-])' || regexp_escape(roster.short) || '($|[^\w-])'))
     OR (roster.short IN ('HCMUS', 'VNU-HUS') AND regexp_matches(printed.aff, '\buniversity of science\b', 'i')) AS own FROM printed JOIN roster USING (person) LEFT JOIN same ON same.aff = printed.aff AND same.short = roster.short""")
 def cls_own_institution(d):
-    both = printed(d).join(roster(d).select("person", "institution", "short"), "person")
-    args = (F.col("places"), F.col("aff"), F.col("institution"), F.col("short"))
-    return both.select("paper", "position", F.coalesce(places.same_institution(*args), F.lit(False)).alias("same"), places.at_institution(*args).alias("own"))
+    both = printed(d).join(roster(d).select("person", "institution", "named", "short"), "person")
+    found, aff, *rest = map(F.col, ("places", "aff", "said", "institution", "named", "short"))
+    return both.select("paper", "position", F.coalesce(places.same_institution(found, *rest), F.lit(False)).alias("same"), places.at_institution(found, aff, *rest).alias("own"))
 
 
 # --- figures --------------------------------------------------------------------------------------------------------------------------
@@ -127,17 +127,41 @@ def agg_summary_flags(d):
     each AS (SELECT o.paper, o.short, count(p.aff) > 0 AS known, 2 * count(same.aff) > count(*) AS majority, count(same.aff) FILTER (position = 1) > 0 AS first FROM owned o JOIN printed p USING (paper) LEFT JOIN same ON same.aff = p.aff AND same.short = o.short GROUP BY o.paper, o.short)
     SELECT short, year, count(*) AS accepted, count(*) FILTER (known) AS judged, count(*) FILTER (NOT known) AS unknown, count(*) FILTER (known AND majority) AS majority, count(*) FILTER (known AND first) AS first_author FROM each JOIN paper USING (paper) WHERE status = 'accepted' GROUP BY short, year""")
 def agg_authorship_judged(d):
-    owned = d.member.join(roster(d), "person").select("paper", "institution", "short").distinct()
+    owned = d.member.join(roster(d), "person").select("paper", "institution", "named", "short").distinct()
     return figures.authorship(figures.judged(printed(d), owned), d.paper, "short", "year")
 
 
-@query(PRINTED + """, own AS (SELECT r.person, paper, CASE WHEN paper % 9 <> 0 THEN min(position) END AS me, any_value(short) AS short FROM authorship JOIN roster r USING (person) GROUP BY r.person, paper),
+#: Words of names, chosen so that initials stand for several of them; each authorship spells its person's name in one of four ways.
+_GIVEN, _MIDDLE, _FAMILY = ["an", "anh", "binh", "bao", "chi"], ["van", "vu", "thi"], ["nguyen", "tran", "le"]
+_SPELLED = f"""spelled AS (SELECT paper, position, person, aff, CASE (paper * 3 + position) % 4 WHEN 0 THEN g || ' ' || m || ' ' || f WHEN 1 THEN left(g, 1) || ' ' || m || ' ' || f WHEN 2 THEN left(g, 1) || ' ' || left(m, 1) || ' ' || f
+    ELSE f || ' ' || g || ' ' || m END AS name FROM (SELECT *, {_GIVEN}[CAST(1 + person % 5 AS INTEGER)] AS g, {_MIDDLE}[CAST(1 + person // 5 % 3 AS INTEGER)] AS m, {_FAMILY}[CAST(1 + person // 15 % 3 AS INTEGER)] AS f FROM printed)),
+    word AS (SELECT DISTINCT name, string_split(name, ' ') AS w FROM spelled)"""
+#: Spellings that are one by their key or by initials, of any two names; groups are found by going back along earlier spellings.
+_KEYED = "array_to_string(list_sort(CASE WHEN len(list_filter(w, lambda x: length(x) > 1)) >= 2 THEN list_filter(w, lambda x: length(x) > 1) ELSE w END), ' ')"
+_STANDS = "len(list_filter(range(1, len(x.w) + 1), lambda i: NOT (x.w[i] = y.w[i] OR (length(x.w[i]) = 1 AND starts_with(y.w[i], x.w[i])) OR (length(y.w[i]) = 1 AND starts_with(x.w[i], y.w[i]))))) = 0"
+_GROUPS = f"""keyed AS (SELECT name, w, {_KEYED} AS key FROM word), fits AS MATERIALIZED (SELECT x.name AS a, y.name AS b FROM keyed x JOIN keyed y ON x.name <> y.name AND (x.key = y.key OR (len(x.w) = len(y.w) AND {_STANDS}))),
+    said AS MATERIALIZED (SELECT person, name, min(seq) AS seq FROM pair GROUP BY person, name),
+    back AS (SELECT person, name, name AS here, seq FROM said UNION SELECT r.person, r.name, e.name, e.seq FROM back r JOIN fits ON fits.a = r.here JOIN said e ON e.person = r.person AND e.name = fits.b AND (e.seq, e.name) < (r.seq, r.here)),
+    behind AS (SELECT person, name, arg_min(here, (seq, here)) AS first FROM back GROUP BY person, name)"""
+
+
+def spelled(rows: DataFrame) -> DataFrame:
+    """The rows with a spelling of their person's name, its key, and the order of printing."""
+    given, middle, family = _one_of(_GIVEN, F.col("person") % 5), _one_of(_MIDDLE, F.floor(F.col("person") / 5) % 3), _one_of(_FAMILY, F.floor(F.col("person") / 15) % 3)
+    way, short = (F.col("paper") * 3 + F.col("position")) % 4, lambda w: F.left(w, F.lit(1))
+    name = F.when(way == 0, F.concat_ws(" ", given, middle, family)).when(way == 1, F.concat_ws(" ", short(given), middle, family)).when(way == 2, F.concat_ws(" ", short(given), short(middle), family))
+    named = rows.withColumn("name", name.otherwise(F.concat_ws(" ", family, given, middle))).withColumn("seq", F.col("paper") * 100 + F.col("position"))
+    return named.withColumn("key", key("name"))
+
+
+@query(PRINTED + f""", {_SPELLED}, own AS (SELECT r.person, paper, CASE WHEN paper % 9 <> 0 THEN min(position) END AS me, any_value(short) AS short FROM authorship JOIN roster r USING (person) GROUP BY r.person, paper),
     size AS (SELECT paper, count(*) AS n, count(aff) > 0 AS known FROM printed GROUP BY paper),
     each AS (SELECT own.*, greatest(n - 1, 0) AS others, known, status FROM own JOIN size USING (paper) JOIN paper USING (paper)),
-    pair AS (SELECT e.person, p.person AS who, known, aff IS NOT NULL AND p.aff NOT IN (SELECT aff FROM named) AS abroad, aff IS NOT NULL AND (aff, short) IN (SELECT (aff, short) FROM same) AS same_, aff IS NOT NULL AND (aff, short) NOT IN (SELECT (aff, short) FROM same) AS away,
-        aff IS NOT NULL AND aff IN (SELECT aff FROM named) AS home_ FROM each e JOIN printed p ON p.paper = e.paper AND p.position <> e.me WHERE me IS NOT NULL),
+    pair AS MATERIALIZED (SELECT e.person, p.name, p.paper * 100 + p.position AS seq, known, aff IS NOT NULL AND p.aff NOT IN (SELECT aff FROM named) AS abroad, aff IS NOT NULL AND (aff, short) IN (SELECT (aff, short) FROM same) AS same_, aff IS NOT NULL AND (aff, short) NOT IN (SELECT (aff, short) FROM same) AS away,
+        aff IS NOT NULL AND aff IN (SELECT aff FROM named) AS home_ FROM each e JOIN spelled p ON p.paper = e.paper AND p.position <> e.me WHERE me IS NOT NULL),
     sums AS (SELECT person, count(*) FILTER (known AND abroad) AS f, count(*) FILTER (known AND same_) AS s, count(*) FILTER (known AND away) AS e, count(*) FILTER (known AND home_) AS d, count(*) FILTER (known AND home_ AND away) AS o FROM pair GROUP BY person),
-    who AS (SELECT person, who, bool_or(known AND abroad) AS abroad, bool_or(known AND away) AS away FROM pair GROUP BY person, who),
+    {_GROUPS},
+    who AS (SELECT person, first, bool_or(known AND abroad) AS abroad, bool_or(known AND away) AS away FROM pair JOIN behind USING (person, name) GROUP BY person, first),
     sets AS (SELECT person, count(*) AS n, count(*) FILTER (away) AS away, count(*) FILTER (away AND abroad) AS abroad, count(*) FILTER (away AND NOT abroad) AS home_ FROM who GROUP BY person),
     sizes AS (SELECT person, count(*) AS papers, round(avg(others), 6) AS mean_coauthors, min(others) FILTER (status = 'accepted') AS min_coauthors, max(others) AS max_coauthors, count(*) FILTER (known AND me IS NOT NULL) AS with_affiliations FROM each GROUP BY person)
     SELECT person, papers, mean_coauthors, min_coauthors, max_coauthors, with_affiliations, coalesce(n, 0) AS distinct_coauthors, coalesce(away, 0) AS elsewhere, coalesce(abroad, 0) AS elsewhere_abroad, coalesce(home_, 0) AS elsewhere_home,
@@ -145,7 +169,7 @@ def agg_authorship_judged(d):
     round(coalesce(o, 0) / nullif(with_affiliations, 0), 6) AS mean_other_home FROM sizes LEFT JOIN sums USING (person) LEFT JOIN sets USING (person)""")
 def agg_collaboration_figures(d):
     own = d.authorship.groupBy("person", "paper").agg(F.min("position").alias("p")).withColumn("position", F.when(F.col("paper") % 9 != 0, F.col("p"))).drop("p")
-    return figures.collaboration(own.join(roster(d).select("person", "institution", "short"), "person"), printed(d).withColumn("who", F.col("person")).drop("person"), d.paper)
+    return figures.collaboration(own.join(roster(d).select("person", "institution", "named", "short"), "person"), spelled(printed(d)).drop("person"), d.paper)
 
 
 @query(PRINTED + """, size AS (SELECT paper, count(*) AS n FROM member GROUP BY paper),
@@ -295,6 +319,6 @@ def sort_topics(spark, sf_dir):
     each AS (SELECT o.paper, o.short, 2 * count(same.aff) > count(*) AS majority FROM owned o JOIN printed p USING (paper) LEFT JOIN same ON same.aff = p.aff AND same.short = o.short GROUP BY o.paper, o.short),
     t AS (SELECT short, count(*) FILTER (majority) AS at_home, count(*) AS accepted FROM each JOIN paper USING (paper) WHERE status = 'accepted' GROUP BY short) SELECT short, at_home, accepted, row_number() OVER (ORDER BY at_home DESC, accepted DESC, short) AS shown FROM t""")
 def sort_institution_bars(d):
-    owned = d.member.join(roster(d), "person").select("paper", "institution", "short").distinct()
+    owned = d.member.join(roster(d), "person").select("paper", "institution", "named", "short").distinct()
     rows = figures.authorship(figures.judged(printed(d), owned).withColumn("known", F.lit(True)), d.paper, "short")
     return aggregates.numbered(rows.select("short", F.col("majority").alias("at_home"), "accepted"), F.desc("at_home"), F.desc("accepted"), F.asc("short"))

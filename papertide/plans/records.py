@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from papertide.functions import labels, places, text
 from papertide.functions.runtime import table
-from papertide.operators import aggregates, graph, people
+from papertide.operators import aggregates, graph, people, spellings
 from papertide.operators.components import components
-from papertide.plans.printed import _RECORD, PRINTED, literal, printed, roster, values, venued
+from papertide.plans.printed import _GROUPS, _RECORD, _SPELLED, PRINTED, literal, printed, roster, spelled, values, venued
 from papertide.plans.registry import _EDGES, query
 from papertide.sources import files, pages
 from papertide.sources.testdata import Domain
@@ -244,14 +244,12 @@ def join_candidate_profiles(d):
     return profile.join(named, ["key", "short"], "left_semi").select("id", "key").distinct()
 
 
-@query()
+@query(PRINTED + f""", {_SPELLED}, pair AS (SELECT member.person, s.name, s.paper * 100 + s.position AS seq FROM member JOIN spelled s USING (paper)), {_GROUPS}
+    SELECT b.person, b.name, key AS who FROM behind b JOIN keyed ON keyed.name = b.first""")
 def resolve_distinct_people(d):
-    author = d.authorship.join(d.person.select("person", "name"), "person").select("paper", "name")
-    rows = d.member.join(author, "paper")
-    words = F.split("name", "#")
-    name = F.when(F.col("paper") % 2 == 0, F.concat_ws(" ", words[0], F.lit("t"), words[1])).otherwise(F.concat_ws(" ", words[0], F.lit("trong"), words[1]))
-    each = rows.select(F.col("person").alias("slug"), text.norm_name(name, True).alias("name"), F.col("paper").alias("seq"))
-    return people.distinct_people(each.select("slug", "name", text.name_key(F.col("name"), True).alias("key"), "seq"))
+    """The people behind the spellings on each person's papers."""
+    rows = spelled(printed(d)).drop("person").join(d.member, "paper")
+    return spellings.distinct_people(rows.select("person", "name", "key", "seq"), "person")
 
 
 # --- small rules ------------------------------------------------------------------------------------------------------------------------
