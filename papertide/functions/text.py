@@ -26,6 +26,11 @@ def _fold_batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda x: fold_accents(html.unescape(x)) if x is not None else None)
 
 
+def _bare_batches(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        yield part.map(lambda x: fold_accents(x) if x is not None else None)
+
+
 def folded(text: Column) -> Column:
     """fold_accents() of unescaped text; null stays null."""
     return F.pandas_udf(_fold_batches, "string")(text)
@@ -56,13 +61,19 @@ def name_key(text: Column, ascii_only: bool = False) -> Column:
     return F.array_join(F.array_sort(F.when(F.size(long) >= 2, long).otherwise(words)), " ")
 
 
+#: A command of a typesetting language: a backslash with the letters after it, or with one other sign.
+COMMAND = r"\\(?:[A-Za-z]+|.)"
+
+
 def norm_title(text: Column, ascii_only: bool = False) -> Column:
     """Letters and digits of a title, without commands of a typesetting language."""
-    return F.regexp_replace(F.lower(F.regexp_replace(_plain(text, ascii_only), r"\\[A-Za-z]+", " ")), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.lower(F.regexp_replace(_plain(text, ascii_only), COMMAND, " ")), "[^a-z0-9]+", "")
 
 
 def slug(text: Column, ascii_only: bool = False) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(_plain(text, ascii_only)), "[^a-z0-9]+", "-"), F.lit("-"))
+    """Words joined by dashes. Character references are not resolved: their letters are part of the name of a page."""
+    plain = text if ascii_only else F.pandas_udf(_bare_batches, "string")(text)
+    return F.btrim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def visible_text(page: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papertide.plans import landed, printed, records
+from papertide.plans import landed, printed, records, resolved
 from papertide.plans.registry import FLAGSHIP, oracle_sql, queries
 
-__all__ = ["FLAGSHIP", "landed", "oracle_sql", "printed", "queries", "records"]
+__all__ = ["FLAGSHIP", "landed", "oracle_sql", "printed", "queries", "records", "resolved"]
