@@ -267,14 +267,38 @@ def _links(met: DataFrame, n: int, threshold: float, tolerance: float) -> DataFr
     return over_batches(met, lambda batches: _by_tile(batches, group), "node long, root long, links long")
 
 
+def _texts(documents: DataFrame, n: int) -> DataFrame:
+    """id, node and text of each document that has n-grams."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for batch in batches:
+            for lo, _, gram, size in text_shingles(batch.column(1), n):
+                at = pa.array(lo + np.flatnonzero(size))
+                yield pa.table([batch.column(0).take(at), pa.array(set_keys(gram, size[size > 0]) if len(at) else np.zeros(0, np.int64)), batch.column(1).take(at)], ["id", "node", "text"])
+
+    return over_batches(documents, work, "id long, node long, text string")
+
+
+def _with_texts(placed: DataFrame, nodes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The placed nodes with a text each, that of the row which has their id. Where an id has several rows, its texts are told apart by their own nodes, one of each."""
+    columns = ("tile", "side", "band", "node", "copies", "text")
+    several = nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if several.isEmpty():
+        return placed.join(rows, "id").select(*columns)
+    several = checkpoint(several)
+    told = _texts(rows.join(several, "id", "left_semi"), n).groupBy("id", "node").agg(F.min("text").alias("text"))
+    alone = placed.join(several, "id", "left_anti").join(rows, "id")
+    return alone.select(*columns).union(placed.join(told, ["id", "node"]).select(*columns))
+
+
 def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7, tile: int = TILE) -> DataFrame:
     """doc_id, class_id (the smallest id of the documents that links connect it to, itself included) and n_links (documents whose similarity to it
     reaches the threshold) of each document."""
-    rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     nodes = checkpoint(_nodes(rows.where("id is not null"), n))
     sets = checkpoint(nodes.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     placed = checkpoint(tiles(sets, tile).join(sets.select("node", "id", "copies"), "node"))
-    met = placed.join(rows.where("id is not null"), "id").select("tile", "side", "band", "node", "copies", "text")
+    met = _with_texts(placed, nodes, rows.where("id is not null"), n)
     links = checkpoint(_links(met.repartition("tile").sortWithinPartitions("tile"), n, threshold, tolerance))
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
     component = components(links.select("node", "root").distinct(), "node", "root")
