@@ -8,7 +8,7 @@ Training takes a bounded sample of the labelled rows: about SAMPLE of them, deal
 and the driver averages SHARES vectors. Scores cover every whole text.
 
 Defined results: a null or empty text has no features, so that its score is that of the intercept; a label row that is null counts as absent,
-and of several labels of a document the highest holds; a null id hashes as the empty text; repeated rows each get their row; other columns are
+of several labels of a document the highest holds, and of several texts of a labelled id the first in order trains; a null id hashes as the empty text; repeated rows each get their row; other columns are
 ignored; without labelled rows every score is 0.5; an empty table gives an empty result.
 """
 
@@ -85,7 +85,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", doc_i
     share = min(1.0, sample / max(1, known.count()))
     known = known.withColumn("order", F.xxhash64("id")).where(F.pmod(F.col("order"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # About `sample` rows of three numbers: bounded by the parameter, so they can be broadcast.
-    rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id").withColumn("share", F.pmod(F.shiftright("order", 32), F.lit(SHARES)))
+    rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
+    # An id's rows become one before they are shuffled, so that a group holds a share of the sample however often an id occurs.
+    rows = rows.groupBy("id", "label", "order").agg(F.min("text").alias("text")).withColumn("share", F.pmod(F.shiftright("order", 32), F.lit(SHARES)))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["order", "id"], kind="stable")
