@@ -41,6 +41,11 @@ PROBES, TARGET = 128, 0.95
 BLOCK = 1 << 21
 
 
+def _single(x: np.ndarray) -> np.ndarray:
+    """For the forest alone: single precision, drawn in to where projections and their squares stay finite."""
+    return np.clip(x, -1e15, 1e15).astype(np.float32)
+
+
 @dataclass
 class Forest:
     """All trees. node: centre, first direction and number of directions; child of each direction: a node, or leaf -1 - child. roots: first nodes.
@@ -92,7 +97,7 @@ class Forest:
         The queue is an array kept in order: all nodes before the place where the entries are enough are opened together, which brings that place nearer,
         until there are only leaves before it.
         """
-        q = q.astype(np.float32)
+        q = _single(q)
         node = np.array(self.roots, np.int64)
         owed, what, held = np.zeros(len(node)), np.where(node >= 0, node, -1 - node), np.zeros(len(node))
         kind = np.where(node >= 0, 1, 0)  # 0: a leaf, 1: a node, 2: a large leaf
@@ -126,7 +131,7 @@ class Forest:
 
 def grow(sample: np.ndarray, rows: int, trees: int = TREES, seed: int = 5) -> Forest:
     """The forest for a sample of the distinct vectors of a table of so many rows."""
-    rng, x = np.random.default_rng(seed), np.ascontiguousarray(sample, np.float32)
+    rng, x = np.random.default_rng(seed), np.ascontiguousarray(_single(sample))
     dim = x.shape[1] if x.ndim == 2 else 0
     centre, first, width, direction, child, roots, leaf_centre, used = [], [], [], [], [], [], [], 0
     scale = max(1.0, rows / max(1, len(x)))
@@ -183,7 +188,7 @@ def budget(forest: Forest, size: np.ndarray, splits: np.ndarray, probes: np.ndar
     for q, near in zip(probes, truth, strict=True):
         what, upto = forest.search(q, size, splits, float("inf"))
         order = np.argsort(what)
-        at = order[np.searchsorted(what[order], forest.cells(near.astype(np.float32), splits))]
+        at = order[np.searchsorted(what[order], forest.cells(_single(near), splits))]
         need.append(upto[at].min(axis=1))
     return float(np.quantile(np.concatenate(need), target, method="higher")) if need else 0.0
 
@@ -204,13 +209,24 @@ def _closest(far: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     return at[np.sort(np.unique(names[at], return_index=True)[1])][:k]
 
 
+def _distances(queries: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All distances; where squares are too large or too small for doubles, of vectors scaled by their largest difference."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        far = np.sqrt(np.square(queries[:, None, :] - x[None]).sum(axis=2))
+        for i, j in zip(*np.nonzero(~((far > 1e-140) & (far < 1e150))), strict=True):
+            off = queries[i] / 2 - x[j] / 2
+            if most := np.abs(off).max(initial=0.0):
+                far[i, j] = 2 * most * np.sqrt(np.square(off / most).sum())
+    return far
+
+
 def _met(queries: np.ndarray, labels: np.ndarray, batch: pa.Table, dim: int, k: int) -> Iterator[pa.Table]:
     """query, vec_id and score of the k nearest of a batch of entries (ids, v) for each of the queries."""
     ids = batch["ids"].combine_chunks()
     names, owner = ids.flatten().to_numpy(), np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy())
     x, step = _matrix(batch["v"].combine_chunks(), dim), max(1, BLOCK // max(1, len(ids) * dim))
     for lo in range(0, len(queries), step):
-        far = np.sqrt(np.square(queries[lo : lo + step, None, :] - x[None]).sum(axis=2))[:, owner]
+        far = _distances(queries[lo : lo + step], x)[:, owner]
         at = [_closest(f, names, k) for f in far]
         flat = np.concatenate(at)
         own = np.repeat(np.arange(len(at)), [len(a) for a in at])
@@ -244,7 +260,7 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         f, n = shared.value, np.zeros(leaves, np.int64)
         for batch in batches:
-            n += np.bincount(f.leaf_of(_matrix(batch.column(0), dim).astype(np.float32)).ravel(), minlength=leaves)
+            n += np.bincount(f.leaf_of(_single(_matrix(batch.column(0), dim))).ravel(), minlength=leaves)
         at = np.flatnonzero(n)
         yield pa.table([pa.array(at), pa.array(n[at])], ["leaf", "n"])
 
@@ -277,7 +293,7 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         f, (_, parts) = shared.value, plan.value
         for batch in batches:
-            cell = f.cells(_matrix(batch.column(1), dim).astype(np.float32), parts)
+            cell = f.cells(_single(_matrix(batch.column(1), dim)), parts)
             own = pa.array(np.repeat(np.arange(len(cell)), cell.shape[1]))
             yield pa.table([pa.array(cell.ravel()), pa.array(np.zeros(cell.size, bool)), pa.nulls(cell.size, pa.int64()), batch.column(0).take(own), batch.column(1).take(own)], ["cell", "asks", "query", "ids", "v"])
 
