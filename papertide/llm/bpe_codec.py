@@ -238,4 +238,4 @@ def coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Table]:
 
 def encode_decode(documents: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (binary: 32-bit little-endian) and decoded (their text) of each document."""
-    return over_batches(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), lambda batches: coded(batches, path), "doc_id long, n_tokens long, ids binary, decoded string")
+    return over_batches(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), lambda batches: coded(batches, path), "doc_id long, n_tokens long, ids binary, decoded string")

@@ -517,4 +517,4 @@ def media(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 yield pa.table([batch.column(0).slice(lo, hi - lo), pa.array(offsets[lo + 1 : hi + 1] - offsets[lo:hi]), pa.array(streams, pa.binary()), pa.array(payload, pa.binary()), listed, pa.array(feature)], ["doc_id", "n_bytes", "stream", "payload", "blocks", "feature"])
 
     schema = "doc_id long, n_bytes long, stream binary, payload binary, blocks array<struct<first_sample: long, samples: int, byte_offset: long>>, feature string"
-    return over_batches(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, schema)
+    return over_batches(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), work, schema)

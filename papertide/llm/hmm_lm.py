@@ -274,7 +274,7 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", fold
     model = train(training, counts, doc_id, text)
     shared = spark.sparkContext.broadcast(model)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(F.col(doc_id).alias("doc_id"), apart.alias("held_out"), F.xxhash64(body).alias("text_key"), body.alias("text"))
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), apart.alias("held_out"), F.xxhash64(body).alias("text_key"), body.alias("text"))
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         m = shared.value

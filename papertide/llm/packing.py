@@ -118,7 +118,7 @@ def pieces(documents: DataFrame, path: str, room: int, end: int, doc_id: str, te
                 yield pa.table([batch.column(0).slice(lo, len(sizes)).take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(piece * room), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
                 lo += len(sizes)
 
-    return over_batches(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return over_batches(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(documents: DataFrame, path: str, room: int = 4096, end: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

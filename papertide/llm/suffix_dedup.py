@@ -528,7 +528,7 @@ def repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     carried along, that as `carried`, and kept_text: of documents that lose bytes, the text left, without characters of which only a part is."""
     spark = documents.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id), F.lit(LAST)).alias("ord"), body.alias("text"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"), F.octet_length(body).alias("size"), *([F.col(carried).alias("carried")] if carried else []))
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("ord"), body.alias("text"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest"), F.octet_length(body).alias("size"), *([F.col(carried).alias("carried")] if carried else []))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
     blocks, parts = 1 + total // block_bytes, 1 + int(total * 2 / (WIDTH - GRAM + 2)) // part_anchors
     rows = rows.withColumn("block", F.pmod(F.xxhash64("ord", "digest"), F.lit(blocks)).cast("int"))

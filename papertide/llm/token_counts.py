@@ -76,4 +76,4 @@ def token_counts(documents: DataFrame, path: str, doc_id: str = "doc_id", text:
             size = pc.binary_length(batch.column(1).fill_null("")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return over_batches(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return over_batches(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

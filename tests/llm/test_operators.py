@@ -629,3 +629,45 @@ def test_opening_order_of_the_shared_queue():
     what, upto = forest.search(x[0], size, np.ones(forest.leaves, np.int64), float("inf"))
     assert sorted(what.tolist()) == list(range(forest.leaves)) and upto[-1] == 3 * len(x)
     assert set(forest.leaf_of(x[:1].astype(np.float32))[0].tolist()) <= set(what[:3].tolist())
+
+
+def test_rows_of_one_id_enter_a_tile_once(spark):
+    """An id that many rows bear brings one text for each of its nodes into a tile."""
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:59], "other"])
+    rows = [(1, " ".join(words))] * 300 + [(1, f"quite another text number {k} of this id") for k in range(50)] + [(2, near)]
+    documents = spark.createDataFrame(rows, "id long, text string")
+    nodes = ngram_jaccard._nodes(documents, 5).cache()
+    sets = nodes.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    placed = ngram_jaccard.tiles(sets).join(sets.select("node", "id", "copies"), "node")
+    met = ngram_jaccard._with_texts(placed, nodes, documents, 5).collect()
+    assert len(met) == placed.count() and {r.text for r in met} >= {near, " ".join(words)}
+    got = {r.n_links for r in ngram_jaccard.jaccard_classes(documents.withColumnRenamed("id", "doc_id")).where("doc_id = 2").collect()}
+    assert got == {300}
+
+
+def test_a_labelled_id_with_many_rows_trains_once(spark):
+    documents = spark.createDataFrame([(i % 40, "good text here" if i % 2 else "bad words there") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = quality.train(documents.dropDuplicates(), labels)
+    assert np.allclose(quality.train(documents, labels), once)
+
+
+def test_ids_of_other_types(spark, documents):
+    few = documents.where("doc_id < 40").select(F.col("doc_id").cast("int").alias("doc_id"), "text")
+    ids = sorted(r.doc_id for r in few.collect())
+    for found in (token_counts.token_counts(few, BYTE), hmm_lm.score(few), suffix_dedup.repeats(few), bpe_codec.encode_decode(few, WORD), sharding.shard_rows(few, 4), ngram_jaccard.jaccard_classes(few), flac.media(few)):
+        assert sorted(r.doc_id for r in found.select("doc_id").collect()) == ids
+    assert {r.doc_id for r in packing.pack(few, WORD).collect()} == set(ids)
+
+
+def test_distances_of_very_large_and_very_small_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e200, 2.0]), (2, [1e308, -1e308]), (3, [-1e308, 1e308]), (4, [1e-200, 0.0]), (5, [2e-200, 0.0])]
+    got = ann_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=4).collect()
+    want = {}
+    for q, x in rows:
+        if q % 4 == 0:
+            near = sorted((math.hypot(*(a / 4 - b / 4 for a, b in zip(x, y, strict=True))) * 4, i) for i, y in rows if i != q)
+            want |= {(q, k): (i, d) for k, (d, i) in enumerate(near, 1)}
+    assert {(r.query_id, r.rank): r.vec_id for r in got} == {k: i for k, (i, _) in want.items()}
+    assert all(r.score == pytest.approx(want[r.query_id, r.rank][1], rel=1e-12) for r in got)
