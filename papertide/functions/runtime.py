@@ -27,3 +27,9 @@ def checkpoint(frame: DataFrame) -> DataFrame:
     """Cut the lineage of `frame` with a reliable checkpoint in the shared folder."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared store, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
