@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papertide.functions.runtime import shared_folder, table
+from papertide.functions.runtime import remove, shared_folder, table
 from papertide.llm import ngram_jaccard, packing, quality, suffix_dedup
 
 #: SQL has no logistic regression trained by updates in sequence, so the pipeline is tested stage by stage against brute force.
@@ -56,11 +56,13 @@ STAGES = [("quality classifier", drop_junk), ("n-gram Jaccard join", drop_near_c
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; what each returns is written as Parquet in the shared folder and read again."""
+    """The stages over documents; what each returns is written as Parquet in the shared folder and read again. A stage's input goes once its output is written, so that
+    one copy of the corpus is there at the end, which the result is read from."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            remove(spark, f"{folder}/{k - 1}")
     return docs
