@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from papertide.functions.runtime import shared_folder
+from papertide.functions.runtime import checkpoint, shared_folder
 
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
@@ -22,19 +22,25 @@ def append_new(known: DataFrame, offered: DataFrame, key: list[str]) -> DataFram
     return known.unionByName(offered.join(known.select(*key).distinct(), key, "left_anti"))
 
 
-def latest_by_key(spark: SparkSession, path: str, late: str = "1 hour", folder: str | None = None) -> DataFrame:
-    """Counts and the latest event of each user, from a stream over event files: repeated events drop within the watermark, batches merge into a table.
+def latest_by_key(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """Counts and the latest event of each user, from a stream over event files: each event counts once, whenever it comes and however often.
 
-    `folder` holds the table and the stream's progress: called again with it, only files that are new are read. Without one, a new folder in the shared one is taken."""
+    `folder` holds the table, the ids seen so far and the stream's progress: called again with it, only files that are new are read. Without one, a new folder in the shared one is
+    taken. No watermark decides what is late: an event is new if its id is not among those of earlier batches. Of several events of one id
+    in a batch the latest counts; a batch that runs again replaces what it wrote."""
     folder = folder or f"{shared_folder(spark)}/latest-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").parquet(path)
-    clean = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("at", "event_id", "event_type")).alias("last")).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
-
-    spark.createDataFrame([], STATE).write.mode("overwrite").parquet(f"{folder}/state/batch=-1")  # a table, even where there is no batch
-    query = clean.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        one = batch.groupBy("event_id").agg(F.max(F.struct(F.col("ts").cast("timestamp").alias("at"), "user_id", "event_type")).alias("e")).select("event_id", "e.*")
+        seen = spark.read.schema("event_id bigint, batch bigint").parquet(f"{folder}/seen").where(F.col("batch") < number)
+        fresh = checkpoint(one.join(seen, "event_id", "left_anti"))
+        fresh.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("at", "event_id", "event_type")).alias("last")).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        fresh.select("event_id").write.mode("overwrite").parquet(f"{folder}/seen/batch={number}")
+
+    for part, schema in (("state", STATE), ("seen", "event_id bigint")):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/{part}/batch=-1")  # a table, even where there is no batch
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     state = spark.read.schema(STATE).parquet(f"{folder}/state")
     return state.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last").alias("last")).select("user_id", "n", F.col("last.event_id").alias("event_id"), F.col("last.event_type").alias("event_type"))
