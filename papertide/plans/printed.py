@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from papertide.functions import labels, places, text
 from papertide.functions.runtime import table
-from papertide.operators import aggregates, estimators, figures, people
+from papertide.operators import aggregates, estimators, figures, people, tokenscores
 from papertide.plans.registry import _PROJECT, _full, query
 from papertide.sources.testdata import Domain
 
@@ -205,6 +205,25 @@ def text_flagged_share(spark, sf_dir):
     return figures.flagged_share(token.select("doc_id", "sentence", F.char_length("w").alias("score")), 5.5)
 
 
+_OFFSETS = r"""WITH piece AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?]["”’'')\]]*\s+|\n\s*\n)', '\1' || chr(1), 'g'), chr(1))) AS p, generate_subscripts(string_split(regexp_replace(text, '([.!?]["”’'')\]]*\s+|\n\s*\n)', '\1' || chr(1), 'g'), chr(1)), 1) AS k FROM documents),
+    span AS MATERIALIZED (SELECT doc_id, k, sum(length(p)) OVER w - length(p) AS a, sum(length(p)) OVER w AS b FROM piece WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+    word AS (SELECT doc_id, length(text) - length(ltrim(text, E' \t\n\r\f\x0B')) AS lead, unnest(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+[ \t\n\r\f\x0B]*')) AS w, generate_subscripts(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+[ \t\n\r\f\x0B]*'), 1) AS i FROM documents),
+    token AS MATERIALIZED (SELECT doc_id, i, lead + sum(length(w)) OVER v - length(w) AS x, length(regexp_replace(w, '[ \t\n\r\f\x0B]+$', '')) AS n FROM word WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+    kept AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY doc_id) AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS r FROM token WHERE i <= 1000),
+    whole AS (SELECT doc_id, max(tokens) AS tokens, round(avg(n), 6) AS score FROM kept WHERE r <= greatest(ceil(tokens * 0.25), 1) GROUP BY doc_id),
+    judged AS (SELECT k.doc_id, s.k, avg(n) AS mean, count(*) AS c FROM kept k JOIN span s ON s.doc_id = k.doc_id AND 2 * s.a <= 2 * k.x + k.n AND 2 * k.x + k.n < 2 * s.b GROUP BY k.doc_id, s.k),
+    share AS (SELECT doc_id, count(*) AS sentences, count(*) FILTER (mean > 5.5) AS flagged FROM judged WHERE c >= 8 GROUP BY doc_id)
+    SELECT w.doc_id, tokens, w.doc_id IN (SELECT doc_id FROM token WHERE i > 1000) AS truncated, score, coalesce(sentences, 0) AS sentences, coalesce(flagged, 0) AS flagged, round_even(100.0 * flagged / sentences, 1) AS pct FROM whole w LEFT JOIN share USING (doc_id)"""
+
+
+@query(_OFFSETS, on_domain=False)
+def text_windows_and_sentences(spark, sf_dir):
+    """Tokens in windows of 200, at most 1,000 of a text, scored by their length; sentences judged by the tokens whose middle they hold."""
+    length = lambda window: F.zip_with("starts", "ends", lambda a, b: (b - a).cast("double"))
+    found = tokenscores.text_figures(table(spark, sf_dir, "documents"), length, 5.5, size=200, cap=1000)
+    return found.withColumn("score", F.round("score", 6))
+
+
 _KEY = "array_to_string(list_sort(list_filter(string_split(trim(lower(regexp_replace(name, '[^A-Za-z0-9]+', ' ', 'g'))), ' '), lambda x: length(x) > 0)), ' ')"
 
 
