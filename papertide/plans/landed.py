@@ -13,7 +13,7 @@ from papertide.functions import classify, labels, manuscript
 from papertide.functions.runtime import shared_folder, table
 from papertide.plans.printed import HOMES, literal
 from papertide.plans.registry import query
-from papertide.sources import files, listings, pages
+from papertide.sources import files, landed_files, listings, pages
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -98,6 +98,47 @@ def src_bibtex(spark, sf_dir):
     return _papers(listings.bibliographies(_file(_customers(spark, sf_dir), "acl", form)))
 
 
+#: Entries as volumes print them, one of which a paper gets by its number: in braces, in quotes, with bare values and nested braces, on one line with another entry, of another kind, without authors, with fields
+#: in capitals, cut off in the middle, and with signs of typesetting. {i} is the paper's number.
+ENTRIES = [
+    "@inproceedings{p{i},\n  title = {A Title {N}umber {i}},\n  author = {Fosse, Lo{\\\"i}c and\n    {\\DJ}o{\\`a}n, Hoang},\n  url = {https://example.org/{i}/}\n}",
+    '@inproceedings{p{i},\n  title = "A Title Number {i}",\n  author = "Ada Lovelace",\n  month = jul,\n  url = "https://example.org/{i}/"\n}',
+    "@InProceedings{p{i}, title={Bare {and {nested}} {i}}, year=2024, author={Lovelace, Ada and Bao Q. Tran}}",
+    "@inproceedings{p{i}, title={First of a line {i}}, author={A B}} @inproceedings{q{i}, title={Second of a line {i}}, author={C D}}",
+    "@article{p{i},\n title = {Of another kind {i}},\n author = {A B}\n}",
+    "@inproceedings{p{i},\n title = {Without authors {i}}\n}",
+    "@inproceedings{p{i},\n  TITLE = {In capitals {i}},\n  AUTHOR = {Lovelace, Ada},\n}\nText between entries, with an address a@b.org and a {brace}.",
+    "@inproceedings{p{i},\n  title = {Cut off {i},\n  author = {A B},",
+    "@inproceedings{p{i},\n  title = {100\\% of {\\ss} \\& more {i}},\n  author = {M{\\\"u}ller, J{\\o}rn}\n}",
+]
+_PRINTED_ENTRIES = [  # shape, title, authors, whether it has an address
+    (0, "'A Title Number ' || i", "'Loïc Fosse@; Hoang Đoàn@'", True), (1, "'A Title Number ' || i", "'Ada Lovelace@'", True), (2, "'Bare and nested ' || i", "'Ada Lovelace@; Bao Q. Tran@'", False),
+    (3, "'First of a line ' || i", "'A B@'", False), (3, "'Second of a line ' || i", "'C D@'", False), (6, "'In capitals ' || i", "'Ada Lovelace@'", False), (8, "'100% of ß & more ' || i", "'Jørn Müller@'", False),
+]
+
+
+@query(f"WITH o AS (SELECT o_orderkey AS i, o_orderkey % {len(ENTRIES)} AS shape, lower(o_orderpriority[3:]) AS venue, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders) "
+       + " UNION ALL ".join(f"SELECT venue, year, {title} AS title, {authors} AS authors, {chr(39) + 'https://example.org/' + chr(39) + ' || i || ' + chr(39) + '/' + chr(39) if url else 'NULL'} AS url FROM o WHERE shape = {shape}" for shape, title, authors, url in _PRINTED_ENTRIES), on_domain=False)
+def src_landed_volumes(spark, sf_dir):
+    """Volumes of entries of nine shapes, landed as packed files by venue and year, and read a line at a time."""
+    i = F.col("o_orderkey")
+    form = F.element_at(F.array(*map(F.lit, ENTRIES)), (i % len(ENTRIES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(F.replace(form, F.lit("{i}"), i.cast("string")).alias("value"), F.lower(F.substring("o_orderpriority", 3, 99)).alias("venue"), F.year("o_orderdate").alias("year"))
+    path = _folder(spark, "volumes")
+    rows.repartition("venue", "year").write.partitionBy("venue", "year").option("compression", "gzip").text(path)
+    return listings.volumes(landed_files.volume_lines(spark, path, "*.gz")).select("venue", "year", "title", _names().alias("authors"), "url")
+
+
+@query("SELECT lower(o_orderpriority[3:]) AS venue, CAST(year(o_orderdate) AS INTEGER) AS year, false AS missing, count(*) AS lines, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 2) AS BIGINT) AS letters FROM orders GROUP BY ALL", on_domain=False)
+def src_landed_files(spark, sf_dir):
+    """Whole files, one of each venue and year, whose place and packing their path and first bytes tell."""
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("é"), F.col("o_orderkey").cast("string")).alias("value"), F.lower(F.substring("o_orderpriority", 3, 99)).alias("venue"), F.year("o_orderdate").alias("year"))
+    path = _folder(spark, "files")
+    rows.repartition("venue", "year").write.partitionBy("venue", "year").option("compression", "gzip").text(path)
+    found = landed_files.landed(spark, path, "part-*").withColumn("line", F.explode(F.split(F.rtrim("body", F.lit("\n")), "\n")))
+    return found.groupBy("venue", "year", "missing").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("line") + 1).alias("letters"))
+
+
 @query("""WITH one AS (SELECT s_suppkey % 7 AS y, count(*) AS n, count(*) FILTER (s_suppkey % 3 = 0) AS l FROM supplier GROUP BY 1)
     SELECT CAST(y AS INTEGER) AS year, CASE WHEN l >= 0.95 * n THEN l ELSE n END AS papers, CASE WHEN l > 0 THEN 1 ELSE 0 END AS workshop FROM one""", on_domain=False)
 def src_combined_lists(spark, sf_dir):

@@ -7,7 +7,6 @@ functions; only entities and typesetting commands are resolved in Python, in bat
 from __future__ import annotations
 
 import html
-import json
 import unicodedata
 from functools import reduce
 
@@ -17,7 +16,8 @@ from pyspark.sql.window import Window
 
 from papertide.functions import classify
 from papertide.functions.manuscript import batches
-from papertide.functions.text import bib_fields, latex_to_text, norm_title
+from papertide.functions.text import latex_to_text, norm_title
+from papertide.sources.landed_files import bib_entries
 
 PAPER = ["venue", "year", "track", "title", "authors", "url", "pdf", "forum", "pres", "topic", "source"]
 
@@ -36,7 +36,6 @@ PRESENTATION_RANK = {"oral": 2, "spotlight": 1, "highlight": 1}
 
 unescaped = batches(lambda x: unicodedata.normalize("NFC", html.unescape(x)))
 from_latex = batches(latex_to_text)
-bib_entry = batches(lambda entry: json.dumps(bib_fields(entry)))
 
 
 def known(text: Column) -> Column:
@@ -163,9 +162,14 @@ def ijcai_pages(files: DataFrame) -> DataFrame:
 
 
 def bibliographies(files: DataFrame) -> DataFrame:
-    """Papers of bibliography files: the conference entries that have a title and authors; "Last, First" is turned round."""
-    rows = files.select("venue", "year", F.posexplode(F.split("body", r"\n(?=@)")).alias("seq", "entry")).where(F.lower(F.ltrim("entry")).startswith("@inproceedings"))
-    rows = rows.withColumn("f", F.from_json(bib_entry("entry"), "map<string,string>")).where("f['title'] is not null and f['author'] is not null")
+    """Papers of bibliography files that are held whole: see volumes()."""
+    one = files.select(F.concat_ws(" ", F.col("venue"), F.col("year"), F.md5(F.col("body").cast("binary")), F.monotonically_increasing_id()).alias("path"), "venue", "year", "body")
+    return volumes(one.select("path", "venue", "year", F.posexplode(F.split("body", "\n")).alias("place", "line")))
+
+
+def volumes(lines: DataFrame) -> DataFrame:
+    """Papers of bibliography volumes, from their lines (see landed_files.volume_lines): the conference entries that have a title and authors; "Last, First" is turned round."""
+    rows = bib_entries(lines).where("kind = 'inproceedings' and fields['title'] is not null and fields['author'] is not null").withColumnRenamed("fields", "f")
     names = F.split(from_latex(F.array_join(F.split(F.col("f")["author"], r"\s+and\s+"), "\x01")), "\x01")
     turned = F.transform(names, lambda n: F.concat_ws(" ", known(F.split_part(n, F.lit(","), F.lit(2))), known(F.split_part(n, F.lit(","), F.lit(1)))))
     return papers(rows, title=known(from_latex(F.col("f")["title"])), authors=bare_authors(turned), url=known(F.col("f")["url"]), source=F.lit("aclanthology.org"))
