@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,8 +44,10 @@ def tally(member: DataFrame, paper: DataFrame) -> DataFrame:
 def dense_summary(paper: DataFrame) -> DataFrame:
     """Year x venue cube with totals, zero-filled: cells, rows, columns and the grand total in one aggregation."""
     grid = paper.select("year").distinct().crossJoin(paper.select("venue").distinct())  # years times venues: two small domains
-    facts = grid.join(paper.select("year", "venue", "status"), ["year", "venue"], "left")
-    cube = facts.cube("year", "venue").agg(count_if(accepted()).alias("accepted"), F.count("status").alias("submitted"), F.grouping_id().alias("level"))
+    # Papers are counted by year and venue before anything is expanded.
+    cells = paper.groupBy("year", "venue").agg(count_if(accepted()).alias("taken"), F.count("status").alias("all"))
+    facts = grid.join(cells, ["year", "venue"], "left").fillna(0, ["taken", "all"])
+    cube = facts.cube("year", "venue").agg(F.sum("taken").alias("accepted"), F.sum("all").alias("submitted"), F.grouping_id().alias("level"))
     return cube.select("year", "venue", F.col("level").cast("int").alias("level"), "accepted", "submitted")
 
 
@@ -119,7 +121,14 @@ def candidates(authorship: DataFrame, paper: DataFrame, person: DataFrame, limit
     rows = last.join(person, "person").where(~F.col("approved")).join(paper.where(accepted()), "paper")
     each = rows.groupBy("person", "name", "paper", "year").agg(F.max((F.col("position") == F.col("n")) & (F.col("n") > 1)).alias("senior"))
     out = each.groupBy("person", "name").agg(F.count(F.lit(1)).alias("papers"), count_if(F.col("senior")).alias("senior"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min(F.struct("year", "paper"))["paper"].alias("first_paper"))
-    return out.orderBy(F.desc("papers"), F.desc("senior"), "name").limit(limit)
+    return first_of_all(out, limit, F.desc("papers"), F.desc("senior"), F.asc("name"), F.asc("person"))
+
+
+def first_of_all(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first rows in an order that decides between all, with the number of all rows in `total`, which the pass that finds them counts."""
+    seen = Observation()
+    found = checkpoint(rows.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order).limit(limit))
+    return found.withColumn("total", F.lit(seen.get["n"]).cast("long"))
 
 
 def only_negative(member: DataFrame, paper: DataFrame) -> DataFrame:
@@ -139,6 +148,21 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     return inside.join(F.broadcast(before), "part").withColumn("shown", F.col("shown") + F.col("before")).drop("part", "before")
 
 
+def pushed_apart(rows: DataFrame, value: str, gap: int, *order: Column) -> DataFrame:
+    """The rows with `pushed`: in the order, the value, or what lies `gap` under the row before where that is less, y[k] = min(y[k], y[k-1] - gap). Rows without a value are left out.
+
+    With gap * k added, the recurrence is a running minimum, which ranges of the order compute apart: each needs of those before it how many rows they have and the least of
+    their values, one row for each range. Values are whole numbers, so that nothing is lost by adding and taking away."""
+    placed = checkpoint(rows.where(F.col(value).isNotNull()).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))  # ranges are drawn anew in each run
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order))).withColumn("low", F.min(F.col(value) + gap * F.col("k")).over(own))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over the few ranges
+    part = inside.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("least")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    part = part.select("part", "before", F.min(F.col("least") + gap * F.col("before")).over(upto).alias("carried"))
+    met = inside.join(F.broadcast(part), "part")
+    return met.withColumn("pushed", F.least(F.col("low") + gap * F.col("before"), "carried") - gap * (F.col("k") + F.col("before"))).drop("part", "k", "low", "before", "carried")
+
+
 def cell_order(rows: DataFrame, cell: str, *ties: str) -> tuple:
     """The rows and the order in which a table shows them by a column of text cells: by number where all cells that are not empty are numbers, from the largest; else by text. Empty
     cells come last. Signs of per cent do not count, and "11 +1" stands for 12 and 11 thousandths."""

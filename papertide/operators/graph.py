@@ -109,6 +109,12 @@ def crossings(edge: DataFrame, spot: DataFrame) -> DataFrame:
     return met.where(cross).select("a", "b", "a_r", "b_r")
 
 
+def crossed(pairs: DataFrame) -> DataFrame:
+    """a, b and crossings: how often each line crosses others, of those that do. Each pair counts for both its lines, and is counted where it is found."""
+    both = pairs.select("a", "b").union(pairs.select("a_r", "b_r"))
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("crossings"))
+
+
 def rule_breaks(edge: DataFrame, spot: DataFrame, gap: float = 40.0) -> DataFrame:
     """Numbers of lines that pass a node at which they do not end within `gap`, of labels that overlap, and of nodes too close to read. spot: node, x, y, label."""
     node = spot.select("node", "x", "y", "label", F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))

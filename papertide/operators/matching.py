@@ -8,16 +8,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def later_acceptance(member: DataFrame, paper: DataFrame) -> DataFrame:
     """For each person and paper that was not accepted: the person's earliest accepted paper of the same holder in the same or a later year (ties: venue,
     then id)."""
-    rows = member.join(paper, "paper")
-    bad = rows.where("status <> 'accepted'").select("person", "holder", "paper", "year")
-    good = rows.where("status = 'accepted'").select("person", "holder", F.struct("year", "venue", F.col("paper").alias("id")).alias("hit"))
-    met = bad.join(good, ["person", "holder"], "left").groupBy("person", "paper").agg(F.min(F.when(F.col("hit.year") >= F.col("year"), F.col("hit"))).alias("hit"))
-    return met.where("hit is not null").select("person", "paper", F.col("hit.id").alias("later"), F.col("hit.year").alias("later_year"))
+    hit = F.when(F.col("status") == "accepted", F.struct("year", "venue", F.col("paper").alias("id")))
+    # The least acceptance of this year or a later one: a running minimum from the last year back, so that no pairs are made.
+    since = Window.partitionBy("person", "holder").orderBy(F.desc("year")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = member.join(paper, "paper").withColumn("hit", F.min(hit).over(since))
+    return met.where("status <> 'accepted' and hit is not null").select("person", "paper", F.col("hit.id").alias("later"), F.col("hit.year").alias("later_year"))
 
 
 def lookup(records: DataFrame, by_id: DataFrame, by_key: DataFrame) -> DataFrame:
@@ -41,10 +42,10 @@ def fill_sequences(target: DataFrame, source: DataFrame) -> DataFrame:
 
 def subset_overlap(people: DataFrame, directory: DataFrame) -> DataFrame:
     """The first directory entry (by entry) whose name tokens all occur in the person's and whose place shares a word with theirs. people: person, tokens,
-    places; directory: entry, tokens, places. Matches need a common token, so candidates meet by token."""
-    token = directory.withColumn("token", F.col("tokens")[0]).select("entry", F.col("tokens").alias("t"), F.col("places").alias("p"), "token")
-    met = people.withColumn("token", F.explode(F.array_distinct("tokens"))).join(token, "token")
-    met = met.where((F.size(F.array_except("t", "tokens")) == 0) & F.arrays_overlap("p", "places"))
+    places; directory: entry, tokens, places. Matches need a common token and a common place, so candidates meet by both: a frequent first name is no group of all who bear it."""
+    token = directory.withColumn("token", F.col("tokens")[0]).withColumn("place", F.explode(F.array_distinct("places"))).select("entry", F.col("tokens").alias("t"), "token", "place")
+    met = people.withColumn("token", F.explode(F.array_distinct("tokens"))).withColumn("place", F.explode(F.array_distinct("places"))).join(token, ["token", "place"])
+    met = met.where(F.size(F.array_except("t", "tokens")) == 0)
     return met.groupBy("person").agg(F.min("entry").alias("entry"))
 
 

@@ -16,11 +16,11 @@ from papertide.sources.testdata import Domain
 
 # --- lists, notes and pages that name people --------------------------------------------------------------------------------------------
 
-_ENTRY = _RECORD + ", entry AS (SELECT paper AS entry, venue, year, CASE WHEN paper % 4 = 0 THEN 'workshop' ELSE 'main' END AS track, 'study' || holder % 50 AS title_key, CASE WHEN paper % 3 = 0 THEN 'f' || holder ELSE '' END AS forum FROM venued WHERE status = 'accepted')"
+_ENTRY = _RECORD + ", entry AS (SELECT paper AS entry, venue, year, CASE WHEN paper % 4 = 0 THEN 'workshop' ELSE 'main' END AS track, 'study' || holder // 3 AS title_key, CASE WHEN paper % 3 = 0 THEN 'f' || holder ELSE '' END AS forum FROM venued WHERE status = 'accepted')"
 
 
 def _entries(d: Domain) -> DataFrame:
-    title, forum = F.concat(F.lit("study"), (F.col("holder") % 50).cast("string")), F.concat(F.lit("f"), F.col("holder").cast("string"))
+    title, forum = F.concat(F.lit("study"), F.floor(F.col("holder") / 3).cast("string")), F.concat(F.lit("f"), F.col("holder").cast("string"))
     return venued(d).where(aggregates.accepted()).select(
         F.col("paper").alias("entry"), "venue", "year", F.when(F.col("paper") % 4 == 0, "workshop").otherwise("main").alias("track"), title.alias("title_key"), F.when(F.col("paper") % 3 == 0, forum).otherwise("").alias("forum")
     )
@@ -33,10 +33,10 @@ def join_title_index(d):
 
 @query(_ENTRY + """, t AS (SELECT venue, year, title_key, coalesce(max(entry) FILTER (track = 'main'), min(entry)) AS entry FROM entry GROUP BY venue, year, title_key),
     f AS (SELECT forum, max(entry) AS entry, arg_max(venue, entry) AS venue, arg_max(year, entry) AS year FROM entry WHERE forum <> '' GROUP BY forum),
-    r AS (SELECT paper AS record, venue, year, 'study' || holder % 50 AS title_key, 'f' || holder AS forum FROM venued)
+    r AS (SELECT paper AS record, venue, year, 'study' || holder // 3 AS title_key, 'f' || holder AS forum FROM venued)
     SELECT record, coalesce(f.entry, t.entry) AS entry FROM r LEFT JOIN f ON f.forum = r.forum AND f.venue = r.venue AND f.year = r.year LEFT JOIN t ON t.venue = r.venue AND t.year = r.year AND t.title_key = r.title_key""")
 def join_official_entry(d):
-    record = venued(d).select(F.col("paper").alias("record"), "venue", "year", F.concat(F.lit("study"), (F.col("holder") % 50).cast("string")).alias("title_key"), F.concat(F.lit("f"), F.col("holder").cast("string")).alias("forum"))
+    record = venued(d).select(F.col("paper").alias("record"), "venue", "year", F.concat(F.lit("study"), F.floor(F.col("holder") / 3).cast("string")).alias("title_key"), F.concat(F.lit("f"), F.col("holder").cast("string")).alias("forum"))
     return people.official(record, _entries(d)).select("record", "entry")
 
 
@@ -352,35 +352,34 @@ def math_scales(d):
 # --- graphs -----------------------------------------------------------------------------------------------------------------------------
 
 
-@query(PRINTED + """, own AS (SELECT DISTINCT paper, short FROM member JOIN roster USING (person) WHERE approved AND person % 8 IN (0, 2, 3, 5)), mine AS (SELECT DISTINCT institution, short FROM roster WHERE person % 8 IN (0, 2, 3, 5)),
+@query(PRINTED + """, own AS (SELECT DISTINCT paper, short FROM member JOIN roster USING (person) WHERE approved), mine AS (SELECT DISTINCT institution, short FROM roster),
     held AS (SELECT short FROM mine UNION SELECT above FROM mine JOIN parent USING (short)),
     other AS (SELECT DISTINCT paper, n.short FROM printed p JOIN named n ON n.aff = p.aff WHERE n.full_name <> n.short AND n.short NOT IN (SELECT short FROM held) AND n.full_name NOT IN (SELECT institution FROM mine)),
     m AS (SELECT paper, short, short AS node FROM own UNION SELECT paper, short, 'x-' || short FROM other), keep AS (SELECT paper, node FROM m WHERE (paper, short) NOT IN (SELECT (paper, above) FROM m JOIN parent USING (short))),
     e AS (SELECT a.node AS a, b.node AS b, count(*) AS weight FROM keep a JOIN keep b ON a.paper = b.paper AND a.node < b.node GROUP BY a.node, b.node) SELECT a, b, weight, row_number() OVER (ORDER BY weight DESC, a, b) AS shown FROM e""")
 def graph_institutions_parent_drop(d):
-    own = d.member.join(roster(d).where("approved and person % 8 in (0, 2, 3, 5)"), "person").select("paper", "short").distinct()
-    at = roster(d).where("person % 8 in (0, 2, 3, 5)").select("institution", "short").distinct()
+    own = d.member.join(roster(d).where("approved"), "person").select("paper", "short").distinct()
+    at = roster(d).select("institution", "short").distinct()
     members = graph.institution_members(own, printed(d).select("paper", "places"), at, places.PARENT)
     return aggregates.numbered(graph.edges(members, "node"), F.desc("weight"), F.asc("a"), F.asc("b"))
 
 
-_SPARSE = ", e AS (SELECT DISTINCT holder % 400 AS a, holder % 400 + 1 + paper % 5 AS b FROM paper WHERE holder % 3 = 0 AND paper % 4 <> 1)"
+_SPARSE = ", e AS (SELECT DISTINCT holder AS a, holder + 1 + paper % 5 AS b FROM paper)"
 
 
 def _sparse(d: Domain) -> DataFrame:
-    at = F.col("holder") % 400
-    return d.paper.where("holder % 3 = 0 and paper % 4 <> 1").select(at.alias("a"), (at + 1 + F.col("paper") % 5).alias("b")).distinct()
+    return d.paper.select(F.col("holder").alias("a"), (F.col("holder") + 1 + F.col("paper") % 5).alias("b")).distinct()
 
 
 _REACH = ", w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), low(node, component) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM w GROUP BY a UNION SELECT x.a, min(l.component) FROM low l JOIN w x ON x.b = l.node JOIN recurring.low o ON o.node = x.a WHERE l.component < o.component GROUP BY x.a)"
 
 
-_STARS = ", s AS (SELECT DISTINCT holder % 900 AS h FROM paper), e AS (SELECT h - h % 7 AS a, h AS b FROM s WHERE h % 7 <> 0 AND (h % 7 <> 3 OR h % 2 = 1) UNION SELECT h, h + 1 FROM s WHERE h % 7 IN (2, 3) AND h % 4 = 0)"
+_STARS = ", s AS (SELECT DISTINCT holder AS h FROM paper), e AS (SELECT h - h % 7 AS a, h AS b FROM s WHERE h % 7 <> 0 AND (h % 7 <> 3 OR h % 2 = 1) UNION SELECT h, h + 1 FROM s WHERE h % 7 IN (2, 3) AND h % 4 = 0)"
 
 
 def _stars(d: Domain) -> DataFrame:
     h = F.col("h")
-    own = d.paper.select((F.col("holder") % 900).alias("h")).distinct()
+    own = d.paper.select(F.col("holder").alias("h")).distinct()
     star = own.where((h % 7 != 0) & ((h % 7 != 3) | (h % 2 == 1))).select((h - h % 7).alias("a"), h.alias("b"))
     return star.union(own.where((h % 7).isin(2, 3) & (h % 4 == 0)).select(h.alias("a"), (h + 1).alias("b"))).distinct()
 
@@ -397,21 +396,22 @@ def graph_hubs(d):
     return graph.hubs(edge, components(edge, "a", "b"))
 
 
-_SPOTS = ", spot AS (SELECT DISTINCT node, (node * 37 % 400) * 3.0 AS x, (node * 53 % 400) * 2.0 AS y, repeat('m', CAST(1 + node % 9 AS INTEGER)) AS label FROM (SELECT a AS node FROM e UNION SELECT b FROM e))"
+_SPOTS = ", spot AS (SELECT DISTINCT node, (node * 37 % 4001) * 3.0 AS x, (node * 53 % 4003) * 2.0 AS y, repeat('m', CAST(1 + node % 9 AS INTEGER)) AS label FROM (SELECT a AS node FROM e UNION SELECT b FROM e))"
 
 
 def _spots(edge: DataFrame) -> DataFrame:
     node = edge.select(F.col("a").alias("node")).union(edge.select("b")).distinct()
-    return node.select("node", (F.col("node") * 37 % 400 * 3.0).alias("x"), (F.col("node") * 53 % 400 * 2.0).alias("y"), F.repeat(F.lit("m"), (1 + F.col("node") % 9).cast("int")).alias("label"))
+    return node.select("node", (F.col("node") * 37 % 4001 * 3.0).alias("x"), (F.col("node") * 53 % 4003 * 2.0).alias("y"), F.repeat(F.lit("m"), (1 + F.col("node") % 9).cast("int")).alias("label"))
 
 
-@query(_SPARSE + _SPOTS + """, l AS (SELECT a, b, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM e JOIN spot p ON p.node = a JOIN spot q ON q.node = b)
-    SELECT m.a, m.b, n.a AS a_r, n.b AS b_r FROM l m JOIN l n ON (m.a, m.b) < (n.a, n.b) AND m.a <> n.a AND m.a <> n.b AND m.b <> n.a AND m.b <> n.b
+@query(_SPARSE + _SPOTS + """, l AS (SELECT a, b, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM e JOIN spot p ON p.node = a JOIN spot q ON q.node = b),
+    c AS (SELECT m.a, m.b, n.a AS a_r, n.b AS b_r FROM l m JOIN l n ON (m.a, m.b) < (n.a, n.b) AND m.a <> n.a AND m.a <> n.b AND m.b <> n.a AND m.b <> n.b
     WHERE ((n.bx - n.ax) * (m.ay - n.ay) - (n.by_ - n.ay) * (m.ax - n.ax)) * ((n.bx - n.ax) * (m.by_ - n.ay) - (n.by_ - n.ay) * (m.bx - n.ax)) < 0
-    AND ((m.bx - m.ax) * (n.ay - m.ay) - (m.by_ - m.ay) * (n.ax - m.ax)) * ((m.bx - m.ax) * (n.by_ - m.ay) - (m.by_ - m.ay) * (n.bx - m.ax)) < 0""")
+    AND ((m.bx - m.ax) * (n.ay - m.ay) - (m.by_ - m.ay) * (n.ax - m.ax)) * ((m.bx - m.ax) * (n.by_ - m.ay) - (m.by_ - m.ay) * (n.bx - m.ax)) < 0)
+    SELECT a, b, count(*) AS crossings FROM (SELECT a, b FROM c UNION ALL SELECT a_r, b_r FROM c) GROUP BY a, b""")
 def graph_crossings(d):
     edge = _sparse(d)
-    return graph.crossings(edge, _spots(edge))
+    return graph.crossed(graph.crossings(edge, _spots(edge)))
 
 
 @query(_SPARSE + _SPOTS + """, l AS (SELECT a, b, c.node, p.x AS ax, p.y AS ay, q.x - p.x AS dx, q.y - p.y AS dy, c.x AS cx, c.y AS cy FROM e JOIN spot p ON p.node = a JOIN spot q ON q.node = b JOIN spot c ON c.node <> a AND c.node <> b),

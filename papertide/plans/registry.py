@@ -136,7 +136,7 @@ def agg_foreign_coauthors(d):
 
 @query(""", last AS (SELECT *, count(*) OVER (PARTITION BY paper) AS n FROM authorship),
     each AS (SELECT person, name, paper, year, bool_or(position = n AND n > 1) AS senior FROM last JOIN person USING (person) JOIN paper USING (paper) WHERE NOT approved AND status = 'accepted' GROUP BY person, name, paper, year)
-    SELECT person, name, count(*) AS papers, count(*) FILTER (senior) AS senior, min(year) AS first_year, max(year) AS last_year, arg_min(paper, (year, paper)) AS first_paper FROM each GROUP BY person, name ORDER BY papers DESC, senior DESC, name LIMIT 250""")
+    SELECT person, name, count(*) AS papers, count(*) FILTER (senior) AS senior, min(year) AS first_year, max(year) AS last_year, arg_min(paper, (year, paper)) AS first_paper, count(*) OVER () AS total FROM each GROUP BY person, name ORDER BY papers DESC, senior DESC, name, person LIMIT 250""")
 def agg_candidates_evidence(d):
     return aggregates.candidates(d.authorship, d.paper, d.person)
 
@@ -463,6 +463,14 @@ def podium_ties(spark, sf_dir):
     return aggregates.podium(table(spark, sf_dir, "part"), "p_size").select(F.col("p_partkey").alias("id"), "p_size", "place")
 
 
+@query("""WITH RECURSIVE r AS MATERIALIZED (SELECT c_custkey AS id, CAST(round(c_acctbal * 100) AS BIGINT) AS y, row_number() OVER (ORDER BY round(c_acctbal * 100) DESC, c_custkey) AS k FROM customer),
+    p AS (SELECT id, y, k, y AS pushed FROM r WHERE k = 1 UNION ALL SELECT r.id, r.y, r.k, least(r.y, p.pushed - 1500) FROM p JOIN r ON r.k = p.k + 1) SELECT id, y, pushed FROM p""", on_domain=False)
+def win_pushed_apart(spark, sf_dir):
+    """Labels at their values, in cents, each pushed to at least 15 under the one before."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.round(F.col("c_acctbal") * 100).cast("long").alias("y"))
+    return aggregates.pushed_apart(rows, "y", 1500, F.col("y").desc(), F.col("id").asc())
+
+
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT day, event_type, CAST(sum(n) OVER w - n AS BIGINT) AS low, CAST(sum(n) OVER w AS BIGINT) AS high FROM d WINDOW w AS (PARTITION BY day ORDER BY event_type ROWS UNBOUNDED PRECEDING)""", on_domain=False)
 def win_stack_offsets(spark, sf_dir):
     return events.running(table(spark, sf_dir, "events"))
