@@ -18,6 +18,7 @@ LINK_KINDS = [
     ("aclanthology.org", "acl"), ("dblp.org", "dblp"), ("scholar.google", "scholar"), ("researchgate.net", "researchgate"), ("linkedin.com", "linkedin"), ("wikipedia.org", "wikipedia"),
     ("openreview.net", "openreview"), ("publication", "publications"),
 ]
+#: What addresses of personal pages, and of pages at an employer, hold.
 HOME_PAGE = r"github\.io|sites\.google|users\.soict|/~|wordpress\.com|\.me/?$|\.info/?$|\.xyz/?$"
 STAFF_PAGE = r"\.edu\.vn|vinuni|rmit\.edu|/people/|/staff|/giang-vien|soict\.hust|math\.ac\.vn"
 #: Positions of faculty.

@@ -58,6 +58,7 @@ RULES = [
 GENERIC = r"viet ?nam\b|\bha ?noi\b|ho chi minh|\bsaigon\b|\bda ?nang\b|\bcan tho\b|\bthai nguyen\b|\bquy nhon\b|\bnha trang\b|\bhai ?phong\b|\bthu dau mot\b"
 #: The national university above each member school. "VNU" alone is the one in Hanoi only where none of the other is named.
 PARENT = {"VNU-UET": "VNU", "VNU-HUS": "VNU", "HCMUS": "VNU-HCM", "HCMUT": "VNU-HCM", "UIT": "VNU-HCM", "HCMIU": "VNU-HCM"}
+#: The members of the southern university, which its northern namesake must not be taken for.
 SOUTH = ("HCMUS", "HCMUT", "UIT", "HCMIU", "VNU-HCM")
 
 

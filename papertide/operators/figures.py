@@ -21,7 +21,7 @@ def full_tally(record: DataFrame, people: DataFrame, venue: DataFrame) -> DataFr
         *states, count_if(F.col("status").isin(*NEGATIVE)).alias("not_accepted"), F.count(F.lit(1)).alias("submitted"),
         count_if(accepted() & F.col("unofficial")).alias("own_page"), count_if(accepted() & ~F.col("unofficial")).alias("official"),
     )
-    grid = people.select("person").distinct().crossJoin(F.broadcast(venue.select("venue").distinct()))  # venues are a dozen
+    grid = people.select("person").distinct().crossJoin(venue.select("venue").distinct())  # venues are a dozen
     return grid.join(sums, ["person", "venue"], "left").fillna(0)
 
 

@@ -182,7 +182,7 @@ def combine_lists(listing: DataFrame, proceedings: DataFrame, enough: float = 0.
     main = listing.where("track = 'main'")
     sizes = proceedings.groupBy(*at).agg(F.count(F.lit(1)).alias("printed")).join(main.groupBy(*at).agg(F.count(F.lit(1)).alias("listed")), at, "left")
     # One row for each venue and year.
-    short = F.broadcast(sizes.where(F.coalesce("listed", F.lit(0)) < enough * F.col("printed")).select(*at))
+    short = sizes.where(F.coalesce("listed", F.lit(0)) < enough * F.col("printed")).select(*at)
     key = norm_title(F.col("title")).alias("key")
     richer = main.withColumn("key", key).groupBy(*at, "key").agg(F.max_by(F.struct("authors", "pres"), F.size(F.filter("authors", lambda a: a["aff"].isNotNull()))).alias("rich"))
     met = proceedings.join(short, at, "left_semi").withColumn("key", key).join(richer, [*at, "key"], "left")
@@ -213,4 +213,4 @@ def coverage(papers_: DataFrame, state: DataFrame | None = None) -> DataFrame:
     out = out.select("venue", "year", "papers", F.when(F.col("people") > 0, F.bround(100 * F.col("placed") / F.col("people"), 0)).otherwise(0).cast("int").alias("with_affiliation"), "other_tracks")
     if state is None:
         return out.withColumn("provisional", F.lit(False))
-    return out.join(F.broadcast(state), ["venue", "year"], "left").withColumn("provisional", F.coalesce("provisional", F.lit(False)))
+    return out.join(state, ["venue", "year"], "left").withColumn("provisional", F.coalesce("provisional", F.lit(False)))

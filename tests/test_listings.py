@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from papertide.functions import classify, manuscript
 from papertide.functions.text import latex_to_text
 from papertide.operators import resolution
-from papertide.sources import listings
+from papertide.sources import listings, pages
 
 GROUP = "https://openreview.net/group?id=NeurIPS.cc/2025/"
 
@@ -108,10 +108,11 @@ def test_submission_rules(spark):
 def test_manuscript(spark):
     para = " ".join(["word"] * 20) + "."
     page = lambda end: f"TITLE\nAuthors\n\nA BSTRACT\n{para}\n\n1\n\nI NTRODUCTION\n\n{para} long-\nrunning text.\n\nTable 1: 0.5 0.6\n\n{para}\n\n{end}\n\n{para} later\f"
-    body = manuscript.body_of(page("R EFERENCES"))
+    body_of = lambda t: spark.createDataFrame([(t,)], "t string").select(manuscript.paper_body(F.col("t"))).first()[0]
+    body = body_of(page("R EFERENCES"))
     assert body.count(para) == 3 and "longrunning" in body and "Table" not in body and "Authors" not in body and "later" not in body
-    assert all("later" not in manuscript.body_of(page(e)) for e in ("References", "7 ACKNOWLEDGEMENTS", "Appendix A", "Reproducibility Statement"))
-    assert "later" in manuscript.body_of(page("Appendix B shows more.") + f"\n\n{para}\nReferences\n")
+    assert all("later" not in body_of(page(e)) for e in ("References", "7 ACKNOWLEDGEMENTS", "Appendix A", "Reproducibility Statement"))
+    assert "later" in body_of(page("Appendix B shows more.") + f"\n\n{para}\nReferences\n")
     table = "# Head\n\n- **bold** and `code`\n\n| a | b \\| c |\n|---|---|\n| c | Topic |\n\nOverview: 2\n[text](http://x)\n 1) ***x __y__***\n```py\n> quote\n---\n\n\nend"
     cases = [("pаper “x”​ мир", 'paper "x" мир'), ("мох Рy а", "мох Py a"), (None, None), ("", "")]
     made = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string").select("k", manuscript.surface(F.col("t")).alias("t"))
@@ -124,6 +125,31 @@ def test_manuscript(spark):
     assert [s.strip() for s in out[0].s] == ["One.", "Two!", "(Three.)", "Four"] and out[1].s is None and out[1].b is None
 
 
+def test_bodies(spark):
+    para = " ".join(["word"] * 16)
+    cases = [
+        (f"no heading\n\n{para}\n\n" + " ".join(["12"] * 20), para),  # numbers are no running text
+        (f"References\n\n{para}\n\n{para}", f"{para}\n\n{para}"),  # a heading at the very start closes nothing
+        (f"title\n\nI NTRODUCTION\n{para} é-\nté\n\nReferences\nrest {para}", f"{para} été"),
+        (f"Abstract. {para}\n\nAbstract\n{para} again\n", f"{para}\n\nAbstract {para} again"),
+        ("", ""), ("few words", ""), (None, None),
+    ]
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string").select("k", manuscript.paper_body(F.col("t")).alias("b"))
+    assert {r.k: r.b for r in frame.collect()} == {k: want for k, (_, want) in enumerate(cases)}
+
+
+def test_numbers_behind_names(spark):
+    """The legend's first number stands behind the last author's, and is read as one of theirs."""
+    cases = [
+        ("A Title Ann Lee 1,2 Bo Cy 2 Di Ek 3 1 MIT, Boston 2 Hanoi University 3 Some Lab {a,b}@x.org", ["Ann Lee", "Bo Cy", "Di Ek", "Not There", ""], ["MIT, Boston; Hanoi University", "Hanoi University", "Some Lab; MIT, Boston", "", ""]),
+        ("Ann Lee1 Bo Cy1\n1 First Place\n1 Second Place ann@x.org", ["Ann Lee", "Bo Cy"], ["First Place", "First Place; First Place"]),
+        ("Ann (Q.) Lee 1 1 Place; with more words 2 Other", ["Ann (Q.) Lee"], [""]),
+        ("Ann Lee 4 1 MIT", ["Ann Lee"], ["MIT"]), ("", ["Ann Lee"], [""]), (None, ["Ann"], [""]), ("x", None, []), ("x", [], []),
+    ]
+    frame = spark.createDataFrame([(k, p, n) for k, (p, n, _) in enumerate(cases)], "k int, p string, n array<string>").select("k", pages.numbered_affiliations(F.col("p"), F.col("n")).alias("a"))
+    assert {r.k: r.a for r in frame.collect()} == {k: want for k, (*_, want) in enumerate(cases)}
+
+
 def candidate(stage, seq, title, year=2025, **values):
     base = dict.fromkeys(("slug", "stage", "seq", "venue", "year", "track", "title", "status", "listed", "available", "final", "exact", "aff", "home", "domestic", "any_aff", "any_home", "answer", "since", "role", "source"))
     base |= {"slug": "a-b", "stage": stage, "seq": seq, "venue": "iclr", "year": year, "track": "main", "title": title, "status": "accepted", "since": 2024, "available": True, "final": True, "source": "c-d"}
