@@ -192,10 +192,3 @@ def test_records_are_settled_in_order(spark):
     assert {k[1] for k in got if k[0] == "queue"} == {"Shared by name only", "No affiliation in the source"}
     assert {k[1] for k in got if k[0] == "skipped"} == {"Namesake abroad"}
     assert {k[1] for k in got if k[0] == "warning"} == {"Accepted on the list", "Before the move", "Missing from a final list"}
-
-
-def test_spellings_of_one_person(spark):
-    names = ["Bui T Duc", "Bui Trong Duc", "Duc Bui Trong", "Bui Van Duc", "Khoa D. Doan", "Doan Khoa"]
-    out = resolution.spelling_pairs(spark.createDataFrame([(1, n) for n in names], "p int, name string"), "p", "name").collect()
-    assert {(r.a, r.b) for r in out} == {("Bui T Duc", "Bui Trong Duc"), ("Bui Trong Duc", "Duc Bui Trong"), ("Doan Khoa", "Khoa D. Doan")}
-    assert resolution.retitled("UniCon: a framework", "UniCon: Something else altogether, by kernels") and not resolution.retitled("A study of X", "A study of Y and much more besides, really")
