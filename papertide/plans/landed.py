@@ -356,3 +356,40 @@ def src_note_people(spark, sf_dir):
     objects = F.concat(F.lit('{"authors": {"value": [{"username": "~A_B1", "fullname": "A B"}, {"username": "u'), u, F.lit('", "fullname": ""}]}, "authorids": {"value": []}}'))
     content = F.when(n % 3 == 0, objects).when(n % 3 == 1, '{"authors": ["X", "Y"], "authorids": {"value": ["~X1", "y@z"]}}').otherwise('{"authors": {"value": "Solo"}}')
     return pages.note_people(table(spark, sf_dir, "events").select(n.alias("id"), content.alias("content"))).withColumnRenamed("id", "event_id")
+
+
+#: Notes of both versions of the interface by a paper's number: content wrapped and bare, a second note of one id, an object for each author, a journal, a workshop, and replies.
+_NOTES = [  # shapes, id, forum, invitations, invitation, content, seq
+    ((0, 1, 2), "n{i}", "n{i}", "ICLR.cc/2025/Conference/-/Submission", "", '{"title": {"value": "Title {i}"}, "venue": {"value": "Submitted to ICLR 2025"}, "venueid": {"value": "ICLR.cc/2025/Conference"}, "authors": {"value": ["A B", "C D"]}, "authorids": {"value": ["~A_B1", "~C_D1"]}}', 1),
+    ((0,), "n{i}", "n{i}", "", "ICLR.cc/2025/Conference/-/Blind_Submission", '{"title": "A later note of the same id {i}", "authors": ["X"]}', 2),
+    ((3, 4), "n{i}", "n{i}", "", "ICLR.cc/2021/Conference/-/Blind_Submission", '{"title": "Bare {i}", "authors": ["E F"], "authorids": ["~E_F1"]}', 1),
+    ((3,), "r{i}", "n{i}", "", "ICLR.cc/2021/Conference/Paper{i}/-/Decision", '{"decision": "Accept (Spotlight)"}', 3),
+    ((4,), "r{i}", "n{i}", "", "ICLR.cc/2021/Conference/Paper{i}/-/Decision", '{"recommendation": "Reject"}', 3),
+    ((4,), "s{i}", "n{i}", "", "ICLR.cc/2021/Conference/Paper{i}/-/Decision", '{"decision": "Accept (Oral)"}', 4),
+    ((1, 3), "w{i}", "n{i}", "ICLR.cc/2025/Conference/Submission{i}/-/Official_Review", "", '{"rating": {"value": 8}}', 2),
+    ((5,), "n{i}", "n{i}", "TMLR/-/Submission", "", '{"title": {"value": "In a journal {i}"}}', 1),
+    ((6,), "n{i}", "n{i}", "ICLR.cc/2025/Workshop/Some/-/Submission", "", '{"title": {"value": "At a workshop {i}"}, "venue": {"value": "ICLR 2025 Workshop Some Poster"}, "authors": {"value": [{"username": "~G_H1", "fullname": "G H"}, {"username": "~I_J1"}]}, "authorids": {"value": []}}', 1),
+]
+_NOTE_SQL = " UNION ALL ".join(
+    f"SELECT replace({literal(i)}, '{{i}}', CAST(k AS VARCHAR)) AS id, replace({literal(f)}, '{{i}}', CAST(k AS VARCHAR)) AS forum, {literal(a or b)} AS asked, replace({literal(c)}, '{{i}}', CAST(k AS VARCHAR)) AS content, {n} AS seq FROM o WHERE shape IN ({', '.join(map(str, shapes))})"
+    for shapes, i, f, a, b, c, n in _NOTES
+)
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 AS shape FROM orders), note AS ({_NOTE_SQL}),
+    own AS (SELECT * FROM note WHERE id = forum QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1), reply AS (SELECT forum, arg_min(coalesce(json_extract_string(content, '$.decision'), json_extract_string(content, '$.recommendation')), seq) AS told FROM note WHERE id <> forum AND asked LIKE '%Decision' GROUP BY forum),
+    read AS (SELECT own.id, regexp_extract(asked, '^ICLR.cc/(\d+)/', 1) AS y, CASE WHEN asked LIKE '%/Workshop/%' THEN 'workshop' ELSE 'main' END AS track, coalesce(json_extract_string(content, '$.venue.value'), json_extract_string(content, '$.venue'), '') AS label,
+        coalesce(json_extract_string(content, '$.title.value'), json_extract_string(content, '$.title'), '') AS title, coalesce(json_extract(content, '$.authors.value'), json_extract(content, '$.authors')) AS people, coalesce(json_extract(content, '$.authorids.value'), json_extract(content, '$.authorids')) AS given, told
+        FROM own LEFT JOIN reply ON reply.forum = own.id WHERE asked LIKE 'ICLR.cc/%')
+    SELECT id, 'iclr' AS venue, CAST(y AS INTEGER) AS year, track, title, array_to_string(list_transform(CAST(people AS JSON[]), lambda p: coalesce(nullif(json_extract_string(p, '$.fullname'), ''), json_extract_string(p, '$.username'), json_extract_string(p, '$'))), '; ') AS authors,
+    array_to_string(CASE WHEN json_array_length(given) > 0 THEN CAST(given AS VARCHAR[]) ELSE list_transform(CAST(people AS JSON[]), lambda p: json_extract_string(p, '$.username')) END, '; ') AS ids, CASE WHEN track = 'main' AND label = '' THEN coalesce(told, '') ELSE '' END AS decision,
+    CASE WHEN label LIKE 'Submitted%' THEN 'rejected' WHEN label LIKE '%Poster' THEN 'accepted' WHEN told LIKE 'Accept%' THEN 'accepted' WHEN told = 'Reject' THEN 'rejected' ELSE 'unknown' END AS status FROM read""", on_domain=False)
+def src_submissions(spark, sf_dir):
+    """Notes of both versions of the interface as one table of submissions."""
+    order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 7).cast("int").alias("shape"))
+    form = lambda shapes, i, f, a, b, c, n: F.struct(F.array(*map(F.lit, shapes)).alias("shapes"), *(F.lit(x).alias(name) for name, x in (("id", i), ("forum", f), ("invitations", a), ("invitation", b), ("content", c), ("seq", n))))
+    rows = order.select("k", "shape", F.explode(F.array(*(form(*n) for n in _NOTES))).alias("n")).where(F.array_contains("n.shapes", F.col("shape")))
+    told = lambda c: F.replace(F.col(c), F.lit("{i}"), F.col("k").cast("string"))
+    notes = rows.select(told("n.id").alias("id"), told("n.forum").alias("forum"), F.when(F.col("n.invitations") != "", F.array(told("n.invitations"))).alias("invitations"), told("n.invitation").alias("invitation"), told("n.content").alias("content"), F.col("n.seq").alias("seq"))
+    found = pages.submissions(notes)
+    return found.select("id", "venue", "year", "track", "title", F.array_join("authors", "; ").alias("authors"), F.array_join("ids", "; ").alias("ids"), "decision", "status")

@@ -13,6 +13,8 @@ import pytest
 from papertide.plans import catalog as registry
 
 FOLDER = "/root/testdata/sf0.001"
+#: Queries without SQL, and what compares their operators with brute force or fixtures: tests of similar titles, of manuscripts and of keys.
+TESTED_ELSEWHERE = {"join_fuzzy_title_blocked", "str_canonicalize", "str_folded_keys"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
@@ -34,6 +36,7 @@ def test_query(spark, duck, name):
     columns = sorted(frame.columns)
     got = sorted_rows(tuple(r[c] for c in columns) for r in frame.collect())
     if name not in registry.oracle_sql():
+        assert name in TESTED_ELSEWHERE
         return
     answer = duck.execute(registry.oracle_sql()[name])
     names = [d[0] for d in answer.description]
