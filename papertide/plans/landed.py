@@ -378,7 +378,7 @@ _NOTE_SQL = " UNION ALL ".join(
 
 @query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 AS shape FROM orders), note AS ({_NOTE_SQL}),
     own AS (SELECT * FROM note WHERE id = forum QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1), reply AS (SELECT forum, arg_min(coalesce(json_extract_string(content, '$.decision'), json_extract_string(content, '$.recommendation')), seq) AS told FROM note WHERE id <> forum AND asked LIKE '%Decision' GROUP BY forum),
-    read AS (SELECT own.id, regexp_extract(asked, '^ICLR.cc/(\d+)/', 1) AS y, CASE WHEN asked LIKE '%/Workshop/%' THEN 'workshop' ELSE 'main' END AS track, coalesce(json_extract_string(content, '$.venue.value'), json_extract_string(content, '$.venue'), '') AS label,
+    read AS (SELECT own.id, regexp_extract(asked, '^ICLR.cc/([0-9]+)/', 1) AS y, CASE WHEN asked LIKE '%/Workshop/%' THEN 'workshop' ELSE 'main' END AS track, coalesce(json_extract_string(content, '$.venue.value'), json_extract_string(content, '$.venue'), '') AS label,
         coalesce(json_extract_string(content, '$.title.value'), json_extract_string(content, '$.title'), '') AS title, coalesce(json_extract(content, '$.authors.value'), json_extract(content, '$.authors')) AS people, coalesce(json_extract(content, '$.authorids.value'), json_extract(content, '$.authorids')) AS given, told
         FROM own LEFT JOIN reply ON reply.forum = own.id WHERE asked LIKE 'ICLR.cc/%')
     SELECT id, 'iclr' AS venue, CAST(y AS INTEGER) AS year, track, title, array_to_string(list_transform(CAST(people AS JSON[]), lambda p: coalesce(nullif(json_extract_string(p, '$.fullname'), ''), json_extract_string(p, '$.username'), json_extract_string(p, '$'))), '; ') AS authors,
