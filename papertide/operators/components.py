@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertide.functions.runtime import checkpoint
+from papertide.functions.runtime import forget, kept
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -22,7 +22,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
     # From here on, a > b.
-    held = checkpoint(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    held = kept(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while (now := _state(held)) != before:
         before = now
@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        held = checkpoint(small.distinct())
+        last, held = held, kept(small.distinct())
+        forget(last)
     nodes = held.select(F.col("a").alias("node"), F.col("b").alias("component")).union(held.select("b", "b").distinct())
     alone = ends.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("component")).distinct().join(nodes.select("node"), "node", "left_anti")
     return nodes.union(alone)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import os
 import random
 from datetime import datetime
 
@@ -11,8 +12,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from papertide.functions import text
+from papertide.functions import runtime, text
 from papertide.operators import aggregates, matching, people, resolution, spellings
+from papertide.plans import catalog as registry
 from papertide.streaming import events
 
 
@@ -162,3 +164,22 @@ def test_histograms_put_the_commonest_first(spark):
     frame = spark.createDataFrame([("k", v, s) for s, v in enumerate("bacabd")], "key string, value string, seq int")
     (row,) = people.histogram(frame, "key", "value", "seq", "h").collect()
     assert [(x.value, x.n) for x in row.h] == [("b", 2), ("a", 2), ("c", 1), ("d", 1)]
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    count = lambda: folder.getAllFiles().size()
+    rows = spark.range(20000).withColumn("k", F.col("id") * 7 % 1009)
+    before, found = count(), runtime.kept(rows.repartition(4, "k").groupBy("k").agg(F.collect_list("id").alias("l")))
+    assert count() <= before and found.count() == 1009
+    path = found.inputFiles()[0].removeprefix("file:").removeprefix("//")
+    runtime.forget(found)
+    assert not os.path.exists(os.path.dirname(path))
+    assert spark.conf.get(runtime.CLEANUP) == "false"
+
+
+def test_names_are_read_before_profiles_meet(spark):
+    plan = registry.queries()["join_profiles_checked"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    join = next(k for k, x in enumerate(lines) if "Join" in x)
+    assert not any("ArrowEvalPython" in x for x in lines[:join]) and any("ArrowEvalPython" in x for x in lines[join:])
