@@ -183,3 +183,14 @@ def test_names_are_read_before_profiles_meet(spark):
     lines = plan.split("\n")
     join = next(k for k, x in enumerate(lines) if "Join" in x)
     assert not any("ArrowEvalPython" in x for x in lines[:join]) and any("ArrowEvalPython" in x for x in lines[join:])
+
+
+def test_far_titles_need_no_ratio(monkeypatch):
+    rng = random.Random(3)
+    titles = ["".join(rng.choice("abcdef0123456789") for _ in range(32)) for _ in range(40)]
+    titles += [t[:-1] + "x" for t in titles[:10]] + ["", "a"]
+    want = {(a, b): a == b or difflib.SequenceMatcher(None, a, b).ratio() >= 0.9 for a in titles for b in titles}
+    calls, whole = [], difflib.SequenceMatcher
+    monkeypatch.setattr(resolution.difflib, "SequenceMatcher", lambda *a: calls.append(a) or whole(*a))
+    assert {(a, b): resolution.similar(a, b) for a in titles for b in titles} == want
+    assert len(calls) < len(want) / 10
