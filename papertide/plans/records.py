@@ -415,7 +415,7 @@ def _spots(edge: DataFrame) -> DataFrame:
     SELECT a, b, count(*) AS crossings FROM (SELECT a, b FROM c UNION ALL SELECT a_r, b_r FROM c) GROUP BY a, b""")
 def graph_crossings(d):
     edge = _sparse(d)
-    return graph.crossed(graph.crossings(edge, _spots(edge)))
+    return graph.crossing_counts(edge, _spots(edge))
 
 
 @query(_SPARSE + _SPOTS + """, l AS (SELECT a, b, c.node, p.x AS ax, p.y AS ay, q.x - p.x AS dx, q.y - p.y AS dy, c.x AS cx, c.y AS cy FROM e JOIN spot p ON p.node = a JOIN spot q ON q.node = b JOIN spot c ON c.node <> a AND c.node <> b),
