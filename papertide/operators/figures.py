@@ -40,8 +40,15 @@ def flagged_summary(record: DataFrame, coverage: DataFrame, counts_from: int) ->
 def judged(printed: DataFrame, owned: DataFrame) -> DataFrame:
     """paper, short, known, majority and first_author of each paper of an institution: whether it prints any affiliation, most authors are at the institution, and the first one is.
     owned: paper, institution, named (see places.with_names), short."""
-    home = places.same_institution(*map(F.col, ("places", "said", "institution", "named", "short")))
-    return printed.join(owned, "paper").groupBy("paper", "short").agg((F.count("aff") > 0).alias("known"), (2 * count_if(home) > F.count(F.lit(1))).alias("majority"), (count_if(home & (F.col("position") == 1)) > 0).alias("first_author"))
+    # What an affiliation is to an institution is found once for both, so that authors do not meet all institutions of their paper.
+    own, said = owned.select("institution", "named", "short").distinct(), printed.where("aff is not null").groupBy("aff").agg(F.first("places").alias("places"), F.first("said").alias("said"))
+    same = kept(said.crossJoin(own).where(places.same_institution(*map(F.col, ("places", "said", "institution", "named", "short")))).select("aff", "institution", "short"))  # different affiliations times institutions
+    size = printed.groupBy("paper").agg((F.count("aff") > 0).alias("known"), F.count(F.lit(1)).alias("n"))
+    home = printed.select("paper", "position", "aff").join(same, "aff").groupBy("paper", "institution", "short").agg(F.count(F.lit(1)).alias("home"), count_if(F.col("position") == 1).alias("first"))
+    # Several institutions of one short name count together.
+    met = owned.select("paper", "institution", "short").join(home, ["paper", "institution", "short"], "left")
+    sums = met.groupBy("paper", "short").agg(F.coalesce(F.sum("home"), F.lit(0)).alias("home"), F.coalesce(F.sum("first"), F.lit(0)).alias("first"), F.count(F.lit(1)).alias("times"))
+    return sums.join(size, "paper").select("paper", "short", "known", (2 * F.col("home") > F.col("n") * F.col("times")).alias("majority"), (F.col("first") > 0).alias("first_author"))
 
 
 def authorship(judgement: DataFrame, paper: DataFrame, *keys: str) -> DataFrame:
