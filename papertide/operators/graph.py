@@ -9,13 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papertide.functions.runtime import spread
 from papertide.operators import aggregates
 
 
 def edges(member: DataFrame, node: str = "person") -> DataFrame:
     """a < b and weight: the papers two nodes share."""
+    member = spread(member, "paper")
     left, right = member.select("paper", F.col(node).alias("a")), member.select("paper", F.col(node).alias("b"))
-    return left.join(right, "paper").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    pair = left.join(right, "paper").where("a < b").select("a", "b")
+    return spread(pair, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def degrees(edge: DataFrame, member: DataFrame, node: str = "person") -> DataFrame:
