@@ -5,11 +5,14 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from papertide.functions.runtime import spread
+
 
 def later_acceptance(member: DataFrame, paper: DataFrame) -> DataFrame:
     """For each person and paper that was not accepted: the person's earliest accepted paper of the same holder in the same or a later year (ties: venue,
@@ -44,9 +47,11 @@ def subset_overlap(people: DataFrame, directory: DataFrame) -> DataFrame:
     """The first directory entry (by entry) whose name tokens all occur in the person's and whose place shares a word with theirs. people: person, tokens,
     places; directory: entry, tokens, places. Matches need a common token and a common place, so candidates meet by both: a frequent first name is no group of all who bear it."""
     token = directory.withColumn("token", F.col("tokens")[0]).withColumn("place", F.explode(F.array_distinct("places"))).select("entry", F.col("tokens").alias("t"), "token", "place")
-    met = people.withColumn("token", F.explode(F.array_distinct("tokens"))).withColumn("place", F.explode(F.array_distinct("places"))).join(token, ["token", "place"])
-    met = met.where(F.size(F.array_except("t", "tokens")) == 0)
-    return met.groupBy("person").agg(F.min("entry").alias("entry"))
+    # People who are alike in both are one, however many they are.
+    alike = people.select("tokens", "places").distinct()
+    met = alike.withColumn("token", F.explode(F.array_distinct("tokens"))).withColumn("place", F.explode(F.array_distinct("places"))).join(token, ["token", "place"])
+    found = met.where(F.size(F.array_except("t", "tokens")) == 0).groupBy("tokens", "places").agg(F.min("entry").alias("entry"))
+    return people.join(found, ["tokens", "places"]).groupBy("person").agg(F.min("entry").alias("entry"))
 
 
 def title_candidates(titles: DataFrame, reach: int = 14, size: int = 1000, threshold: float = 0.9) -> DataFrame:
@@ -66,15 +71,30 @@ def title_candidates(titles: DataFrame, reach: int = 14, size: int = 1000, thres
     return pairs.where(~both & (2 * F.least(x, y) >= threshold * (x + y) - 1e-9)).select("block", "title", "other")
 
 
+def most_ratio(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """The greatest similarity ratio that the letters of two texts allow in any order. Bytes beyond ASCII share a place, which can only raise it."""
+    codes, texts = pd.factorize(pd.concat([a, b], ignore_index=True))
+    counts = np.stack([np.bincount(np.minimum(np.frombuffer(t.encode("utf-32-le"), np.uint32), 128), minlength=129) for t in texts]).astype(np.int32) if len(texts) else np.zeros((0, 129), np.int32)
+    x, y = counts[codes[: len(a)]], counts[codes[len(a) :]]
+    return 2 * np.minimum(x, y).sum(axis=1) / np.maximum(x.sum(axis=1) + y.sum(axis=1), 1)
+
+
 def similar_titles(titles: DataFrame, threshold: float = 0.9, reach: int = 14) -> DataFrame:
-    """The title_candidates() whose similarity ratio reaches the threshold. Ratios are computed in batches."""
+    """The title_candidates() whose similarity ratio reaches the threshold. Pairs whose letters cannot reach it in any order go first, a batch at a time; the ratios of the others are dealt out by
+    pairs, as they take longest."""
     pairs = title_candidates(titles, reach, threshold=threshold)
 
+    @F.pandas_udf("boolean")
+    def reachable(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in parts:
+            yield pd.Series(most_ratio(a, b) >= threshold - 1e-6)
+
     @F.pandas_udf("double")
     def ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in parts:
             yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
+    pairs = spread(pairs.where(reachable("title", "other")), "title", "other")
     return pairs.withColumn("ratio", F.round(ratio("title", "other"), 6)).where(F.col("ratio") >= threshold)
 
 
