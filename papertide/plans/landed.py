@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertide.functions import classify, labels, manuscript
-from papertide.functions.runtime import shared_folder, table
+from papertide.functions.runtime import shared_folder, spread, table
 from papertide.plans.printed import HOMES, literal
 from papertide.plans.registry import query
 from papertide.sources import files, landed_files, listings, pages
@@ -21,8 +21,8 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and name of each customer."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    """id and name of each customer, spread, as reading a page takes far longer than the bytes that it is made from tell."""
+    return spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id")
 
 
 def _file(rows: DataFrame, venue: str, form: str, year: int = 2024) -> DataFrame:
@@ -125,7 +125,8 @@ def src_landed_volumes(spark, sf_dir):
     form = F.element_at(F.array(*map(F.lit, ENTRIES)), (i % len(ENTRIES) + 1).cast("int"))
     rows = table(spark, sf_dir, "orders").select(F.replace(form, F.lit("{i}"), i.cast("string")).alias("value"), F.lower(F.substring("o_orderpriority", 3, 99)).alias("venue"), F.year("o_orderdate").alias("year"))
     path = _folder(spark, "volumes")
-    rows.repartition("venue", "year").write.partitionBy("venue", "year").option("compression", "gzip").text(path)
+    # A volume has so many entries at most: packed files are read whole, so their number must grow, not their length.
+    rows.hint("rebalance", "venue", "year").write.partitionBy("venue", "year").option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
     return listings.volumes(landed_files.volume_lines(spark, path, "*.gz")).select("venue", "year", "title", _names().alias("authors"), "url")
 
 
