@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papertide.functions.manuscript import SENTENCE_END
+from papertide.functions.runtime import kept
 from papertide.operators.figures import flagged_share
 
 #: Tokens of a model's window, less the two that open and close it; tokens read of a text; characters of a bin in which tokens and sentences meet.
@@ -76,7 +77,7 @@ def within(token: DataFrame, sentence: DataFrame, size: int = BIN) -> DataFrame:
 
 def text_figures(documents: DataFrame, scorer: Callable[[DataFrame], Column], threshold: float, share: float = 0.25, size: int = WINDOW, cap: int = CAP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tokens, truncated, score (the mean of the largest scores, a share of them), sentences judged, flagged ones and their share of each text with words."""
-    window = windows(documents, doc_id, text, size, cap)
+    window = kept(windows(documents, doc_id, text, size, cap))  # read three times
     token = token_scores(window, scorer)
     # Ranks within a text of at most `cap` tokens.
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "position"))
