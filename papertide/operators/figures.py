@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertide.functions import labels, places
-from papertide.functions.runtime import kept
+from papertide.functions.runtime import kept, spread
 from papertide.operators.aggregates import NEGATIVE, accepted, count_if
 from papertide.operators.people import histogram
 from papertide.operators.spellings import distinct_people
@@ -44,10 +44,12 @@ def judged(printed: DataFrame, owned: DataFrame) -> DataFrame:
     own, said = owned.select("institution", "named", "short").distinct(), printed.where("aff is not null").groupBy("aff").agg(F.first("places").alias("places"), F.first("said").alias("said"))
     same = kept(said.crossJoin(own).where(places.same_institution(*map(F.col, ("places", "said", "institution", "named", "short")))).select("aff", "institution", "short"))  # different affiliations times institutions
     size = printed.groupBy("paper").agg((F.count("aff") > 0).alias("known"), F.count(F.lit(1)).alias("n"))
-    home = printed.select("paper", "position", "aff").join(same, "aff").groupBy("paper", "institution", "short").agg(F.count(F.lit(1)).alias("home"), count_if(F.col("position") == 1).alias("first"))
+    home = printed.select("paper", "position", "aff").join(same, "aff").select("paper", "institution", "short", F.lit(0).alias("own"), F.lit(1).alias("home"), (F.col("position") == 1).cast("int").alias("first"))
+    rows = owned.select("paper", "institution", "short", F.lit(1).alias("own"), F.lit(0).alias("home"), F.lit(0).alias("first")).union(home)
+    # Names of institutions take few bytes in a shuffle and many in memory. Both groupings are parts of a paper's rows.
+    each = spread(rows, "paper").groupBy("paper", "institution", "short").agg(*(F.sum(c).alias(c) for c in ("own", "home", "first"))).where("own > 0")
     # Several institutions of one short name count together.
-    met = owned.select("paper", "institution", "short").join(home, ["paper", "institution", "short"], "left")
-    sums = met.groupBy("paper", "short").agg(F.coalesce(F.sum("home"), F.lit(0)).alias("home"), F.coalesce(F.sum("first"), F.lit(0)).alias("first"), F.count(F.lit(1)).alias("times"))
+    sums = each.groupBy("paper", "short").agg(F.sum(F.col("own") * F.col("home")).alias("home"), F.sum(F.col("own") * F.col("first")).alias("first"), F.sum("own").alias("times"))
     return sums.join(size, "paper").select("paper", "short", "known", (2 * F.col("home") > F.col("n") * F.col("times")).alias("majority"), (F.col("first") > 0).alias("first_author"))
 
 
