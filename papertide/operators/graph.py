@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papertide.functions.runtime import spread
+from papertide.functions.runtime import kept, spread
 from papertide.operators import aggregates
 
 
@@ -212,8 +212,196 @@ def crossing_counts(edge: DataFrame, spot: DataFrame, bands: int = BANDS) -> Dat
     return spread.groupBy("band").applyInPandas(counted, f"{named}, crossings long").groupBy("a", "b").agg(F.sum("crossings").alias("crossings"))
 
 
+#: The side of the tiles in which places are tabled, queries that a task takes in one of them, rows that it looks up at once, and the greatest gap that is counted so.
+TILE, ASKED, AT_ONCE, WIDEST = 1024, 250_000, 1 << 16, 2**8
+_SIDE = 2 * (EXACT // TILE + 2)  # tiles in a row of them, with those around
+
+
+def _tile(tx: np.ndarray, ty: np.ndarray) -> np.ndarray:
+    return ((ty + _SIDE // 2) * _SIDE + tx + _SIDE // 2).astype(np.int32)
+
+
+def _strips(part: pd.DataFrame, gap: int) -> dict[str, np.ndarray]:
+    """Lines turned so that they do not fall: their begin x, y, way dx, dy, its square s, and the greatest k with k * k < gap * gap * s. A place u, v away from the begin
+    is beside the line where 0 < u * dx + v * dy < s, and nearer than the gap where |u * dy - v * dx| <= k."""
+    ax, ay, bx, by = (part[c].to_numpy(np.float64) for c in ("ax", "ay", "bx", "by"))
+    turned = by < ay
+    x, y, dx, dy = np.where(turned, bx, ax), np.where(turned, by, ay), np.where(turned, ax - bx, bx - ax), np.abs(by - ay)
+    s = dx * dx + dy * dy
+    return {"x": x, "y": y, "dx": dx, "dy": dy, "s": s, "k": np.floor(np.sqrt(gap * gap * s - 1))}
+
+
+def _strip_rows(strip: dict[str, np.ndarray], gap: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last y (or some beyond) at which strips have places with left <= x <= right."""
+    x, y, dx, dy, s, k = strip.values()
+    side = np.ceil(gap * np.abs(dx) / np.sqrt(s))
+    low, high = -side, dy + side
+    with np.errstate(divide="ignore"):
+        one, two = ((left - x) * dy - k - 0.5) / dx, ((right - x) * dy + k + 0.5) / dx
+    leans = dx != 0
+    low, high = np.where(leans, np.maximum(low, np.floor(np.minimum(one, two))), low), np.where(leans, np.minimum(high, np.ceil(np.maximum(one, two))), high)
+    return y + low, y + high
+
+
+def _strip_places(v: np.ndarray, dx: np.ndarray, dy: np.ndarray, s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and greatest whole u of each strip in a row v. Halves keep quotients off whole numbers, so that rounding does not matter, and an upright or level line's from 0 / 0."""
+    with np.errstate(divide="ignore"):
+        one, two = (0.5 - v * dy) / dx, (s - 0.5 - v * dy) / dx
+        low, high = (v * dx - k - 0.5) / dy, (v * dx + k + 0.5) / dy
+    return np.floor(np.maximum(np.minimum(one, two), low)) + 1, np.ceil(np.minimum(np.maximum(one, two), high)) - 1
+
+
+class _Places:
+    """A tile's places: for each row that has some, how many nodes stand left of each x."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
+        self.left, (self.rows, row) = float(x[0] // TILE * TILE), np.unique(y, return_inverse=True)
+        table = np.zeros((len(self.rows), TILE + 1), np.int64)
+        np.add.at(table, (row, x - int(self.left) + 1), n)
+        np.cumsum(table, axis=1, out=table)
+        self.before = (table.astype(np.int32) if n.sum() < 2**31 else table).ravel()
+
+    def met(self, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of queries and of their rows with low <= y <= high, some at once."""
+        first = np.searchsorted(self.rows, low, "left")
+        n = np.maximum(np.searchsorted(self.rows, high, "right") - first, 0)
+        ends = np.cumsum(n)
+        lo = 0
+        while lo < len(n):
+            done = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+            which = np.repeat(np.arange(lo, hi), n[lo:hi])
+            yield which, np.arange(len(which)) + np.repeat(first[lo:hi] - (ends[lo:hi] - n[lo:hi] - done), n[lo:hi])
+            lo = hi
+
+    def between(self, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many nodes stand at low <= x <= high in each row."""
+        begin, a = row * (TILE + 1), np.clip(low - self.left, 0, TILE)
+        b = np.maximum(np.clip(high + 1 - self.left, 0, TILE), a)
+        return self.before[begin + b.astype(np.int64)] - self.before[begin + a.astype(np.int64)]
+
+
+def _passed(part: pd.DataFrame, places: _Places, gap: int) -> dict[str, int]:
+    """How many nodes lines pass within the gap."""
+    strip, lines = _strips(part, gap), 0
+    low, high = _strip_rows(strip, gap, places.left, places.left + TILE)
+    for which, row in places.met(low, high):
+        x, y, *way = (c[which] for c in strip.values())
+        least, most = _strip_places(places.rows[row] - y, *way)
+        lines += int(places.between(row, x + least, x + most).sum())
+    return {"lines": lines}
+
+
+def _close(part: pd.DataFrame, places: _Places, gap: int) -> dict[str, int]:
+    """How many nodes stand within the gap of nodes (themselves too), and right of them under their labels, and at one x with them in reach of their labels (themselves too)."""
+    x, y, reach, weight = (part[c].to_numpy(np.float64) for c in ("x", "y", "reach", "n"))
+    weight, near, under, same, high = weight.astype(np.int64), 0, 0, 0, max(gap, LABEL) - 1
+    for which, row in places.met(y - high, y + high):
+        at, times, v = x[which], weight[which], np.abs(places.rows[row] - y[which])
+        wide = np.floor(np.sqrt(np.maximum(gap * gap - 1 - v * v, 0)))
+        near += int((times * (v < gap) * places.between(row, at - wide, at + wide)).sum())
+        times = times * (v < LABEL)
+        under += int((times * places.between(row, at + 1, reach[which])).sum())
+        same += int((times * places.between(row, at, at)).sum())
+    return {"near": near, "under": under, "same": same}
+
+
+def _in_tiles(asked: DataFrame, places: DataFrame, lay: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], count: Callable[[pd.DataFrame, _Places], dict[str, int]], into: list[str]) -> DataFrame:
+    """One row: the sums of what queries count among the places (x, y, n) of each tile that they touch. lay: numbers of queries and their tiles.
+
+    A tile of many queries is shared out to several tasks, each with the tile's places: at most as many as it has whole numbers."""
+
+    def tiles(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            tile, n = np.unique(lay(part)[1], return_counts=True)
+            yield pd.DataFrame({"tile": tile, "n": n})
+
+    many = {r.tile: r.n for r in asked.mapInPandas(tiles, "tile int, n long").groupBy("tile").agg(F.sum("n").alias("n")).collect()}  # of a drawing of bounded size
+    shares = {tile: n // ASKED + 1 for tile, n in many.items() if n > ASKED}
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(len(many) + sum(shares.values()), max(4 * cores, 2 * sum(many.values()) // ASKED)))
+
+    def share_of(tile: np.ndarray) -> np.ndarray:
+        out, (found, at) = np.ones(len(tile), np.int64), np.unique(tile, return_inverse=True)
+        return np.array([shares.get(t, 1) for t in found.tolist()], np.int64)[at] if len(found) else out
+
+    def laid(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            which, tile = lay(part)
+            yield part.iloc[which].assign(tile=tile, share=(which % share_of(tile)).astype(np.int32))
+
+    def tabled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            tile = _tile(part.x.to_numpy() // TILE, part.y.to_numpy() // TILE)
+            n = share_of(tile)
+            which = np.repeat(np.arange(len(part)), n)
+            yield part.iloc[which].assign(tile=tile[which], share=(np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32))
+
+    def counted(part: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(held):
+            return pd.DataFrame({c: pd.Series(dtype=np.int64) for c in into})
+        return pd.DataFrame([count(part, _Places(*(held[c].to_numpy(np.int64) for c in ("x", "y", "n"))))])
+
+    def dealt(frame: DataFrame, work: Callable) -> DataFrame:
+        schema = ", ".join(f"{c} {t}" for c, t in frame.dtypes) + ", tile int, share int"
+        return frame.mapInPandas(work, schema).repartition(tasks, "tile", "share").groupBy("tile", "share")
+
+    found = dealt(asked, laid).cogroup(dealt(places, tabled)).applyInPandas(counted, ", ".join(f"{c} long" for c in into))
+    return found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in into))
+
+
+#: Labels this far apart in y do not overlap.
+LABEL = 24
+
+
 def rule_breaks(edge: DataFrame, spot: DataFrame, gap: float = 40.0) -> DataFrame:
-    """Numbers of lines that pass a node at which they do not end within `gap`, of labels that overlap, and of nodes too close to read. spot: node, x, y, label."""
+    """Numbers of lines that pass a node at which they do not end within `gap`, of labels that overlap, and of nodes too close to read. spot: node, x, y, label.
+
+    Where places and the gap are whole numbers (up to EXACT and WIDEST), each node has one place and all have labels, near things are counted by rows of tiles, exactly and without making
+    pairs: time grows with lines and nodes times the different y that they pass. Else the pairs are made."""
+    spot = kept(spot.select("node", "x", "y", "label").dropna(subset=["x", "y"]))
+    whole = [(F.col(c) == F.floor(c)) & (F.abs(F.col(c)) <= EXACT) for c in ("x", "y")]
+    wide = 18 + 8.4 * F.length("label")
+    seen = spot.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node").alias("nodes"), aggregates.count_if(~F.coalesce(whole[0] & whole[1] & (wide <= EXACT), F.lit(False))).alias("other")).first()
+    if seen.other or seen.n != seen.nodes or not seen.n or not (float(gap).is_integer() and 1 <= gap <= WIDEST):
+        return _rule_breaks_of_pairs(edge, spot, gap)
+    gap, at = int(gap), [F.col(c).cast("int").alias(c) for c in ("x", "y")]
+    # Under a label is what stands left of its end: the greatest whole number below it.
+    reach = (F.ceil(F.col("x") + wide) - 1).cast("int").alias("reach")
+    line = kept(_lines(edge, spot).where("ax <> bx or ay <> by").select(*(F.col(c).cast("int").alias(c) for c in ("ax", "ay", "bx", "by"))))
+    places = spot.select(*at).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    boxes = spot.select(*at, reach).groupBy("x", "y", "reach").agg(F.count(F.lit(1)).alias("n"))
+
+    def grid(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which query, and the number of each tile from low to high: of one direction."""
+        first = np.maximum(low // TILE, -_SIDE // 2)
+        n = np.maximum(np.minimum(high // TILE, _SIDE // 2 - 1) - first + 1, 0).astype(np.int64)
+        which = np.repeat(np.arange(len(n)), n)
+        return which, first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+    def by_strip(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        strip = _strips(part, gap)
+        side = gap * strip["dy"] / np.sqrt(strip["s"])
+        which, tx = grid(np.minimum(strip["x"], strip["x"] + strip["dx"]) - side, np.maximum(strip["x"], strip["x"] + strip["dx"]) + side)
+        inner, ty = grid(*_strip_rows({c: v[which] for c, v in strip.items()}, gap, tx * TILE, (tx + 1) * TILE))
+        return which[inner], _tile(tx[inner], ty)
+
+    def by_box(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x, y, reach = (part[c].to_numpy(np.float64) for c in ("x", "y", "reach"))
+        which, tx = grid(x - gap, np.maximum(reach, x + gap))
+        high = max(gap, LABEL)
+        inner, ty = grid(y[which] - high, y[which] + high)
+        return which[inner], _tile(tx[inner], ty)
+
+    lines = _in_tiles(line, places, by_strip, lambda part, held: _passed(part, held, gap), ["lines"])
+    close = _in_tiles(boxes, places, by_box, lambda part, held: _close(part, held, gap), ["near", "under", "same"])
+    # Of nodes, each pair was met from both, and each met itself; of labels, only those at one x.
+    pairs = lambda c: F.expr(f"({c} - {seen.n}) div 2")
+    return lines.crossJoin(close).select("lines", (F.col("under") + pairs("same")).alias("labels"), pairs("near").alias("nodes"))  # one row each
+
+
+def _rule_breaks_of_pairs(edge: DataFrame, spot: DataFrame, gap: float) -> DataFrame:
+    """rule_breaks() of any places, from the pairs of things that share a square."""
     node = spot.select("node", "x", "y", "label", F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"))
     met = _meet(_lines(edge, spot, gap), _renamed(node)).where("node_r <> a and node_r <> b")
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
@@ -222,11 +410,11 @@ def rule_breaks(edge: DataFrame, spot: DataFrame, gap: float = 40.0) -> DataFram
     far = F.hypot(F.col("x_r") - F.col("ax") - t * dx, F.col("y_r") - F.col("ay") - t * dy)
     passed = met.where((t > 0) & (t < 1) & (far < gap)).agg(F.count(F.lit(1)).alias("lines"))
     # The label's box begins at the node; boxes of nodes and labels meet, with the space around nodes.
-    width = 18 + 8.4 * F.length("label")
-    boxed = spot.select("node", "x", "y", width.alias("w"), (F.col("x") - gap).alias("x0"), (F.col("x") + F.greatest(width, F.lit(gap))).alias("x1"), (F.col("y") - gap).alias("y0"), (F.col("y") + gap).alias("y1"))
+    width, tall = 18 + 8.4 * F.length("label"), max(gap, LABEL / 2)
+    boxed = spot.select("node", "x", "y", width.alias("w"), (F.col("x") - gap).alias("x0"), (F.col("x") + F.greatest(width, F.lit(gap))).alias("x1"), (F.col("y") - tall).alias("y0"), (F.col("y") + tall).alias("y1"))
     pair = _meet(boxed, _renamed(boxed)).where("node < node_r")
     first = F.col("x") <= F.col("x_r")
-    overlap = F.when(first, F.col("x") + F.col("w") > F.col("x_r")).otherwise(F.col("x_r") + F.col("w_r") > F.col("x")) & (F.abs(F.col("y") - F.col("y_r")) < 24)
+    overlap = F.when(first, F.col("x") + F.col("w") > F.col("x_r")).otherwise(F.col("x_r") + F.col("w_r") > F.col("x")) & (F.abs(F.col("y") - F.col("y_r")) < LABEL)
     near = F.hypot(F.col("x") - F.col("x_r"), F.col("y") - F.col("y_r")) < gap
     close = pair.agg(aggregates.count_if(overlap).alias("labels"), aggregates.count_if(near).alias("nodes"))
     return passed.crossJoin(close)  # one row each

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertide.functions import labels, places, text
-from papertide.functions.runtime import table
+from papertide.functions.runtime import kept, table
 from papertide.operators import aggregates, graph, people, spellings
 from papertide.operators.components import components
 from papertide.plans.printed import _GROUPS, _RECORD, _SPELLED, PRINTED, literal, printed, roster, spelled, values, venued
@@ -424,7 +424,7 @@ def graph_crossings(d):
     SELECT (SELECT count(*) FROM t WHERE t > 0 AND t < 1 AND sqrt(pow(cx - ax - t * dx, 2) + pow(cy - ay - t * dy, 2)) < 40) AS lines, (SELECT count(*) FROM n WHERE CASE WHEN px <= qx THEN px + pw > qx ELSE qx + qw > px END AND abs(py - qy) < 24) AS labels,
     (SELECT count(*) FROM n WHERE sqrt(pow(px - qx, 2) + pow(py - qy, 2)) < 40) AS nodes""")
 def graph_rule_breaks(d):
-    edge = _sparse(d)
+    edge = kept(_sparse(d))
     return graph.rule_breaks(edge, _spots(edge))
 
 
