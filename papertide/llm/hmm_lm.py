@@ -32,8 +32,9 @@ from papertide.llm.spans import CHUNK, LOWER, KeyTable, groups_of, keys, over_ba
 
 STATES, OWN, SUFFIXES, HEAD = 8, 1 << 13, 1 << 10, 1 << 17
 PASSES = 14
-#: Tokens whose recursions run together, tokens that a task gathers to group sequences by length, and entries that it sums up before it passes them on.
-TOGETHER, GATHERED, SUMMED = 400_000, 2_000_000, 1_000_000
+#: Tokens whose recursions run together (of scores and, with half the bytes, of passes), tokens that a task gathers to group sequences by length (of passes, with half the bytes, twice as many), tokens counted at
+#: once, and entries that a task sums up before it passes them on.
+TOGETHER, TOGETHER_PASS, GATHERED, AT_ONCE, SUMMED = 400_000, 700_000, 2_000_000, 1 << 17, 1_000_000
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,67 +112,93 @@ class Model:
         return out, size
 
 
-def _by_time(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For sequences laid end to end: their order (longest first), how many reach each step, where each step begins, and each token's position."""
-    order = np.argsort(-size, kind="stable")
-    longest = size[order]
-    reach = np.searchsorted(-longest, -np.arange(int(longest[0])), side="left")
-    begin = np.cumsum(reach) - reach
-    step = np.repeat(np.arange(len(reach)), reach)
-    return order, reach, begin, (np.cumsum(size) - size)[order][np.arange(len(step)) - begin[step]] + step
+def _by_time(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of sequences (the longest first; begin: where each starts) by step: those of all sequences that reach it; and how many do."""
+    reach = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
+    sequence = np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach)
+    at = begin[sequence]
+    at += np.repeat(np.arange(len(reach)), reach)
+    return symbols[at].astype(np.intp), reach
 
 
-def _alike(seen: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Gathered sequences in groups of similar length, so that a step serves many: which they are, their symbols and their sizes."""
+def _alike(seen: list[np.ndarray], sizes: list[np.ndarray], together: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Gathered sequences in groups of similar length, so that a step serves many: which they are, their symbols by step and how many reach each step."""
     symbols, size = np.concatenate(seen), np.concatenate(sizes)
     begin = np.cumsum(size) - size
     order = np.argsort(-size, kind="stable")
-    for lo, hi in groups_of(size[order], TOGETHER):
+    for lo, hi in groups_of(size[order], together):
         at = order[lo:hi]
-        yield at, symbols[ragged(begin[at], size[at])], size[at]
+        yield at, *_by_time(symbols, begin[at], size[at])
 
 
 def log_likelihood(symbols: np.ndarray, size: np.ndarray, model: Model) -> np.ndarray:
-    """log10 of each sequence's probability: the forward recursion, scaled at each step."""
-    order, reach, begin, source = _by_time(size)
-    emitted, out, one = model.emit[symbols[source]], np.zeros(len(size)), np.ones(STATES)
-    alpha = model.start
+    """log10 of each sequence's probability, of sequences laid end to end."""
+    out = np.empty(len(size))
+    for at, seen, reach in _alike([symbols], [size], TOGETHER):
+        out[at] = _log_likelihood(seen, reach, model)
+    return out
+
+
+def _log_likelihood(seen: np.ndarray, reach: np.ndarray, model: Model) -> np.ndarray:
+    """log10 of the probability of each sequence, the longest first: the forward recursion, scaled at each step."""
+    emitted, scale, ones = np.take(model.emit, seen, axis=0), np.empty(len(seen)), np.ones((STATES, STATES))
+    alpha, a = model.start, 0
     for t, n in enumerate(reach.tolist()):
-        alpha = (alpha if not t else alpha[:n] @ model.move) * emitted[begin[t] : begin[t] + n]
-        scale = alpha @ one
-        alpha /= scale[:, None]
-        out[:n] += np.log10(scale)
-    back = np.empty(len(size))
-    back[order] = out
-    return back
+        alpha = (alpha if not t else alpha[:n] @ model.move) * emitted[a : a + n]
+        total = alpha @ ones  # of each row, beside each of its states
+        alpha /= total
+        scale[a : a + n] = total[:, 0]
+        a += n
+    np.log10(scale, out=scale)
+    out, a = np.zeros(int(reach[0])), 0
+    for n in reach.tolist():
+        out[:n] += scale[a : a + n]
+        a += n
+    return out
 
 
 def expected(symbols: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of first states, of moves and of emissions: the forward-backward pass."""
-    _, reach, begin, source = _by_time(size)
-    seen = symbols[source].astype(np.intp)
-    emitted = model.emit.astype(np.float32)[seen]
-    state, scale = np.empty_like(emitted), np.empty(len(seen), np.float32)
-    move = model.move.astype(np.float32)
-    alpha, one = model.start.astype(np.float32), np.ones(STATES, np.float32)
-    for t, n in enumerate(reach.tolist()):
-        a = begin[t]
-        alpha = (alpha if not t else alpha[:n] @ move) * emitted[a : a + n]
-        total = alpha @ one
-        alpha /= total[:, None]
-        scale[a : a + n], state[a : a + n] = total, alpha
-    emitted /= scale[:, None]
-    back, moves, beta = np.ascontiguousarray(move.T), np.zeros((STATES, STATES)), np.zeros((0, STATES), np.float32)
-    for t in range(len(reach) - 1, -1, -1):
-        n, a = int(reach[t]), int(begin[t])
-        now = np.ones((n, STATES), np.float32)
-        if m := len(beta):
-            onward = beta * emitted[a + n : a + n + m]
-            now[:m] = onward @ back
-            moves += state[a : a + m].T @ onward
-        state[a : a + n] *= now
-        beta = now
-    counts = np.stack([np.bincount(seen, weights, len(model.emit)) for weights in np.ascontiguousarray(state.T, np.float64)], axis=1)
+    """Expected counts of first states, of moves and of emissions, of sequences laid end to end."""
+    parts = [_expected(seen, reach, model) for _, seen, reach in _alike([symbols], [size], TOGETHER_PASS)]
+    return tuple(sum(x) for x in zip(*parts, strict=True))
+
+
+def _expected(seen: np.ndarray, reach: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The forward-backward pass. Steps write into arrays of all tokens, as many do little."""
+    emitted = np.take(model.emit.astype(np.float32), seen, axis=0)
+    state, move, ones = np.empty_like(emitted), model.move.astype(np.float32), np.ones((STATES, STATES), np.float32)
+    now, later = np.empty((2, int(reach[0]), STATES), np.float32)
+    before, a = None, 0
+    for n in reach.tolist():
+        here, alpha, total = emitted[a : a + n], state[a : a + n], now[:n]
+        if before is None:
+            np.multiply(model.start.astype(np.float32), here, out=alpha)
+        else:
+            np.matmul(before[:n], move, out=alpha)
+            np.multiply(alpha, here, out=alpha)
+        np.matmul(alpha, ones, out=total)  # of each row, beside each of its states
+        np.divide(alpha, total, out=alpha)
+        np.divide(here, total, out=here)
+        before, a = alpha, a + n
+    back, moves, m = np.ascontiguousarray(move.T), np.zeros((STATES, STATES)), 0
+    for n in reach[::-1].tolist():
+        begin = a - n
+        if m:
+            onward, alpha, beta = emitted[a : a + m], state[begin : begin + m], later[:m]
+            np.multiply(onward, now[:m], out=onward)
+            moves += alpha.T @ onward
+            np.matmul(onward, back, out=beta)
+            np.multiply(alpha, beta, out=alpha)
+            now, later = later, now
+        if n > m:
+            now[m:n] = 1  # sequences that end here
+        m, a = n, begin
+    del emitted
+    counts = np.zeros((len(model.emit), STATES))
+    for lo in range(0, len(seen), AT_ONCE):
+        part = seen[lo : lo + AT_ONCE]
+        for s, weights in enumerate(np.ascontiguousarray(state[lo : lo + AT_ONCE].T, np.float64)):
+            counts[:, s] += np.bincount(part, weights, len(counts))
     return state[: reach[0]].sum(axis=0, dtype=np.float64), moves * model.move, counts
 
 
@@ -203,8 +230,8 @@ def _pass(rows: DataFrame, model: Model) -> Model:
         seen, sizes = [], []
 
         def add() -> None:
-            for _, symbols, size in _alike(seen, sizes) if seen else ():
-                for total, part in zip((first, moves, counts), expected(symbols, size, m), strict=True):
+            for _, found, reach in _alike(seen, sizes, TOGETHER_PASS) if seen else ():
+                for total, part in zip((first, moves, counts), _expected(found, reach, m), strict=True):
                     total += part
             seen.clear()
             sizes.clear()
@@ -215,10 +242,10 @@ def _pass(rows: DataFrame, model: Model) -> Model:
             column = batch.column(0).cast(pa.large_binary())
             ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 2
             data, size = np.frombuffer(column.buffers()[2], "<u2", int(ends[-1])), np.diff(ends)
-            for lo, hi in groups_of(size, GATHERED):
+            for lo, hi in groups_of(size, 2 * GATHERED):
                 seen.append(data[ends[lo] : ends[hi]])
                 sizes.append(size[lo:hi])
-                if sum(map(len, seen)) > GATHERED:
+                if sum(map(len, seen)) > 2 * GATHERED:
                     add()
         add()
         met = np.flatnonzero(counts.any(axis=1))
@@ -286,8 +313,8 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", fold
         def finished() -> Iterator[pa.Table]:
             if seen:
                 exact = np.empty(sum(map(len, sizes)))
-                for at, symbols, size in _alike(seen, sizes):
-                    exact[at] = log_likelihood(symbols, size, m)
+                for at, found, reach in _alike(seen, sizes, TOGETHER):
+                    exact[at] = _log_likelihood(found, reach, m)
                 out = pa.concat_tables(rows_held)
                 model_score = exact + out["model"].to_numpy()
                 yield out.set_column(out.num_columns - 1, "model", pa.array(model_score))
