@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from papertide.functions.runtime import checkpoint
 from papertide.llm.quality import held_out
-from papertide.llm.spans import CHUNK, LOWER, KeyTable, groups_of, keys, over_batches, ragged, utf8, words
+from papertide.llm.spans import LOWER, KeyTable, groups_of, keys, over_batches, utf8, words
 
 STATES, OWN, SUFFIXES, HEAD = 8, 1 << 13, 1 << 10, 1 << 17
 PASSES = 14
 #: Tokens whose recursions run together (of scores and, with half the bytes, of passes), tokens that a task gathers to group sequences by length (of passes, with half the bytes, twice as many), tokens counted at
 #: once, and entries that a task sums up before it passes them on.
-TOGETHER, TOGETHER_PASS, GATHERED, AT_ONCE, SUMMED = 400_000, 700_000, 2_000_000, 1 << 17, 1_000_000
+TOGETHER, TOGETHER_PASS, GATHERED, AT_ONCE, SUMMED = 400_000, 1_000_000, 2_000_000, 1 << 17, 1_000_000
+#: Characters of documents that are cut into words together: few enough that their arrays stay near the processor.
+PIECE = 1 << 18
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +50,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     data, offsets = utf8(column)
-    for lo, hi in groups_of(np.diff(offsets), CHUNK):
+    for lo, hi in groups_of(np.diff(offsets), PIECE):
         yield lo, hi, *tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
