@@ -6,8 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from papertide.functions import text
-from papertide.operators import spellings
+from papertide.functions import places, text
+from papertide.operators import figures, spellings
 
 KEY = lambda column: text.name_key(F.col(column), True)
 
@@ -34,3 +34,17 @@ def test_places_and_ranks_are_numbers(spark):
     for r in met.collect():
         places_of.setdefault(r.place, set()).add((r["rank"], r.side))
     assert sorted(map(sorted, places_of.values()), key=str) == [[(1, 0), (2, 1)], [(1, None), (3, None)]]
+
+
+def test_pairs_of_authors_hold_no_text(spark, monkeypatch):
+    frames, real = [], figures.kept
+    monkeypatch.setattr(figures, "kept", lambda f: frames.append(f) or real(f))
+    rows = spark.createDataFrame([(1, 1, "an le", 101, "Hanoi University of Science and Technology"), (1, 2, "bo vu", 102, "MIT"), (1, 3, "b vu", 103, None), (2, 1, "an le", 201, None), (2, 2, "bo vu", 202, None)], "paper long, position int, name string, seq long, aff string")
+    roster = places.with_names(spark.createDataFrame([(7, "Hanoi University of Science and Technology", "HUST"), (8, None, None)], "person long, institution string, short string").na.fill(""))
+    own = spark.createDataFrame([(7, 1, 1), (7, 2, None), (8, 1, 2)], "person long, paper long, position int")
+    paper = spark.createDataFrame([(1, "accepted"), (2, "rejected")], "paper long, status string")
+    got = {r.person: r for r in figures.collaboration(own, roster, rows, places.known_institutions(rows), paper, KEY).collect()}
+    assert (got[7].papers, got[7].mean_coauthors, got[7].min_coauthors, got[7].with_affiliations, got[7].distinct_coauthors, got[7].elsewhere, got[7].elsewhere_abroad) == (2, 1.5, 2, 1, 1, 1, 1)
+    assert (got[7].mean_foreign, got[7].mean_same, got[8].mean_domestic, got[8].mean_foreign, got[8].distinct_coauthors) == (1.0, 0.0, 1.0, 0.0, 2)
+    spelled = next(f for f in frames if "n_foreign" in f.columns)
+    assert not {"string", "array"} & {t.split("<")[0] for _, t in spelled.dtypes}
