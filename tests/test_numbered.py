@@ -26,6 +26,16 @@ def test_spellings_are_first_seen_on_an_owner_s_papers(spark):
     assert {r.name: r.key for r in got} == {"an le": "an le", "le an": "an le", "a le": "a le", "bo vu": "bo vu"}
 
 
+def test_owners_that_are_done_take_no_part_in_later_rounds(spark, monkeypatch):
+    chain = [r for k in range(20) for r in ((f"{chr(97 + k)}{k} y{k}", f"key{k}"), (f"{chr(97 + k)} y{k}", f"key{k + 1}"))]
+    rows = [("long", *r, k) for k, r in enumerate(chain)] + [(f"short{i}", *r, k) for i in range(4) for k, r in enumerate(chain[:2])]
+    sizes, real = [], spellings.checkpoint
+    monkeypatch.setattr(spellings, "checkpoint", lambda f: sizes.append(f.count()) or real(f))
+    got = spellings.distinct_people(spark.createDataFrame(rows, "slug string, name string, key string, seq int")).collect()
+    assert {r.who for r in got} == {"key0"} and len(got) == len(rows) == sizes[0]
+    assert sizes[2] == len(rows) and sizes[-1] == len(chain)
+
+
 def test_places_and_ranks_are_numbers(spark):
     each = spark.createDataFrame([("s", n, k, i) for i, (n, k) in enumerate([("an le", "an le"), ("a le", "a le"), ("le an", "an le"), ("bo vu", "bo vu")], 1)], "slug string, name string, key string, rank int")
     met = spellings.meeting_places(each, "slug")
